@@ -45,7 +45,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         proofs = F.transform("_chunks", lambda c: c["proof"])
         recipes = rows.join(unsafe.withColumn("_unsafe", F.lit(True)), "_row", "left").withColumn("_recipe", F.when(F.col("_unsafe"), proofs).otherwise(plain))
     best = F.max(F.struct(F.col("_id").isNotNull().alias("a"), F.col("_id").alias("id"), F.col("_row").alias("row")))
-    kept = recipes.groupBy("_recipe", "_sha").agg(best.alias("_best"), F.count(F.lit(1)).alias("_size"))
+    # Stored, so that the join below has two plain inputs and a hot group can be split.
+    kept = stored(recipes.groupBy("_recipe", "_sha").agg(best.alias("_best"), F.count(F.lit(1)).alias("_size")), "dedup-groups")
     a, b = recipes.alias("a"), kept.alias("b")
     return a.join(b, (F.col("a._recipe") == F.col("b._recipe")) & (F.col("a._sha") == F.col("b._sha"))).select(
         F.col("a._id").alias(id_col), F.col("b._best.id").alias("keep_id"), F.col("b._size").alias("group_size"), (F.col("a._row") == F.col("b._best.row")).alias("kept"), F.col("a._sha").alias("text_sha256")
