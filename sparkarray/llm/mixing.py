@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, m
     rows = narrow.count()
     # Blocks grow with the square root of the table: neither the blocks of one
     # source nor the documents of one block are ever many.
-    salts = int(rows**0.5 / 16) + 1
+    salts = int(rows**0.5 / 4) + 1
     narrow = narrow.withColumn("_salt", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(salts)).cast("int"))
     keys = ["_src", "_class", "_salt"]
     blocks = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs"), F.sum("_n").alias("_words"))
