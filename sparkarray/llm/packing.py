@@ -25,6 +25,7 @@ empty result.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ._common import stored, table
 
-CAPACITY, END_ID, BINS, MOST_IN_PATTERN, FILLER, CACHE = 4096, 1, 128, 3, 4, 400_000
+CAPACITY, END_ID, BINS, MOST_IN_PATTERN, FILLER, CACHE = 4096, 1, 128, 3, 4, 800_000
 
 
 @lru_cache(maxsize=2)
@@ -48,31 +49,66 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Words that every step of the tokenizer leaves as one lower-case word: their ids can be told apart in one encoding.
+_PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_TAILS = (".", ",")
+#: Ids (as bytes) by word, per tokenizer; a worker keeps them from task to task.
+_known: dict[str, dict[str, bytes]] = {}
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
 class Encoder:
-    """Ids of texts.  Words repeat, so each distinct blank-separated piece is encoded once.
+    """Ids of texts.  Words repeat, so each distinct one is encoded once.
 
-    That equals encoding the whole text where the tokenizer splits at ASCII
-    white space and drops it (``splits``); others get the whole text.
+    Encoding word by word equals encoding the whole text where the tokenizer
+    splits at ASCII white space and drops it, and a comma or full stop behind a
+    letter is a word of its own (``splits``); for others the whole text is encoded.
     """
 
     def __init__(self, path: str, splits: bool = True) -> None:
-        self.path, self.splits, self.known = path, splits, {}
+        self.path, self.splits, self.known = path, splits, _known.setdefault(path, {})
+
+    def learn(self, words: list[str]) -> None:
+        tokenizer = _tokenizer(self.path)
+        words = list(dict.fromkeys(words))
+        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        for k in range(0, len(plain), 512):
+            some = plain[k : k + 512]
+            e = tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, place = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
+            cuts = np.searchsorted(place, np.arange(len(some) + 1))
+            data = ids.tobytes()
+            self.known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        rest = [w for w in words if w not in self.known]
+        for w, e in zip(rest, tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.known[w] = _bytes(e.ids)
+
+    def coded(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as bytes."""
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        own = [known.get(w) for w in words]
+        missing = [k for k, found in enumerate(own) if found is None]
+        parts = [(w[:-1], w[-1]) if w[-1:] in _TAILS and w[-2:-1].isalpha() else (w, "") for w in (words[k] for k in missing)]
+        self.learn([*(p for p, _ in parts if p not in known), *_TAILS])
+        for k, (stem, tail) in zip(missing, parts, strict=True):
+            own[k] = known[stem] + known[tail] if tail else known[stem]
+        return own
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        encode = _tokenizer(self.path).encode_batch
         if not self.splits:
-            return [np.array(e.ids, np.uint32) for e in encode(texts.to_pylist(), add_special_tokens=False)]
+            return [np.array(e.ids, "<u4") for e in _tokenizer(self.path).encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # lower case comes anyway, but behind special tokens
+            texts = pc.ascii_lower(texts)
         parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, encode(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32)
-        own = [self.known[w] for w in words]
-        lens = np.fromiter(map(len, own), np.int64, len(own))
-        flat, first = np.concatenate([*own, np.empty(0, np.uint32)]), np.cumsum(lens) - lens
+        own = self.coded(coded.dictionary.to_pylist())
+        lens = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat, first = np.frombuffer(b"".join(own), "<u4"), np.cumsum(lens) - lens
         at = coded.indices.to_numpy().astype(np.int64)
         n = lens[at]
         ends = np.cumsum(n)
@@ -89,8 +125,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path, splits)
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                b = whole.slice(k, 512)
+            for k in range(0, whole.num_rows, 2048):
+                b = whole.slice(k, 2048)
                 rows: list[list[int]] = [[], [], [], [], []]
                 for r, ids in enumerate(encode(b.column(1))):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
