@@ -9,10 +9,12 @@ of the sets.  Bands of registers give candidate buckets.
 
 Candidates are verified exactly (Jaccard of the sets of shingles >= 0.8), and
 classes are the connected components of verified links.  A bucket never emits
-all its pairs at once: first each member meets the bucket's leader; buckets that
-then still hold several classes go on with more leaders a round, members of one
-class never being compared again, until each member has met every other one of
-another class.  Equal texts share one node, so copies are never compared.
+all its pairs at once.  Texts go whose own shingles, those that no other candidate
+has, are too many for any link.  Then each member meets the bucket's leader, the
+member with the least share of own shingles; buckets that still hold several
+classes go on with more leaders a round, members of one class and pairs that
+their own shingles keep apart never being compared, until each member has met
+every other one that it may link to.  Equal texts share one node, so copies are never compared.
 
 Cases: a null text is empty; texts without words are only equal to each other;
 texts under five words are one shingle; texts that only rows without an id have
@@ -99,6 +101,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(a, "a").join(b, "b").filter(both >= F.lit(similarity) * (F.size("_a") + F.size("_b") - both)).select("a", "b")
 
 
+def _may_link(n: str, own: str, m: str, other: str, similarity: float) -> F.Column:
+    """Whether two sets can reach the similarity at all: shingles that no other text has are never shared."""
+    both = F.least(F.col(n) - F.col(own), F.col(m) - F.col(other))
+    return both >= F.lit(similarity) * (F.col(n) + F.col(m) - both)
+
+
+def _linkable(sets: DataFrame, similarity: float) -> DataFrame:
+    """(_node, _n, _own) of the texts that can have a link: _own counts their shingles that no other candidate has.
+
+    With x of n shingles its own, a text shares at most n - x with any other, and
+    the union has n at least, so its similarity is at most (n - x) / n.
+    """
+    owners = sets.select("_node", F.explode("_set").alias("_s")).groupBy("_s").agg(F.count(F.lit(1)).alias("_c"), F.min("_node").alias("_node"))
+    own = owners.filter("_c = 1").groupBy("_node").agg(F.count(F.lit(1)).alias("_own"))
+    known = sets.select("_node", F.size("_set").alias("_n")).join(own, "_node", "left").withColumn("_own", F.coalesce("_own", F.lit(0)))
+    return known.filter(F.col("_n") - F.col("_own") >= F.lit(similarity) * F.col("_n"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(_node, _class): the least node of each node's component; nodes with an edge only.
 
@@ -134,37 +154,39 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     nodes = signed.groupBy("_sha").agg(F.min("_id").alias("_id"), F.first("_n").alias("_n"), F.first("_keys").alias("_keys"))
     hidden = -(F.pmod(F.xxhash64("_sha"), F.lit(1 << 62)) + F.lit(1 << 62))
     nodes = stored(nodes.select("_sha", F.coalesce("_id", hidden).alias("_node"), "_n", F.when(F.col("_id").isNotNull(), F.col("_keys")).alias("_keys")), "near-nodes")
-    postings = nodes.select("_node", "_n", F.explode("_keys").alias("_key"))
-    buckets = postings.groupBy("_key").agg(F.count(F.lit(1)).alias("_many"), F.min(F.struct("_node", "_n")).alias("_lead")).filter("_many > 1")
+    postings = nodes.select("_node", F.explode("_keys").alias("_key"))
+    buckets = postings.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1").select("_key")
     members = stored(postings.join(stored(buckets, "near-buckets"), "_key"), "near-members")
-    like = lambda n, k: F.least(n, k) >= F.lit(similarity) * F.greatest(n, k)  # noqa: E731  else the sets cannot be similar
     needed = members.select("_node").distinct()
     sets = stored(rows.select(F.col("_id").alias("_node"), "_text").join(needed, "_node", "left_semi").dropDuplicates(["_node"]).mapInArrow(_sets, "_node long, _set array<long>"), "near-sets")
-    led = members.filter((F.col("_node") != F.col("_lead._node")) & like(F.col("_n"), F.col("_lead._n")))
-    tested = stored(led.select(F.col("_lead._node").alias("a"), F.col("_node").alias("b")).distinct(), "near-pairs")
+    core = stored(_linkable(sets, similarity), "near-core")
+    members = members.join(core, "_node")
+    central = F.min(F.struct((F.col("_own") / F.col("_n")).alias("r"), "_node", "_n", "_own")).alias("_lead")
+    leads = stored(members.groupBy("_key").agg(F.count(F.lit(1)).alias("_many"), central).filter("_many > 1"), "near-leaders")
+    members = stored(members.join(leads, "_key"), "near-members")
+    led = members.filter((F.col("_node") != F.col("_lead._node")) & _may_link("_n", "_own", "_lead._n", "_lead._own", similarity))
+    tested = stored(led.select(F.least("_lead._node", "_node").alias("a"), F.greatest("_lead._node", "_node").alias("b")).distinct(), "near-pairs")
     links = stored(_verified(tested, sets, similarity), "near-links")
     named = components(links)
     most = LEADERS
     while True:
         open_ = members.join(named, "_node", "left").withColumn("_class", F.coalesce("_class", "_node"))
         still = open_.groupBy("_key").agg(F.min("_class").alias("_low"), F.max("_class").alias("_high")).filter("_low <> _high").select("_key")
-        open_ = stored(open_.join(still, "_key", "left_semi").select("_key", "_node", "_n", "_class", "_many"), "near-open")
+        open_ = stored(open_.join(still, "_key", "left_semi").select("_key", "_node", "_n", "_own", "_class", "_many"), "near-open")
         # About ``most`` leaders a bucket, drawn by hash; all members of smaller ones.
         drawn = F.pmod(F.xxhash64("_node", "_key", F.lit(most)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("_many") < most
-        leaders = open_.filter(drawn).select("_key", F.col("_node").alias("_l"), F.col("_n").alias("_ln"), F.col("_class").alias("_lc"))
-        met = open_.join(leaders, "_key").filter((F.col("_class") != F.col("_lc")) & like(F.col("_n"), F.col("_ln")))
+        leaders = open_.filter(drawn).select("_key", F.col("_node").alias("_l"), F.col("_n").alias("_ln"), F.col("_own").alias("_lo"), F.col("_class").alias("_lc"))
+        met = open_.join(leaders, "_key").filter((F.col("_class") != F.col("_lc")) & _may_link("_n", "_own", "_ln", "_lo", similarity))
         pairs = met.select(F.least("_node", "_l").alias("a"), F.greatest("_node", "_l").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "near-pairs")
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         largest = open_.agg(F.max("_many")).first()[0] or 0
-        fresh = not pairs.isEmpty()
-        if fresh:
+        if not pairs.isEmpty():
             new = stored(_verified(pairs, sets, similarity), "near-links")
             tested = stored(tested.union(pairs), "near-pairs")
             if not new.isEmpty():
                 links = stored(links.union(new), "near-links")
                 named = components(links)
-        if largest <= most:  # every pair of different classes has met
+        if largest <= most:  # every pair of different classes that may link has met
             break
         most *= 8
     found = signed.select("_id", "_sha").join(nodes.select("_sha", "_node"), "_sha").join(named, "_node", "left")
