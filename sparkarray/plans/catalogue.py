@@ -1,11 +1,213 @@
-"""The query catalogue: one function per query, and its SQL."""
+"""The query catalogue: every query of the array algebra, with the SQL that checks it.
+
+Values are taken to exact integers where the order of a sum could change a
+double (cents of a price, 2^-20 units of an embedding); other doubles are
+rounded.  Sorted results carry their position.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import philox as ph
+from ..functions import unitfloat8 as u8
+from ..operators import order, product, reduce, scan, search
+from ..sources import tables as t
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+SEED = 0x1234_5678_9ABC
+
+
+def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLE_SQL[name] = sql
+
+
+def _cents(c: str):
+    return F.round(F.col(c) * 100).cast("long")
+
+
+def events(s: SparkSession, d: str) -> DataFrame:
+    return t.vector(t.read(s, d, "events"), "event_id", v="value", c=_cents("value"))
+
+
+def orders(s: SparkSession, d: str) -> DataFrame:
+    return t.vector(t.read(s, d, "orders"), "o_orderkey", v="o_totalprice", c=_cents("o_totalprice"), pr="o_orderpriority", cust="o_custkey")
+
+
+def customer(s: SparkSession, d: str) -> DataFrame:
+    return t.vector(t.read(s, d, "customer"), "c_custkey", v="c_acctbal", c=_cents("c_acctbal"), nation="c_nationkey")
+
+
+def lines(s: SparkSession, d: str) -> DataFrame:
+    return t.read(s, d, "lineitem").select(F.col("l_quantity").cast("long").alias("q"), _cents("l_extendedprice").alias("p"), _cents("l_discount").alias("disc"))
+
+
+def cells(s: SparkSession, d: str) -> DataFrame:
+    return t.tensor(events(s, d), 10, 10)
+
+
+def coo(s: SparkSession, d: str) -> DataFrame:
+    return t.matrix(t.read(s, d, "embeddings"), "vec_id", "embedding").select("i", "j", F.floor(F.col("v").cast("double") * 1048576).cast("long").alias("v"))
+
+
+def rows(s: SparkSession, d: str) -> DataFrame:
+    return t.read(s, d, "embeddings").select(F.col("vec_id").alias("i"), F.transform("embedding", lambda e: F.floor(e.cast("double") * 1048576).cast("long")).alias("row"))
+
+
+def first_row(s: SparkSession, d: str, k: int = 0) -> list[int]:
+    """One row of the matrix: as many numbers as it has columns."""
+    return rows(s, d).filter(F.col("i") == k).first()["row"]
+
+
+EV = "(SELECT event_id AS idx, value AS v, CAST(round(value * 100) AS BIGINT) AS c FROM events)"
+OR = "(SELECT o_orderkey AS idx, o_totalprice AS v, CAST(round(o_totalprice * 100) AS BIGINT) AS c, o_orderpriority AS pr, o_custkey AS cust FROM orders)"
+CU = "(SELECT c_custkey AS idx, c_acctbal AS v, CAST(round(c_acctbal * 100) AS BIGINT) AS c, c_nationkey AS nation FROM customer)"
+LI = "(SELECT CAST(l_quantity AS BIGINT) AS q, CAST(round(l_extendedprice * 100) AS BIGINT) AS p, CAST(round(l_discount * 100) AS BIGINT) AS disc FROM lineitem)"
+TE = f"(SELECT *, idx % 10 AS d1, (idx // 10) % 10 AS d2, idx // 100 AS d3 FROM {EV})"
+CO = "(SELECT vec_id AS i, CAST(k - 1 AS INTEGER) AS j, CAST(floor(CAST(embedding[k] AS DOUBLE) * 1048576) AS BIGINT) AS v FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS k))"
+X0 = f"(SELECT j, v AS x FROM {CO} WHERE i = 0)"
+v, c, p = F.col("v"), F.col("c"), F.col("p")
+
+# --- copy, fill, index, views
+_add("copy_all", lambda s, d: events(s, d).select("idx", "v"), f"SELECT idx, v FROM {EV}")
+_add("fill_const", lambda s, d: t.fill(events(s, d).select("idx", "v"), 7.5, "double"), f"SELECT idx, CAST(7.5 AS DOUBLE) AS v FROM {EV}")
+_add("iota", lambda s, d: t.iota(s, events(s, d).count()), f"SELECT idx, idx + 1 AS v FROM {EV}")
+_add("view_slice", lambda s, d: t.view(events(s, d).select("idx", "c"), 100, 899), f"SELECT idx - 100 AS idx, c FROM {EV} WHERE idx BETWEEN 100 AND 899")
+_add("view_strided", lambda s, d: t.view(events(s, d).select("idx", "c"), 3, 903, 3), f"SELECT (idx - 3) // 3 AS idx, c FROM {EV} WHERE idx BETWEEN 3 AND 903 AND (idx - 3) % 3 = 0")
+_add("view_reversed", lambda s, d: t.reversed_view(e := events(s, d).select("idx", "c"), e.count()), f"SELECT (SELECT count(*) FROM events) - 1 - idx AS idx, c FROM {EV}")
+_add("view_write_through", lambda s, d: t.write_into(events(s, d).select("idx", c.alias("v")), t.view(events(s, d), 10, 29).select("idx", (c * 2).alias("v")), 10), f"SELECT idx, CASE WHEN idx BETWEEN 10 AND 29 THEN c * 2 ELSE c END AS v FROM {EV}")
+
+# --- reductions
+for _name, _f, _op, _sql in (("sum", c, "+", "sum(c)"), ("sumsq", c * c, "+", "sum(c * c)"), ("max", c, "max", "max(c)"), ("min", c, "min", "min(c)"), ("count", F.when(c > 5000, 1), "count", "count(CASE WHEN c > 5000 THEN 1 END)")):
+    _add(f"reduce_{_name}", lambda s, d, f=_f, op=_op: reduce.mapreduce(events(s, d), f, op), f"SELECT CAST({_sql} AS BIGINT) AS value FROM {EV}")
+_add("reduce_mean_g", lambda s, d: reduce.mapreduce(events(s, d), F.struct(c).c, "+", lambda x: F.round(x / F.count(F.lit(1)), 6)), f"SELECT round(sum(c) / count(*), 6) AS value FROM {EV}")
+_add("reduce_sqrt_g", lambda s, d: reduce.mapreduce(orders(s, d), (c * c).cast("decimal(20,0)"), "+", lambda x: F.round(F.sqrt(x.cast("double")), 3)), f"SELECT round(sqrt(CAST(sum(CAST(c AS HUGEINT) * c) AS DOUBLE)), 3) AS value FROM {OR}")
+_add("reduce_product_mod", lambda s, d: reduce.mapreduce(events(s, d), F.pmod(c, F.lit(1009)) + 1, lambda a, b: F.pmod(a * b, F.lit(1000003))), f"SELECT list_reduce(list(c % 1009 + 1 ORDER BY idx), lambda a, b: (a * b) % 1000003) AS value FROM {EV}")
+_add("reduce_wrap_u8", lambda s, d: reduce.mapreduce(events(s, d), c, "+", lambda x: reduce.wrap(x, 8)), f"SELECT CAST(sum(c) % 256 AS BIGINT) AS value FROM {EV}")
+_add("reduce_wrap_i16", lambda s, d: reduce.mapreduce(events(s, d), c, "+", lambda x: reduce.wrap(x, 16, True)), f"SELECT CAST((sum(c) + 32768) % 65536 - 32768 AS BIGINT) AS value FROM {EV}")
+_add("reduce_bits", lambda s, d: reduce.mapreduce_struct(events(s, d), {"all_and": reduce.NAMED["and"](c), "all_or": reduce.NAMED["or"](c), "all_xor": reduce.NAMED["xor"](c)}), f"SELECT bit_and(c) AS all_and, bit_or(c) AS all_or, bit_xor(c) AS all_xor FROM {EV}")
+_add("dot", lambda s, d: reduce.mapreduce(lines(s, d), F.col("q") * p, "+"), f"SELECT CAST(sum(q * p) AS BIGINT) AS value FROM {LI}")
+_add("euclid_dist", lambda s, d: reduce.mapreduce(lines(s, d), (F.col("q") * 100 - p) * (F.col("q") * 100 - p), "+", lambda x: F.round(F.sqrt(x.cast("double")), 2)), f"SELECT round(sqrt(CAST(sum((q * 100 - p) * (q * 100 - p)) AS DOUBLE)), 2) AS value FROM {LI}")
+_add("weighted_sum", lambda s, d: reduce.mapreduce(lines(s, d), p * (100 - F.col("disc")), "+"), f"SELECT CAST(sum(p * (100 - disc)) AS BIGINT) AS value FROM {LI}")
+_add("triple_product", lambda s, d: reduce.mapreduce(lines(s, d), F.col("q") * p * F.col("disc"), "+"), f"SELECT CAST(sum(q * p * disc) AS BIGINT) AS value FROM {LI}")
+_add("struct_stats", lambda s, d: reduce.mapreduce_struct(orders(s, d), {"n": F.count(c), "total": F.sum(c), "low": F.min(c), "high": F.max(c)}), f"SELECT count(c) AS n, CAST(sum(c) AS BIGINT) AS total, min(c) AS low, max(c) AS high FROM {OR}")
+_add("struct_vec3", lambda s, d: reduce.mapreduce_struct(lines(s, d), {"x": F.sum(F.col("q") * p), "y": F.sum(F.col("q") + p), "z": F.sum(F.col("q") - p)}), f"SELECT CAST(sum(q * p) AS BIGINT) AS x, CAST(sum(q + p) AS BIGINT) AS y, CAST(sum(q - p) AS BIGINT) AS z FROM {LI}")
+_add("welford", lambda s, d: reduce.mapreduce_struct(orders(s, d), {"n": F.count(v), "mean": F.round(F.avg(v), 4), "var": F.round(F.var_pop(v) / 1e6, 3)}), f"SELECT count(v) AS n, round(avg(v), 4) AS mean, round(var_pop(v) / 1e6, 3) AS var FROM {OR}")
+_add("maximum_rel", lambda s, d: reduce.extremum(orders(s, d), c), f"SELECT max(c) AS value FROM {OR}")
+_add("minimum", lambda s, d: reduce.extremum(orders(s, d), c, False), f"SELECT min(c) AS value FROM {OR}")
+for _name, _dims, _keep in (("lead", 1, (2, 3)), ("lead2", (1, 2), (3,)), ("trail", 3, (1, 2)), ("two_block", (1, 3), (2,)), ("middle", 2, (1, 3)), ("all", (1, 2, 3), ()), ("neg", -1, (1, 2))):
+    _cols = ", ".join(f"d{k}" if k in _keep else f"CAST(0 AS BIGINT) AS d{k}" for k in (1, 2, 3))
+    _by = " GROUP BY " + ", ".join(f"d{k}" for k in _keep) if _keep else ""
+    _add(f"dims_{_name}", lambda s, d, dims=_dims: reduce.mapreduce_dims(cells(s, d), c, "+", dims, 3), f"SELECT {_cols}, CAST(sum(c) AS BIGINT) AS value FROM {TE}{_by}")
+_add("dims_grouping_sets", lambda s, d: reduce.multi_reduce(cells(s, d), F.sum("c"), [["d1"], ["d2"], ["d1", "d2"], []], ["d1", "d2"]), f"SELECT d1, d2, CAST(sum(c) AS BIGINT) AS value FROM {TE} GROUP BY GROUPING SETS ((d1), (d2), (d1, d2), ())")
+_add("rowreduce_max", lambda s, d: product.matvec_rows(rows(s, d), F.col("row"), None, lambda a: a, "max"), f"SELECT i, max(v) AS value FROM {CO} GROUP BY i")
+_add("colreduce_sum", lambda s, d: product.vecmat(None, coo(s, d), lambda a: a, "+"), f"SELECT j, CAST(sum(v) AS BIGINT) AS value FROM {CO} GROUP BY j")
+_add("reduce2d_g", lambda s, d: reduce.mapreduce(coo(s, d), F.abs("v"), "+", lambda x: F.round(x / 64, 4), ["i"]), f"SELECT i, round(sum(abs(v)) / 64, 4) AS value FROM {CO} GROUP BY i")
+_affine = F.struct((F.pmod(c, F.lit(97)) + 1).alias("a"), F.pmod(c, F.lit(89)).alias("b"))
+_P = 1000003
+
+
+def compose(f, g):
+    """First f, then g, of maps x -> a x + b modulo a prime: not commutative."""
+    return F.struct(F.pmod(f["a"] * g["a"], F.lit(_P)).alias("a"), F.pmod(g["a"] * f["b"] + g["b"], F.lit(_P)).alias("b"))
+
+
+_add("ordered_fold_noncommutative", lambda s, d: reduce.mapreduce(events(s, d), _affine, compose).select("value.a", "value.b"),
+     f"SELECT r.a AS a, r.b AS b FROM (SELECT list_reduce(list({{'a': c % 97 + 1, 'b': c % 89}} ORDER BY idx), lambda f, g: {{'a': (f.a * g.a) % {_P}, 'b': (g.a * f.b + g.b) % {_P}}}) AS r FROM {EV})")
+
+# --- products
+_add("matvec", lambda s, d: product.matvec_rows(rows(s, d), F.col("row"), first_row(s, d)), f"SELECT i, CAST(sum(v * x) AS BIGINT) AS value FROM {CO} JOIN {X0} USING (j) GROUP BY i")
+_add("matvec_coo", lambda s, d: product.matvec(coo(s, d), coo(s, d).filter("i = 0").select("j", F.col("v").alias("x")), lambda a, b: a * b, "+"), ORACLE_SQL["matvec"])
+_add("matvec_max", lambda s, d: product.matvec_rows(rows(s, d), F.col("row"), first_row(s, d), lambda a, b: a + b, "max"), f"SELECT i, max(v + x) AS value FROM {CO} JOIN {X0} USING (j) GROUP BY i")
+_add("matvec_minplus", lambda s, d: product.matvec_rows(rows(s, d), F.col("row"), first_row(s, d), lambda a, b: F.abs(a - b), "min"), f"SELECT i, min(abs(v - x)) AS value FROM {CO} JOIN {X0} USING (j) GROUP BY i")
+_add("matvec_softmax_num", lambda s, d: product.matvec_rows(rows(s, d), F.col("row"), first_row(s, d), lambda a, b: F.exp((a - b) / 1048576.0), "+", lambda x: F.round(x, 5)), f"SELECT i, round(sum(exp((v - x) / 1048576.0)), 5) AS value FROM {CO} JOIN {X0} USING (j) GROUP BY i")
+_add("matvec_norm_g", lambda s, d: product.matvec_rows(rows(s, d), F.col("row"), first_row(s, d), lambda a, b: (a - b) * (a - b), "+", lambda x: F.round(F.sqrt(x.cast("double")), 3)), f"SELECT i, round(sqrt(CAST(sum((v - x) * (v - x)) AS DOUBLE)), 3) AS value FROM {CO} JOIN {X0} USING (j) GROUP BY i")
+_add("matvec_struct", lambda s, d: (lambda r, x: r.select("i", *[F.aggregate(F.zip_with("row", F.lit(x), f), F.lit(0).cast("long"), lambda a, b: a + b).alias(k) for k, f in (("x", lambda a, b: a * b), ("y", lambda a, b: a + b), ("z", lambda a, b: a - b))]))(rows(s, d), first_row(s, d)),
+     f"SELECT i, CAST(sum(v * x) AS BIGINT) AS x, CAST(sum(v + x) AS BIGINT) AS y, CAST(sum(v - x) AS BIGINT) AS z FROM {CO} c JOIN {X0.replace('AS x', 'AS x')} USING (j) GROUP BY i")
+_add("matvec_view", lambda s, d: product.matvec_rows(rows(s, d).filter("i BETWEEN 10 AND 59"), F.slice("row", 9, 32), first_row(s, d)[8:40]), f"SELECT i, CAST(sum(v * x) AS BIGINT) AS value FROM {CO} JOIN {X0} USING (j) WHERE i BETWEEN 10 AND 59 AND j BETWEEN 8 AND 39 GROUP BY i")
+_XI = "(SELECT vec_id AS i, CAST(label AS BIGINT) AS x FROM embeddings)"
+_labels = lambda s, d: t.read(s, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").cast("long").alias("x"))
+_add("vecmat", lambda s, d: product.vecmat(_labels(s, d), coo(s, d), lambda a, b: a * b, "+"), f"SELECT j, CAST(sum(x * v) AS BIGINT) AS value FROM {CO} JOIN {_XI} USING (i) GROUP BY j")
+_add("vecmat_g", lambda s, d: product.vecmat(_labels(s, d), coo(s, d), lambda a, b: a + b, "max", lambda x: x * 2), f"SELECT j, max(x + v) * 2 AS value FROM {CO} JOIN {_XI} USING (i) GROUP BY j")
+
+# --- scans
+_W = "OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING)"
+for _name, _f, _op, _sql in (("sum", c, "+", "sum(c)"), ("sumsq", c * c, "+", "sum(c * c)"), ("min", c, "min", "min(c)"), ("max", c, "max", "max(c)")):
+    _add(f"scan_{_name}", lambda s, d, f=_f, op=_op: scan.scan(events(s, d), f, op), f"SELECT idx, CAST({_sql} {_W} AS BIGINT) AS value FROM {EV}")
+_add("scan_g_sqrt", lambda s, d: scan.scan(events(s, d), F.abs(c), "+", lambda x: F.round(F.sqrt(x.cast("double")), 5)), f"SELECT idx, round(sqrt(CAST(sum(abs(c)) {_W} AS DOUBLE)), 5) AS value FROM {EV}")
+_add("scan_u8_wrap", lambda s, d: scan.scan(events(s, d), F.pmod(c, F.lit(256)), "+", lambda x: reduce.wrap(x, 8)), f"SELECT idx, CAST((sum((c % 256 + 256) % 256) {_W}) % 256 AS BIGINT) AS value FROM {EV}")
+_add("scan_view", lambda s, d: scan.scan(t.view(events(s, d), 50, 549), c, "+"), f"SELECT idx - 50 AS idx, CAST(sum(c) {_W} AS BIGINT) AS value FROM {EV} WHERE idx BETWEEN 50 AND 549")
+_add("scan_welford", lambda s, d: scan.scan_many(events(s, d), {"n": (F.lit(1), "+"), "s": (c, "+"), "q": (c * c, "+")}).select("idx", "n", F.round(F.col("s") / F.col("n"), 4).alias("mean"), F.round((F.col("q") * F.col("n") - F.col("s") * F.col("s")).cast("double") / (F.col("n") * F.col("n")) / 1e4, 3).alias("var")),
+     f"SELECT idx, n, round(s / n, 4) AS mean, round(CAST(q * n - s * s AS DOUBLE) / (n * n) / 1e4, 3) AS var FROM (SELECT idx, count(*) {_W} AS n, CAST(sum(c) {_W} AS BIGINT) AS s, CAST(sum(c * c) {_W} AS BIGINT) AS q FROM {EV})")
+#: A recursive query over every row is too slow in SQL; the tests fold it in Python.
+_add("scan_affine", lambda s, d: scan.scan(events(s, d), _affine, compose).select("idx", "value.a", "value.b"), None)
+
+# --- search
+_add("findfirst", lambda s, d: search.find(events(s, d), c > 20000), f"SELECT min(idx) AS idx FROM {EV} WHERE c > 20000")
+_add("findlast", lambda s, d: search.find(events(s, d), c > 20000, last=True), f"SELECT max(idx) AS idx FROM {EV} WHERE c > 20000")
+_add("findfirst_none", lambda s, d: search.find(events(s, d), c < -10**12), f"SELECT min(idx) AS idx FROM {EV} WHERE c < -1000000000000")
+_add("findfirst_2d", lambda s, d: search.coordinates(search.find(events(s, d), c > 20000), "idx", 10, 10), f"SELECT idx % 10 AS d1, (idx // 10) % 10 AS d2, idx // 100 AS d3 FROM (SELECT min(idx) AS idx FROM {EV} WHERE c > 20000)")
+_add("argmax", lambda s, d: search.argmax(orders(s, d), c), f"SELECT idx FROM {OR} ORDER BY c DESC, idx LIMIT 1")
+_add("argmin", lambda s, d: search.argmin(orders(s, d), c), f"SELECT idx FROM {OR} ORDER BY c, idx LIMIT 1")
+_add("argmax_ties", lambda s, d: search.argmax(customer(s, d), F.col("nation")), f"SELECT idx FROM {CU} ORDER BY nation DESC, idx LIMIT 1")
+_add("argmax_f_abs", lambda s, d: search.argmax(customer(s, d), F.abs("c")), f"SELECT idx FROM {CU} ORDER BY abs(c) DESC, idx LIMIT 1")
+_add("argmax_struct", lambda s, d: search.argbest(orders(s, d), [F.desc("pr"), F.asc("c")]), f"SELECT idx FROM {OR} ORDER BY pr DESC, c, idx LIMIT 1")
+_add("argmax_multi", lambda s, d: search.argmax(orders(s, d), c - F.col("cust") * 100), f"SELECT idx FROM {OR} ORDER BY c - cust * 100 DESC, idx LIMIT 1")
+
+# --- sorts
+for _name, _frame, _keys, _from, _by in (
+    ("num", events, [F.asc("c")], EV, "c"), ("desc", events, [F.desc("c")], EV, "c DESC"), ("abs", customer, [F.abs("c").asc()], CU, "abs(c)"),
+    ("modlt", orders, [F.pmod(c, F.lit(97)).asc()], OR, "c % 97"), ("bool", events, [(c > 5000).asc()], EV, "c > 5000"), ("by_field", orders, [F.asc("pr")], OR, "pr"), ("multi_lt", orders, [F.desc("pr"), F.asc("cust"), F.desc("c")], OR, "pr DESC, cust, c DESC"),
+):
+    _add(f"sort_{_name}", lambda s, d, f=_frame, k=_keys: order.sort(f(s, d), k).select("pos", "idx", "c"), f"SELECT row_number() OVER (ORDER BY {_by}, idx) AS pos, idx, c FROM {_from}")
+_add("sort_float", lambda s, d: order.sort(events(s, d), order.order_key(v)).select("pos", "v"), f"SELECT row_number() OVER (ORDER BY v, idx) AS pos, v FROM {EV}")
+_add("sort_keyval", lambda s, d: order.sort(orders(s, d), [F.asc("cust")]).select("pos", "cust", "c"), f"SELECT row_number() OVER (ORDER BY cust, idx) AS pos, cust, c FROM {OR}")
+_add("sortperm", lambda s, d: order.sortperm(events(s, d), [F.asc("c")]), f"SELECT row_number() OVER (ORDER BY c, idx) AS pos, idx + 1 AS perm FROM {EV}")
+_add("sortperm_by", lambda s, d: order.sortperm(orders(s, d), [F.asc("pr"), F.desc("c")]), f"SELECT row_number() OVER (ORDER BY pr, c DESC, idx) AS pos, idx + 1 AS perm FROM {OR}")
+_add("sort_columns", lambda s, d: order.sort_columns(coo(s, d)).select("pos", "j", "v"), f"SELECT row_number() OVER (PARTITION BY j ORDER BY v, i) AS pos, j, v FROM {CO}")
+_add("sort_columns_desc", lambda s, d: order.sort_columns(coo(s, d), True).select("pos", "j", "v"), f"SELECT row_number() OVER (PARTITION BY j ORDER BY v DESC, i) AS pos, j, v FROM {CO}")
+_add("sort_arrays", lambda s, d: order.sort_arrays(rows(s, d), "row").select("i", F.posexplode("row").alias("pos", "v")), f"SELECT i, CAST(row_number() OVER (PARTITION BY i ORDER BY v) - 1 AS INTEGER) AS pos, v FROM {CO}")
+
+# --- random numbers
+_idx = lambda s, d: orders(s, d).select("idx")
+_R4, _R2 = (f"(SELECT idx, {{}} FROM {ph.philox_sql(f'(SELECT o_orderkey AS idx FROM orders)', 'idx', SEED, n)})" for n in (4, 2))
+_U32 = _R4.format("CASE idx % 4 WHEN 0 THEN r0 WHEN 1 THEN r1 WHEN 2 THEN r2 ELSE r3 END AS u")
+_F32 = f"(SELECT idx, CAST(u >> 9 AS DOUBLE) / 8388608.0 AS u FROM {_U32})"
+_add("philox_block", lambda s, d: ph.with_philox(_idx(s, d), SEED, F.col("idx")), f"SELECT idx, CAST(r0 AS BIGINT) AS r0, CAST(r1 AS BIGINT) AS r1, CAST(r2 AS BIGINT) AS r2, CAST(r3 AS BIGINT) AS r3 FROM {ph.philox_sql('(SELECT o_orderkey AS idx FROM orders)', 'idx', SEED, 1)}")
+_add("philox_u32", lambda s, d: ph.uniform_u32(_idx(s, d), SEED), f"SELECT idx, CAST(u AS BIGINT) AS u FROM {_U32}")
+_add("uniform_f32", lambda s, d: ph.uniform_f32(_idx(s, d), SEED), f"SELECT idx, u FROM {_F32}")
+_add("uniform_f64", lambda s, d: ph.uniform_f64(_idx(s, d), SEED), f"SELECT idx, (CAST(hi AS DOUBLE) * 1048576.0 + CAST(lo >> 12 AS DOUBLE)) / 4503599627370496.0 AS u FROM {_R2.format('CASE idx % 2 WHEN 0 THEN r1 ELSE r3 END AS hi, CASE idx % 2 WHEN 0 THEN r0 ELSE r2 END AS lo')}")
+for _name, _dist, _sql in (("uniform_ab", ph.Uniform(2.0, 5.0), "round(u * 3.0 + 2.0, 5)"), ("bernoulli", ph.Bernoulli(0.3), "u < 0.3"), ("exponential", ph.Exponential(2.0), "round(-ln(1.0 - u) / 2.0, 5)"), ("categorical", ph.Categorical([0.2, 0.5, 0.9]), "1 + CAST(u >= 0.2 AS INTEGER) + CAST(u >= 0.5 AS INTEGER) + CAST(u >= 0.9 AS INTEGER)")):
+    _round = _sql.startswith("round")
+    _add(_name, lambda s, d, g=_dist, r=_round: (lambda x: x.withColumn("v", F.round("v", 5)) if r else x)(g.sample(_idx(s, d), SEED)), f"SELECT idx, {_sql} AS v FROM {_F32}")
+_add("normal", lambda s, d: ph.Normal(10.0, 2.0).sample(_idx(s, d), SEED).withColumn("v", F.round("v", 5)),
+     "SELECT idx, round(10.0 + 2.0 * sqrt(-2.0 * ln(greatest(a, 1e-38))) * CASE idx % 2 WHEN 0 THEN cos(6.283185307179586 * b) ELSE sin(6.283185307179586 * b) END, 5) AS v FROM "
+     + _R4.format("CAST(CASE (idx // 2) % 2 WHEN 0 THEN r0 ELSE r2 END >> 9 AS DOUBLE) / 8388608.0 AS a, CAST(CASE (idx // 2) % 2 WHEN 0 THEN r1 ELSE r3 END >> 9 AS DOUBLE) / 8388608.0 AS b"))
+_add("randperm", lambda s, d: order.sortperm(ph.uniform_f32(_idx(s, d), SEED), [F.asc("u")]), f"SELECT row_number() OVER (ORDER BY u, idx) AS pos, idx + 1 AS perm FROM {_F32}")
+
+# --- 8-bit fixed point
+_raw = lambda s, d: customer(s, d).select("idx", u8.encode(v / 5000.0).alias("r"), (F.pmod(c, F.lit(255)) - 127).cast("int").alias("s"))
+_RAW = f"(SELECT idx, CAST(greatest(-127, least(127, round_even(v / 5000.0 * 128.0, 0))) AS INTEGER) AS r, CAST((c % 255 + 255) % 255 - 127 AS INTEGER) AS s FROM {CU})"
+_CL = "greatest(-127, least(127, {}))"
+_r, _s = F.col("r"), F.col("s")
+_add("uf8_roundtrip", lambda s, d: _raw(s, d).select("idx", "r", u8.decode(_r).alias("v")), f"SELECT idx, r, r / 128.0 AS v FROM {_RAW}")
+_add("uf8_add", lambda s, d: _raw(s, d).select("idx", u8.add(_r, _s).alias("v")), f"SELECT idx, {_CL.format('r + s')} AS v FROM {_RAW}")
+_add("uf8_sub", lambda s, d: _raw(s, d).select("idx", u8.subtract(_r, _s).alias("v")), f"SELECT idx, {_CL.format('r - s')} AS v FROM {_RAW}")
+_add("uf8_mul", lambda s, d: _raw(s, d).select("idx", u8.multiply(_r, _s).alias("v")), f"SELECT idx, CAST({_CL.format('floor(r * s / 128.0)')} AS INTEGER) AS v FROM {_RAW}")
+_add("uf8_div", lambda s, d: _raw(s, d).select("idx", u8.divide(_r, _s).alias("v")), f"SELECT idx, CASE WHEN s = 0 THEN CASE WHEN r < 0 THEN -127 ELSE 127 END ELSE CAST({_CL.format('trunc(r * 128.0 / nullif(s, 0))')} AS INTEGER) END AS v FROM {_RAW}")
+_add("uf8_sum", lambda s, d: reduce.mapreduce(_raw(s, d), _r, "+", lambda x: x / F.lit(128.0)), f"SELECT CAST(sum(r) AS BIGINT) / 128.0 AS value FROM {_RAW}")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector with the largest product with vector 0, other than itself."""
+    near = product.matvec_rows(rows(spark, sf_dir), F.col("row"), first_row(spark, sf_dir))
+    return search.argmax(near.filter("i <> 0"), F.col("value"), idx="i", name="nearest")
 
 
-def flagship(spark, sf_dir):
-    """Placeholder until the search and product operators are in."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+_add("nearest_vector", flagship, f"SELECT i AS nearest FROM {CO} JOIN {X0} USING (j) WHERE i <> 0 GROUP BY i ORDER BY sum(v * x) DESC, i LIMIT 1")
