@@ -4,9 +4,10 @@ The model is a bigram model over words with a word model below it:
 
     p(w | v) = (c(v, w) + MU p0(w)) / (c(v) + MU)
 
-p0 gives the ``HEADS`` most frequent words their own probability and spells every
-other word byte by byte from the two bytes before (counted over all training
-words, each as often as it occurs).  p0 is quantised to 1/8 of a decimal digit.
+p0 gives the ``HEADS`` most frequent words their own probability.  The rest is
+shared by the others: half evenly (all unknown words being one word, as in the
+base score), half by spelling a word byte by byte from the two bytes before
+(counted over all training words, each as often as it occurs).  p0 is quantised to 1/8 of a decimal digit.
 
 Text and counts never meet in one place.  Each document batch sends its bigrams
 to shards by context (a head's by context and word, so that no frequent context
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 from ._common import crc_text, stored, table
 from ._text import GOLDEN, hash_strings, mix64, split_words
 
-HEADS, MU, STEP, BATCH, WORDS_PER_SHARD = 65_536, 24.0, 0.125, 4096, 4_000_000
+HEADS, MU, STEP, BATCH, WORDS_PER_SHARD = 65_536, 24.0, 0.125, 4096, 2_000_000
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 
 
@@ -136,13 +138,14 @@ class Trie:
 class WordModel:
     """p0 of words: heads by their share, others spelled from byte pairs; at most 2^24 spelling counts and ``HEADS`` heads."""
 
-    def __init__(self, heads: dict[int, int], spelled: tuple[np.ndarray, np.ndarray], total: int, once: int) -> None:
+    def __init__(self, heads: dict[int, int], spelled: tuple[np.ndarray, np.ndarray], total: int, once: int, words: int) -> None:
         self.hash = np.array(sorted(heads), np.uint64)
         self.count = np.array([heads[int(h)] for h in self.hash], np.float64)
         self.total = max(1, total)
         known = self.count.sum() / self.total
         # Other words get what heads leave, but at least the share of words seen once.
         self.rest = min(0.999, max(1e-3, 1.0 - known, once / self.total))
+        self.others = max(0, words - len(self.hash)) + 1  # one place stands for all unknown words, as in the base
         self.scale = (1.0 - self.rest) / max(known, 1e-9)
         key, n = spelled
         order = np.argsort(key)
@@ -172,7 +175,8 @@ class WordModel:
         seen = _look(self.key, self.n, key)
         pair = _look(self.pair, self.pair_n, key >> np.uint64(8))
         logs = np.log10((seen + 0.5) / (pair + 128.0))
-        out = np.add.reduceat(logs, starts[:-1]) + np.log10(self.rest) if len(words) else np.empty(0)
+        spelled = 10.0 ** np.maximum(np.add.reduceat(logs, starts[:-1]), -300.0) if len(words) else np.empty(0)
+        out = np.log10(self.rest * (0.5 * spelled + 0.5 / self.others))
         head = _look(self.hash, self.count, hashes)
         return np.where(head > 0, np.log10(np.maximum(head, 1) * self.scale / self.total), out)
 
@@ -220,9 +224,11 @@ def _send(shared, shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: WordModel = shared.value
+        tag = TaskContext.get().partitionId() << 32
         for whole in batches:
             for k in range(0, whole.num_rows, BATCH):
                 b = whole.slice(k, BATCH)
+                tag += 1
                 words, offsets = split_words(b.column(2))
                 coded = words.dictionary_encode()
                 hashes = hash_strings(coded.dictionary)
@@ -248,42 +254,45 @@ def _send(shared, shards: int):
                 first = np.flatnonzero(new)
                 often = np.diff(np.append(first, n)).astype(np.uint16 if n < 65536 else np.uint32)
                 shard, context, short, quant, owner = (x[first] for x in (shard, context, short, quant, owner))
-                rows: list[list] = [[] for _ in range(8)]
-                ids, train = b.column(0), b.column(1)
+                rows: list[list] = [[] for _ in range(7)]
                 cuts = np.searchsorted(shard, np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(cuts)):
                     here = slice(cuts[s], cuts[s + 1])
                     c = context[here]
                     starts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-                    for to, x in zip(rows, (int(s), _blob(c[starts]), _blob(np.diff(np.append(starts, len(c))).astype(np.uint32)), _blob(short[here]), _blob(quant[here]), _blob(owner[here].astype(np.uint16)), _blob(often[here].astype(np.uint32)), (ids, train)), strict=True):
+                    for to, x in zip(rows, (int(s), _blob(c[starts]), _blob(np.diff(np.append(starts, len(c))).astype(np.uint32)), _blob(short[here]), _blob(quant[here]), _blob(owner[here].astype(np.uint16)), _blob(often[here].astype(np.uint32))), strict=True):
                         to.append(x)
-                tags = [_blob(np.asarray(i.to_numpy(zero_copy_only=False), np.int64)) for i, _ in rows[7]]
-                flags = [_blob(np.asarray(t.to_numpy(zero_copy_only=False), np.uint8)) for _, t in rows[7]]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in (*rows[1:7], tags, flags))], MESSAGE)
+                # The ids go along once a batch; every message says which documents train.
+                ids = _blob(b.column(0).fill_null(NO_ID).to_numpy().astype(np.int64))
+                train = _blob(b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8))
+                sent = len(rows[0])
+                yield pa.RecordBatch.from_arrays([pa.array([tag] * sent, pa.int64()), pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in (*rows[1:7], [ids, *[b""] * (sent - 1)], [train] * sent))], MESSAGE)
 
     return run
 
 
-MESSAGE = ["shard", "contexts", "lens", "words", "p0", "docs", "counts", "ids", "train"]
+NO_ID = -(1 << 63)
+MESSAGE = ["batch", "shard", "contexts", "lens", "words", "p0", "docs", "counts", "ids", "train"]
+ANSWER = ["batch", "docs", "s", "b", "k", "n", "ids"]
 
 
 def _answer(shared):
-    """A shard's messages to sums per document."""
+    """A shard's messages to answers: sums for the documents of each message."""
 
     def run(messages: pa.Table) -> pa.Table:
         model: WordModel = shared.value
         parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        n_docs = 0
-        for m in messages.to_batches():
-            of = lambda r, c, kind: np.frombuffer(m.column(MESSAGE.index(c))[r].as_py(), kind)  # noqa: E731, B023
-            for r in range(m.num_rows):
-                ids, owner = of(r, "ids", np.int64), of(r, "docs", np.uint16)
-                used, at = np.unique(owner, return_inverse=True)
-                for to, x in zip(parts, (np.repeat(of(r, "contexts", np.uint64), of(r, "lens", np.uint32)), of(r, "words", np.uint32), of(r, "p0", np.uint8), (at + n_docs).astype(np.int32), of(r, "counts", np.uint32), np.stack([ids[used], of(r, "train", np.uint8)[used]])), strict=True):
-                    to.append(x)
-                n_docs += len(used)
-        ids, train = np.concatenate(parts[5], axis=1)
-        context, word, p0, doc, often = (np.concatenate(x) for x in parts[:5])
+        used, n_docs = [], 0
+        raw = [messages.column(c).to_pylist() for c in MESSAGE[2:8]]
+        for *blobs, train in zip(*raw, messages.column("train").to_pylist(), strict=True):
+            context, lens, word, p0, owner, often = (np.frombuffer(x, k) for x, k in zip(blobs, (np.uint64, np.uint32, np.uint32, np.uint8, np.uint16, np.uint32), strict=True))
+            docs, at = np.unique(owner, return_inverse=True)
+            for to, x in zip(parts, (np.repeat(context, lens), word, p0, (at + n_docs).astype(np.int32), often, np.frombuffer(train, np.uint8)[docs]), strict=True):
+                to.append(x)
+            used.append(docs)
+            n_docs += len(docs)
+        del raw
+        context, word, p0, doc, often, train = (np.concatenate(x) for x in parts)
         parts.clear()
         order = np.lexsort((word, context))
         context, word, p0, doc, often = (x[order] for x in (context, word, p0, doc, often))
@@ -305,14 +314,23 @@ def _answer(shared):
         finally:
             shutil.rmtree(folder, ignore_errors=True)
         p = (distinct + MU * 10.0 ** (-STEP * p0.astype(np.float64))) / (np.maximum(c_context, distinct) + MU)
-        score = np.bincount(doc, often * np.log10(p), n_docs)
-        base = np.bincount(doc, often * np.log10(c_context + 1), n_docs)
-        known = np.bincount(doc, np.where(c_context > 0, often, 0), n_docs).astype(np.int64)
-        return pa.table({"_row": ids, "_s": score, "_b": base, "_k": known, "_n": np.bincount(doc, often, n_docs).astype(np.int64)})
+        sums = [np.bincount(doc, w, n_docs) for w in (often * np.log10(p), often * np.log10(c_context + 1), np.where(c_context > 0, often, 0), often)]
+        cuts = np.concatenate([[0], np.cumsum([len(u) for u in used])])
+        cut = lambda x, kind: pa.array([_blob(x[a:b].astype(kind)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+        return pa.Table.from_arrays([messages.column("batch"), pa.array([_blob(u) for u in used], pa.binary()), cut(sums[0], np.float64), cut(sums[1], np.float64), cut(sums[2], np.uint32), cut(sums[3], np.uint32), messages.column("ids")], ANSWER)
 
     return run
 
 
+def _gather(answers: pa.Table) -> pa.Table:
+    """A batch's answers to one row per document."""
+    ids = np.frombuffer(b"".join(answers.column("ids").to_pylist()), np.int64)
+    whole = lambda c, kind: np.frombuffer(b"".join(answers.column(c).to_pylist()), kind)
+    docs = whole("docs", np.uint16)
+    s, b, k, n = (np.bincount(docs, whole(c, kind), len(ids)) for c, kind in (("s", np.float64), ("b", np.float64), ("k", np.uint32), ("n", np.uint32)))
+    return pa.table({"_row": pa.array(ids, mask=ids == NO_ID), "_s": s, "_b": b, "_k": k.astype(np.int64), "_n": n.astype(np.int64)})
+
+
 def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``training``: a condition."""
     spark = docs.sparkSession
@@ -325,11 +343,12 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     top = counts.orderBy(F.desc("n"), "w").limit(HEADS).mapInArrow(_with_hash, "h long, n long").collect()
     heads = {r["h"] % (1 << 64): r["n"] for r in top} | ({int(END): ends} if ends else {})
     pairs = counts.mapInArrow(_spell, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # at most 2^24 rows, in practice thousands
-    shared = spark.sparkContext.broadcast(WordModel(heads, (pairs.k.to_numpy(np.uint64), pairs.n.to_numpy(np.int64)), total, once))
+    shared = spark.sparkContext.broadcast(WordModel(heads, (pairs.k.to_numpy(np.uint64), pairs.n.to_numpy(np.int64)), total, once, vocabulary))
     shards = int(max(1, total // WORDS_PER_SHARD) + 1)
-    sent = rows.select(F.col("_id").cast("long").alias("_id"), "_train", "_text").mapInArrow(_send(shared, shards), "shard int, contexts binary, lens binary, words binary, p0 binary, docs binary, counts binary, ids binary, train binary")
-    sums = sent.groupBy("shard").applyInArrow(_answer(shared), "_row long, _s double, _b double, _k long, _n long")
-    found = sums.groupBy("_row").agg(F.sum("_s").alias("_s"), F.sum("_b").alias("_b"), F.sum("_k").alias("_k"), F.sum("_n").alias("_n"))
+    binary = lambda cs: ", ".join(f"{c} binary" for c in cs)
+    sent = rows.select(F.col("_id").cast("long").alias("_id"), "_train", "_text").mapInArrow(_send(shared, shards), f"batch long, shard int, {binary(MESSAGE[2:])}")
+    answers = sent.groupBy("shard").applyInArrow(_answer(shared), f"batch long, {binary(ANSWER[1:])}")
+    found = answers.groupBy("batch").applyInArrow(_gather, "_row long, _s double, _b double, _k long, _n long")
     each = F.lit(float(np.log10(total + vocabulary + 1)))
     return found.select(F.col("_row").alias(id_col), F.col("_n").alias("n_tokens"), F.col("_k").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("_b") - F.col("_n") * each).alias("base_score"), F.col("_s").alias("score"))
 
