@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from ._common import table
 
-PARAGRAPH = r"[^\n]{1,80}[^\n.!?]{0,160}[.!?]*\n*|\n+"
-CELLS, PER_SEGMENT, ROUNDS, LARGER = 16, 8, 24, (4, 4)
+PARAGRAPH = r"[^\n]{1,120}[^\n.!?]{0,240}[.!?]*\n*|\n+"
+CELLS, PER_SEGMENT, ROUNDS, LARGER = 16, 10, 24, 4
 ROWS_PER_BLOCK, MOST_BLOCKS = 500, 4096
 
 
@@ -58,21 +58,34 @@ def segments(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(PER_SEGMENT)) / F.lit(float(PER_SEGMENT))))).cast("int")
 
 
-def _place(d: Column, t: Column, cells: int) -> Column:
-    """A digest's cell in table t of its segment."""
-    return F.pmod(_ushift(d, F.lit(36) + t * 8), F.lit(cells)).cast("int")
+def _mask(d: Column) -> Column:
+    """A digest's cells in its segment, one in each of three tables of 16, as bits 0 to 47."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), _ushift(d, 36 + 8 * t).bitwiseAND(F.lit(CELLS - 1)).cast("int") + F.lit(CELLS * t))
+    return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
+
+
+def _in_cell(m: Column, i: Column) -> Column:
+    return F.call_function("getbit", m, i) == 1
 
 
 def _upto(n: Column | int) -> Column:
     return F.sequence(F.lit(0), (n if isinstance(n, Column) else F.lit(n)) - 1)
 
 
-def sketch(found: Column, segs: Column, cells: int = CELLS) -> Column:
-    """The cells, segment by segment, table by table: array of (k, c)."""
-    cell = lambda ds: F.struct(F.aggregate(ds, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(d)).alias("k"), F.size(ds).alias("c"))
-    one_table = lambda mine, t: F.transform(_upto(cells), lambda i: _let(F.filter(mine, lambda d: _place(d, t, cells) == i), cell))
-    one_segment = lambda s: _let(F.filter(found, lambda d: F.pmod(_ushift(d, 16), segs) == s), lambda mine: F.flatten(F.transform(_upto(3), lambda t: one_table(mine, t))))
-    return F.flatten(F.transform(_upto(segs), one_segment))
+def _segment(found: Column, s: Column, segs: Column) -> Column:
+    return F.filter(found, lambda d: F.pmod(_ushift(d, 16), segs) == s)
+
+
+def segment_cells(found: Column, s: Column, segs: Column) -> Column:
+    """The cells of one segment: array of (k, c)."""
+    cell = lambda xs: F.struct(F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x["d"])).alias("k"), F.size(xs).alias("c"))
+    mine = F.transform(_segment(found, s, segs), lambda d: F.struct(d.alias("d"), _mask(d).alias("m")))
+    return _let(mine, lambda ds: F.transform(_upto(3 * CELLS), lambda i: _let(F.filter(ds, lambda x: _in_cell(x["m"], i)), cell)))
+
+
+def sketch(found: Column, segs: Column) -> Column:
+    """The cells of all segments."""
+    return F.flatten(F.transform(_upto(segs), lambda s: segment_cells(found, s, segs)))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -80,17 +93,17 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def _pure(cells: Column) -> Column:
-    """The single digests that cells hold, with the side they are on."""
-    return F.array_distinct(F.filter(cells, lambda x: (F.abs(x["c"]) == 1) & (_check(_ushift(x["k"], 16)) == x["k"].bitwiseAND(F.lit(65535)))))
+    """The single digests that cells hold, with the side they are on and their cells."""
+    single = F.filter(cells, lambda x: (F.abs(x["c"]) == 1) & (_check(_ushift(x["k"], 16)) == x["k"].bitwiseAND(F.lit(65535))))
+    return F.transform(F.array_distinct(single), lambda x: F.struct(x["k"].alias("k"), x["c"].alias("c"), _mask(x["k"]).alias("m")))
 
 
-def peel(cells: Column, width: int) -> Column:
+def peel(cells: Column) -> Column:
     """(ok, a, b): whether all came out, and how many digests only the first or second version has."""
 
     def without(st: Column) -> Column:
-        mine = lambda i: F.filter(st["pure"], lambda p: _place(p["k"], F.floor(i / width).cast("int"), width) == F.pmod(i, F.lit(width)))
         drop = lambda a, p: F.struct(a["k"].bitwiseXOR(p["k"]).alias("k"), (a["c"] - p["c"]).alias("c"))
-        return F.transform(st["cells"], lambda x, i: F.aggregate(mine(i), x, drop))
+        return F.transform(st["cells"], lambda x, i: F.aggregate(F.filter(st["pure"], lambda p: _in_cell(p["m"], i)), x, drop))
 
     side = lambda pure, s: F.size(F.filter(pure, lambda p: p["c"] == s))
 
@@ -108,23 +121,37 @@ def _jaccard(only_a: Column, only_b: Column, n_a: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise((n_a - only_a) / union)
 
 
-def _peeled(diff: Column, segs: Column, n_a: Column, width: int) -> Column:
-    """Likeness from a subtracted sketch, null if any segment is stuck."""
-    parts = F.transform(_upto(segs), lambda s: peel(F.slice(diff, s * (3 * width) + 1, F.lit(3 * width)), width))
-    total = lambda ps, side: F.aggregate(ps, F.lit(0), lambda a, p: a + p[side])
-    return _let(parts, lambda ps: F.when(F.forall(ps, lambda p: p["ok"]), _jaccard(total(ps, "a"), total(ps, "b"), n_a)))
+def _outcome(ok: Column, a: Column, b: Column) -> Column:
+    return F.struct(ok.alias("ok"), a.alias("a"), b.alias("b"))
+
+
+def _total(parts: Column, side: str) -> Column:
+    return F.aggregate(parts, F.lit(0), lambda a, p: a + p[side])
+
+
+def likeness(a: str, b: str) -> Column:
+    """Likeness of two versions, from columns X (digests), X_n (their number), X_s (segments) and X_k (sketch).
+
+    A segment that gets stuck is sketched again as ``LARGER`` segments; if one of
+    those is stuck too, the segment's digests are compared themselves.
+    """
+    d_a, d_b, n_a, pair, width = F.col(a), F.col(b), F.col(f"{a}_n"), F.col(f"{a}{b}_s"), 3 * CELLS
+    fit = lambda v: F.when(F.col(f"{v}_s") == pair, F.col(f"{v}_k")).otherwise(sketch(F.col(v), pair))
+    more = pair * LARGER
+
+    def listed(s: Column) -> Column:
+        here, there = _segment(d_a, s, pair), _segment(d_b, s, pair)
+        return _outcome(F.lit(True), F.size(F.array_except(here, there)), F.size(F.array_except(there, here)))
+
+    def again(s: Column) -> Column:
+        parts = F.transform(_upto(LARGER), lambda j: peel(subtract(segment_cells(d_a, s + pair * j, more), segment_cells(d_b, s + pair * j, more))))
+        return _let(parts, lambda ps: F.when(F.forall(ps, lambda p: p["ok"]), _outcome(F.lit(True), _total(ps, "a"), _total(ps, "b"))).otherwise(listed(s)))
 
+    def peeled(diff: Column) -> Column:
+        return F.transform(_upto(pair), lambda s: _let(peel(F.slice(diff, s * width + 1, F.lit(width))), lambda p: F.when(p["ok"], p).otherwise(again(s))))
 
-def likeness(d_a: Column, d_b: Column, own_a: Column, own_b: Column) -> Column:
-    """Likeness of two texts by their digests; ``own``: their sketches of their own size."""
-    segs = F.greatest(segments(F.size(d_a)), segments(F.size(d_b)))
-    fit = lambda d, own: F.when(segments(F.size(d)) == segs, own).otherwise(sketch(d, segs))
-    tries, width = [_peeled(subtract(fit(d_a, own_a), fit(d_b, own_b)), segs, F.size(d_a), CELLS)], CELLS
-    for times in LARGER:
-        width *= times
-        tries.append(_peeled(subtract(sketch(d_a, segs, width), sketch(d_b, segs, width)), segs, F.size(d_a), width))
-    common = F.size(F.array_intersect(d_a, d_b))
-    return F.coalesce(*tries, _jaccard(F.size(d_a) - common, F.size(d_b) - common, F.size(d_a)))
+    parts = _let(subtract(fit(a), fit(b)), peeled)
+    return _let(parts, lambda ps: _jaccard(_total(ps, "a"), _total(ps, "b"), n_a))
 
 
 def as_text(cells: Column) -> Column:
@@ -165,13 +192,11 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n = F.length("_text")
     third = F.floor(n / 3).cast("int")
     rows = with_next(docs, id_col, text_col).withColumn("n_chars", n.cast("long")).withColumn("_edited", F.concat(F.substring("_text", F.lit(1), n - third), F.substring("_next", F.lit(1), third)))
-    rows = rows.select(F.col("_id").alias(id_col), "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), digests(F.col("_text")).alias("_d"), digests(F.col("_edited")).alias("_e"), digests(F.col("_next")).alias("_x"))
-    own = lambda c: sketch(F.col(c), segments(F.size(c)))
-    rows = rows.select("*", own("_d").alias("_ds"), own("_e").alias("_es"), own("_x").alias("_xs"))
-    return rows.select(
-        id_col, "n_chars", "edited_sha256", as_text(F.col("_ds")).alias("fingerprint"), as_text(F.col("_es")).alias("edited_fingerprint"),
-        likeness(F.col("_d"), F.col("_e"), F.col("_ds"), F.col("_es")).alias("near_edited"), likeness(F.col("_d"), F.col("_x"), F.col("_ds"), F.col("_xs")).alias("near_next"),
-    )
+    rows = rows.select(F.col("_id").alias(id_col), "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), digests(F.col("_text")).alias("d"), digests(F.col("_edited")).alias("e"), digests(F.col("_next")).alias("x"))
+    # Each step is a projection of its own, so that nothing is computed inside a loop over cells.
+    rows = rows.select("*", *[F.size(v).alias(f"{v}_n") for v in "dex"]).select("*", *[segments(F.col(f"{v}_n")).alias(f"{v}_s") for v in "dex"])
+    rows = rows.select("*", *[F.greatest("d_s", f"{v}_s").alias(f"d{v}_s") for v in "ex"], *[sketch(F.col(v), F.col(f"{v}_s")).alias(f"{v}_k") for v in "dex"])
+    return rows.select(id_col, "n_chars", "edited_sha256", as_text(F.col("d_k")).alias("fingerprint"), as_text(F.col("e_k")).alias("edited_fingerprint"), likeness("d", "e").alias("near_edited"), likeness("d", "x").alias("near_next"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
