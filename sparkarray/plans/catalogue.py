@@ -23,11 +23,22 @@ SEED = 0x1234_5678_9ABC
 
 
 def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
-    QUERIES[name] = run
+    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _columns()
+        return run(spark, sf_dir)
+
+    QUERIES[name] = made
     if sql is not None:
         ORACLE_SQL[name] = sql
 
 
+def _columns() -> None:
+    """Names the columns that queries share; columns need a session, which importing does not."""
+    global v, c, p, _r, _s, _affine
+    v, c, p, _r, _s = (F.col(k) for k in ("v", "c", "p", "r", "s"))
+    _affine = F.struct((F.pmod(c, F.lit(97)) + 1).alias("a"), F.pmod(c, F.lit(89)).alias("b"))
+
+
 def _cents(c: str):
     return F.round(F.col(c) * 100).cast("long")
 
@@ -72,7 +83,6 @@ LI = "(SELECT CAST(l_quantity AS BIGINT) AS q, CAST(round(l_extendedprice * 100)
 TE = f"(SELECT *, idx % 10 AS d1, (idx // 10) % 10 AS d2, idx // 100 AS d3 FROM {EV})"
 CO = "(SELECT vec_id AS i, CAST(k - 1 AS INTEGER) AS j, CAST(floor(CAST(embedding[k] AS DOUBLE) * 1048576) AS BIGINT) AS v FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS k))"
 X0 = f"(SELECT j, v AS x FROM {CO} WHERE i = 0)"
-v, c, p = F.col("v"), F.col("c"), F.col("p")
 
 # --- copy, fill, index, views
 _add("copy_all", lambda s, d: events(s, d).select("idx", "v"), f"SELECT idx, v FROM {EV}")
@@ -84,8 +94,8 @@ _add("view_reversed", lambda s, d: t.reversed_view(e := events(s, d).select("idx
 _add("view_write_through", lambda s, d: t.write_into(events(s, d).select("idx", c.alias("v")), t.view(events(s, d), 10, 29).select("idx", (c * 2).alias("v")), 10), f"SELECT idx, CASE WHEN idx BETWEEN 10 AND 29 THEN c * 2 ELSE c END AS v FROM {EV}")
 
 # --- reductions
-for _name, _f, _op, _sql in (("sum", c, "+", "sum(c)"), ("sumsq", c * c, "+", "sum(c * c)"), ("max", c, "max", "max(c)"), ("min", c, "min", "min(c)"), ("count", F.when(c > 5000, 1), "count", "count(CASE WHEN c > 5000 THEN 1 END)")):
-    _add(f"reduce_{_name}", lambda s, d, f=_f, op=_op: reduce.mapreduce(events(s, d), f, op), f"SELECT CAST({_sql} AS BIGINT) AS value FROM {EV}")
+for _name, _f, _op, _sql in (("sum", lambda: c, "+", "sum(c)"), ("sumsq", lambda: c * c, "+", "sum(c * c)"), ("max", lambda: c, "max", "max(c)"), ("min", lambda: c, "min", "min(c)"), ("count", lambda: F.when(c > 5000, 1), "count", "count(CASE WHEN c > 5000 THEN 1 END)")):
+    _add(f"reduce_{_name}", lambda s, d, f=_f, op=_op: reduce.mapreduce(events(s, d), f(), op), f"SELECT CAST({_sql} AS BIGINT) AS value FROM {EV}")
 _add("reduce_mean_g", lambda s, d: reduce.mapreduce(events(s, d), F.struct(c).c, "+", lambda x: F.round(x / F.count(F.lit(1)), 6)), f"SELECT round(sum(c) / count(*), 6) AS value FROM {EV}")
 _add("reduce_sqrt_g", lambda s, d: reduce.mapreduce(orders(s, d), (c * c).cast("decimal(20,0)"), "+", lambda x: F.round(F.sqrt(x.cast("double")), 3)), f"SELECT round(sqrt(CAST(sum(CAST(c AS HUGEINT) * c) AS DOUBLE)), 3) AS value FROM {OR}")
 _add("reduce_product_mod", lambda s, d: reduce.mapreduce(events(s, d), F.pmod(c, F.lit(1009)) + 1, lambda a, b: F.pmod(a * b, F.lit(1000003))), f"SELECT list_reduce(list(c % 1009 + 1 ORDER BY idx), lambda a, b: (a * b) % 1000003) AS value FROM {EV}")
@@ -109,7 +119,6 @@ _add("dims_grouping_sets", lambda s, d: reduce.multi_reduce(cells(s, d), F.sum("
 _add("rowreduce_max", lambda s, d: product.matvec_rows(rows(s, d), F.col("row"), None, lambda a: a, "max"), f"SELECT i, max(v) AS value FROM {CO} GROUP BY i")
 _add("colreduce_sum", lambda s, d: product.vecmat(None, coo(s, d), lambda a: a, "+"), f"SELECT j, CAST(sum(v) AS BIGINT) AS value FROM {CO} GROUP BY j")
 _add("reduce2d_g", lambda s, d: reduce.mapreduce(coo(s, d), F.abs("v"), "+", lambda x: F.round(x / 64, 4), ["i"]), f"SELECT i, round(sum(abs(v)) / 64, 4) AS value FROM {CO} GROUP BY i")
-_affine = F.struct((F.pmod(c, F.lit(97)) + 1).alias("a"), F.pmod(c, F.lit(89)).alias("b"))
 _P = 1000003
 
 
@@ -138,8 +147,8 @@ _add("vecmat_g", lambda s, d: product.vecmat(_labels(s, d), coo(s, d), lambda a,
 
 # --- scans
 _W = "OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING)"
-for _name, _f, _op, _sql in (("sum", c, "+", "sum(c)"), ("sumsq", c * c, "+", "sum(c * c)"), ("min", c, "min", "min(c)"), ("max", c, "max", "max(c)")):
-    _add(f"scan_{_name}", lambda s, d, f=_f, op=_op: scan.scan(events(s, d), f, op), f"SELECT idx, CAST({_sql} {_W} AS BIGINT) AS value FROM {EV}")
+for _name, _f, _op, _sql in (("sum", lambda: c, "+", "sum(c)"), ("sumsq", lambda: c * c, "+", "sum(c * c)"), ("min", lambda: c, "min", "min(c)"), ("max", lambda: c, "max", "max(c)")):
+    _add(f"scan_{_name}", lambda s, d, f=_f, op=_op: scan.scan(events(s, d), f(), op), f"SELECT idx, CAST({_sql} {_W} AS BIGINT) AS value FROM {EV}")
 _add("scan_g_sqrt", lambda s, d: scan.scan(events(s, d), F.abs(c), "+", lambda x: F.round(F.sqrt(x.cast("double")), 5)), f"SELECT idx, round(sqrt(CAST(sum(abs(c)) {_W} AS DOUBLE)), 5) AS value FROM {EV}")
 _add("scan_u8_wrap", lambda s, d: scan.scan(events(s, d), F.pmod(c, F.lit(256)), "+", lambda x: reduce.wrap(x, 8)), f"SELECT idx, CAST((sum((c % 256 + 256) % 256) {_W}) % 256 AS BIGINT) AS value FROM {EV}")
 _add("scan_view", lambda s, d: scan.scan(t.view(events(s, d), 50, 549), c, "+"), f"SELECT idx - 50 AS idx, CAST(sum(c) {_W} AS BIGINT) AS value FROM {EV} WHERE idx BETWEEN 50 AND 549")
@@ -162,10 +171,10 @@ _add("argmax_multi", lambda s, d: search.argmax(orders(s, d), c - F.col("cust")
 
 # --- sorts
 for _name, _frame, _keys, _from, _by in (
-    ("num", events, [F.asc("c")], EV, "c"), ("desc", events, [F.desc("c")], EV, "c DESC"), ("abs", customer, [F.abs("c").asc()], CU, "abs(c)"),
-    ("modlt", orders, [F.pmod(c, F.lit(97)).asc()], OR, "c % 97"), ("bool", events, [(c > 5000).asc()], EV, "c > 5000"), ("by_field", orders, [F.asc("pr")], OR, "pr"), ("multi_lt", orders, [F.desc("pr"), F.asc("cust"), F.desc("c")], OR, "pr DESC, cust, c DESC"),
+    ("num", events, lambda: [F.asc("c")], EV, "c"), ("desc", events, lambda: [F.desc("c")], EV, "c DESC"), ("abs", customer, lambda: [F.abs("c").asc()], CU, "abs(c)"),
+    ("modlt", orders, lambda: [F.pmod(c, F.lit(97)).asc()], OR, "c % 97"), ("bool", events, lambda: [(c > 5000).asc()], EV, "c > 5000"), ("by_field", orders, lambda: [F.asc("pr")], OR, "pr"), ("multi_lt", orders, lambda: [F.desc("pr"), F.asc("cust"), F.desc("c")], OR, "pr DESC, cust, c DESC"),
 ):
-    _add(f"sort_{_name}", lambda s, d, f=_frame, k=_keys: order.sort(f(s, d), k).select("pos", "idx", "c"), f"SELECT row_number() OVER (ORDER BY {_by}, idx) AS pos, idx, c FROM {_from}")
+    _add(f"sort_{_name}", lambda s, d, f=_frame, k=_keys: order.sort(f(s, d), k()).select("pos", "idx", "c"), f"SELECT row_number() OVER (ORDER BY {_by}, idx) AS pos, idx, c FROM {_from}")
 _add("sort_float", lambda s, d: order.sort(events(s, d), order.order_key(v)).select("pos", "v"), f"SELECT row_number() OVER (ORDER BY v, idx) AS pos, v FROM {EV}")
 _add("sort_keyval", lambda s, d: order.sort(orders(s, d), [F.asc("cust")]).select("pos", "cust", "c"), f"SELECT row_number() OVER (ORDER BY cust, idx) AS pos, cust, c FROM {OR}")
 _add("sortperm", lambda s, d: order.sortperm(events(s, d), [F.asc("c")]), f"SELECT row_number() OVER (ORDER BY c, idx) AS pos, idx + 1 AS perm FROM {EV}")
@@ -195,7 +204,6 @@ _add("randperm", lambda s, d: order.sortperm(ph.uniform_f32(_idx(s, d), SEED), [
 _raw = lambda s, d: customer(s, d).select("idx", u8.encode(v / 5000.0).alias("r"), (F.pmod(c, F.lit(255)) - 127).cast("int").alias("s"))
 _RAW = f"(SELECT idx, CAST(greatest(-127, least(127, round_even(v / 5000.0 * 128.0, 0))) AS INTEGER) AS r, CAST((c % 255 + 255) % 255 - 127 AS INTEGER) AS s FROM {CU})"
 _CL = "greatest(-127, least(127, {}))"
-_r, _s = F.col("r"), F.col("s")
 _add("uf8_roundtrip", lambda s, d: _raw(s, d).select("idx", "r", u8.decode(_r).alias("v")), f"SELECT idx, r, r / 128.0 AS v FROM {_RAW}")
 _add("uf8_add", lambda s, d: _raw(s, d).select("idx", u8.add(_r, _s).alias("v")), f"SELECT idx, {_CL.format('r + s')} AS v FROM {_RAW}")
 _add("uf8_sub", lambda s, d: _raw(s, d).select("idx", u8.subtract(_r, _s).alias("v")), f"SELECT idx, {_CL.format('r - s')} AS v FROM {_RAW}")
