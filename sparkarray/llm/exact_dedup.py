@@ -55,11 +55,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with their own columns; texts move once."""
-    ids = groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    ids = groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_dedup_id"), F.col("text_sha256").alias("_dedup_sha"))
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    found = docs.withColumn("_sha0", sha).join(ids, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha0") == F.col("_sha")), "left_semi")
-    one = Window.partitionBy(id_col, "_sha0").orderBy(F.lit(1))
-    return found.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select(*docs.columns)
+    found = docs.withColumn("_dedup_own", sha).join(ids, F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (F.col("_dedup_own") == F.col("_dedup_sha")), "left_semi")
+    one = Window.partitionBy(id_col, "_dedup_own").orderBy(F.lit(1))
+    return found.withColumn("_dedup_nth", F.row_number().over(one)).filter("_dedup_nth = 1").select(*docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,9 +96,9 @@ def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame
 
     Rows that share an id take the largest number of copies found for it.
     """
-    copies = mixed.filter("copies > 0").groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    found = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"]))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    copies = mixed.filter("copies > 0").groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").cast("int").alias("_mix_copies"))
+    found = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_mix_id")))
+    return found.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

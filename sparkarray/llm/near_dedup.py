@@ -196,10 +196,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, with its own columns; documents without an id stay."""
-    ids = classes(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"))
-    found = docs.join(ids, docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    ids = classes(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_near_id"))
+    found = docs.join(ids, F.col(id_col).eqNullSafe(F.col("_near_id")), "left_semi")
     one = Window.partitionBy(id_col).orderBy(F.lit(1))
-    return found.withColumn("_nth", F.row_number().over(one)).filter(F.col(id_col).isNull() | (F.col("_nth") == 1)).select(*docs.columns)
+    return found.withColumn("_near_nth", F.row_number().over(one)).filter(F.col(id_col).isNull() | (F.col("_near_nth") == 1)).select(*docs.columns)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
     """The shards as folders of Parquet files, in slot order within each file."""
-    rows = docs.join(placed.select(F.col(id_col).alias("_id"), "shard", "slot"), docs[id_col].eqNullSafe(F.col("_id"))).drop("_id")
+    rows = docs.join(placed.select(F.col(id_col).alias("_shard_id"), "shard", "slot"), F.col(id_col).eqNullSafe(F.col("_shard_id"))).drop("_shard_id")
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
