@@ -13,7 +13,7 @@ all its pairs at once.  Texts go whose own shingles, those that no other candida
 has, are too many for any link.  Then each member meets the bucket's leader, the
 member with the least share of own shingles; buckets that still hold several
 classes go on with more leaders a round, members of one class and pairs that
-their own shingles keep apart never being compared, until each member has met
+their own shingles or their bitmaps keep apart never being compared, until each member has met
 every other one that it may link to.  Equal texts share one node, so copies are never compared.
 
 Cases: a null text is empty; texts without words are only equal to each other;
@@ -35,6 +35,8 @@ from ._common import drop_stored, stored, table
 from ._text import GOLDEN, distinct, mix64, shingles
 
 WORDS, SIMILARITY, BANDS, ROWS, LEADERS = 5, 0.8, 20, 5, 16
+#: 64-bit words of a set's bitmap.
+BITMAP = 16
 
 
 def _draw(k: int) -> np.uint64:
@@ -91,7 +93,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, whole.num_rows, 1024):
             b = whole.slice(k, 1024)
             values, owner, _ = distinct(*shingles(b.column(1), WORDS))
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(values.view(np.int64), np.bincount(owner, minlength=b.num_rows), pa.int64())], ["_node", "_set"])
+            bits = np.zeros(b.num_rows * BITMAP, np.uint64)
+            place = values % np.uint64(64 * BITMAP)
+            np.bitwise_or.at(bits, owner * BITMAP + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+            sets = _lists(values.view(np.int64), np.bincount(owner, minlength=b.num_rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), sets, _lists(bits.view(np.int64), np.full(b.num_rows, BITMAP), pa.int64())], ["_node", "_set", "_bits"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -101,21 +107,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(a, "a").join(b, "b").filter(both >= F.lit(similarity) * (F.size("_a") + F.size("_b") - both)).select("a", "b")
 
 
-def _may_link(n: str, own: str, m: str, other: str, similarity: float) -> F.Column:
-    """Whether two sets can reach the similarity at all: shingles that no other text has are never shared."""
-    both = F.least(F.col(n) - F.col(own), F.col(m) - F.col(other))
-    return both >= F.lit(similarity) * (F.col(n) + F.col(m) - both)
+def _lacking(bits: str, other: str) -> F.Column:
+    """At least how many elements of one set the other lacks: places of its bitmap that the other's leaves empty."""
+    here, there = F.col(bits), F.col(other)
+    return sum((F.bit_count(here[k].bitwiseAND(F.bitwise_not(there[k]))) for k in range(1, BITMAP)), F.bit_count(here[0].bitwiseAND(F.bitwise_not(there[0]))))
+
+
+def _may_link(of: str, to: str, similarity: float) -> F.Column:
+    """Whether two sets can reach the similarity at all; ``of`` and ``to`` are structs of _n, _own and _bits.
+
+    Shingles that no other candidate has are never shared, nor are those whose
+    place in the other's bitmap is empty; both only bound what is shared from above.
+    """
+    a, b = F.col(f"{of}._n"), F.col(f"{to}._n")
+    both = F.least(
+        a - F.greatest(F.col(f"{of}._own"), _lacking(f"{of}._bits", f"{to}._bits")), b - F.greatest(F.col(f"{to}._own"), _lacking(f"{to}._bits", f"{of}._bits"))
+    )
+    return both >= F.lit(similarity) * (a + b - both)
 
 
 def _linkable(sets: DataFrame, similarity: float) -> DataFrame:
-    """(_node, _n, _own) of the texts that can have a link: _own counts their shingles that no other candidate has.
+    """(_node, _n, _own, _bits) of the texts that can have a link: _own counts their shingles that no other candidate has.
 
     With x of n shingles its own, a text shares at most n - x with any other, and
     the union has n at least, so its similarity is at most (n - x) / n.
     """
     owners = sets.select("_node", F.explode("_set").alias("_s")).groupBy("_s").agg(F.count(F.lit(1)).alias("_c"), F.min("_node").alias("_node"))
     own = owners.filter("_c = 1").groupBy("_node").agg(F.count(F.lit(1)).alias("_own"))
-    known = sets.select("_node", F.size("_set").alias("_n")).join(own, "_node", "left").withColumn("_own", F.coalesce("_own", F.lit(0)))
+    known = sets.select("_node", F.size("_set").alias("_n"), "_bits").join(own, "_node", "left").withColumn("_own", F.coalesce("_own", F.lit(0)))
     return known.filter(F.col("_n") - F.col("_own") >= F.lit(similarity) * F.col("_n"))
 
 
@@ -158,13 +177,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     buckets = postings.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1").select("_key")
     members = stored(postings.join(stored(buckets, "near-buckets"), "_key"), "near-members")
     needed = members.select("_node").distinct()
-    sets = stored(rows.select(F.col("_id").alias("_node"), "_text").join(needed, "_node", "left_semi").dropDuplicates(["_node"]).mapInArrow(_sets, "_node long, _set array<long>"), "near-sets")
-    core = stored(_linkable(sets, similarity), "near-core")
+    sets = stored(rows.select(F.col("_id").alias("_node"), "_text").join(needed, "_node", "left_semi").dropDuplicates(["_node"]).mapInArrow(_sets, "_node long, _set array<long>, _bits array<long>"), "near-sets")
+    core = stored(_linkable(sets, similarity).select("_node", F.struct("_n", "_own", "_bits").alias("_of")), "near-core")
     members = members.join(core, "_node")
-    central = F.min(F.struct((F.col("_own") / F.col("_n")).alias("r"), "_node", "_n", "_own")).alias("_lead")
+    central = F.min(F.struct((F.col("_of._own") / F.col("_of._n")).alias("r"), "_node", "_of")).alias("_lead")
     leads = stored(members.groupBy("_key").agg(F.count(F.lit(1)).alias("_many"), central).filter("_many > 1"), "near-leaders")
     members = stored(members.join(leads, "_key"), "near-members")
-    led = members.filter((F.col("_node") != F.col("_lead._node")) & _may_link("_n", "_own", "_lead._n", "_lead._own", similarity))
+    led = members.filter((F.col("_node") != F.col("_lead._node")) & _may_link("_of", "_lead._of", similarity))
     tested = stored(led.select(F.least("_lead._node", "_node").alias("a"), F.greatest("_lead._node", "_node").alias("b")).distinct(), "near-pairs")
     links = stored(_verified(tested, sets, similarity), "near-links")
     named = components(links)
@@ -172,11 +191,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     while True:
         open_ = members.join(named, "_node", "left").withColumn("_class", F.coalesce("_class", "_node"))
         still = open_.groupBy("_key").agg(F.min("_class").alias("_low"), F.max("_class").alias("_high")).filter("_low <> _high").select("_key")
-        open_ = stored(open_.join(still, "_key", "left_semi").select("_key", "_node", "_n", "_own", "_class", "_many"), "near-open")
+        open_ = stored(open_.join(still, "_key", "left_semi").select("_key", "_node", "_of", "_class", "_many"), "near-open")
         # About ``most`` leaders a bucket, drawn by hash; all members of smaller ones.
         drawn = F.pmod(F.xxhash64("_node", "_key", F.lit(most)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("_many") < most
-        leaders = open_.filter(drawn).select("_key", F.col("_node").alias("_l"), F.col("_n").alias("_ln"), F.col("_own").alias("_lo"), F.col("_class").alias("_lc"))
-        met = open_.join(leaders, "_key").filter((F.col("_class") != F.col("_lc")) & _may_link("_n", "_own", "_ln", "_lo", similarity))
+        leaders = open_.filter(drawn).select("_key", F.col("_node").alias("_l"), F.col("_of").alias("_to"), F.col("_class").alias("_lc"))
+        met = open_.join(leaders, "_key").filter((F.col("_class") != F.col("_lc")) & _may_link("_of", "_to", similarity))
         pairs = met.select(F.least("_node", "_l").alias("a"), F.greatest("_node", "_l").alias("b")).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         largest = open_.agg(F.max("_many")).first()[0] or 0
