@@ -107,23 +107,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(a, "a").join(b, "b").filter(both >= F.lit(similarity) * (F.size("_a") + F.size("_b") - both)).select("a", "b")
 
 
-def _lacking(bits: str, other: str) -> F.Column:
-    """At least how many elements of one set the other lacks: places of its bitmap that the other's leaves empty."""
-    here, there = F.col(bits), F.col(other)
-    return sum((F.bit_count(here[k].bitwiseAND(F.bitwise_not(there[k]))) for k in range(1, BITMAP)), F.bit_count(here[0].bitwiseAND(F.bitwise_not(there[0]))))
-
-
 def _may_link(of: str, to: str, similarity: float) -> F.Column:
-    """Whether two sets can reach the similarity at all; ``of`` and ``to`` are structs of _n, _own and _bits.
+    """Whether two sets can reach the similarity at all; ``of`` and ``to`` are structs of _n, _own, _ones and _bits.
 
-    Shingles that no other candidate has are never shared, nor are those whose
-    place in the other's bitmap is empty; both only bound what is shared from above.
+    They must share s / (1 + s) of both sizes together.  Shingles that no other
+    candidate has are never shared, nor are those whose place in the other's
+    bitmap is empty: each place in one bitmap alone has a shingle that the other
+    set lacks.  The cheap bound comes first.
     """
-    a, b = F.col(f"{of}._n"), F.col(f"{to}._n")
-    both = F.least(
-        a - F.greatest(F.col(f"{of}._own"), _lacking(f"{of}._bits", f"{to}._bits")), b - F.greatest(F.col(f"{to}._own"), _lacking(f"{to}._bits", f"{of}._bits"))
-    )
-    return both >= F.lit(similarity) * (a + b - both)
+    both = F.lit(similarity / (1 + similarity)) * (F.col(f"{of}._n") + F.col(f"{to}._n")) - F.lit(1e-6)
+    shareable = F.least(*(F.col(f"{x}._n") - F.col(f"{x}._own") for x in (of, to)))
+    crowded = F.least(*(F.col(f"{x}._n") - F.col(f"{x}._ones") for x in (of, to)))
+    here, there = F.col(f"{of}._bits"), F.col(f"{to}._bits")
+    common = F.bit_count(here[0].bitwiseAND(there[0]))
+    for k in range(1, BITMAP):
+        common = common + F.bit_count(here[k].bitwiseAND(there[k]))
+    return (shareable >= both) & (common >= both - crowded)
 
 
 def _linkable(sets: DataFrame, similarity: float) -> DataFrame:
@@ -149,7 +148,6 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         hook = both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y")).select("x", F.least("x", "y").alias("y"))
-        hook = stored(hook, "near-hooks")
         for _ in range(2):
             far = hook.select(F.col("x").alias("y"), F.col("y").alias("z"))
             hook = hook.join(far, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
@@ -178,7 +176,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     members = stored(postings.join(stored(buckets, "near-buckets"), "_key"), "near-members")
     needed = members.select("_node").distinct()
     sets = stored(rows.select(F.col("_id").alias("_node"), "_text").join(needed, "_node", "left_semi").dropDuplicates(["_node"]).mapInArrow(_sets, "_node long, _set array<long>, _bits array<long>"), "near-sets")
-    core = stored(_linkable(sets, similarity).select("_node", F.struct("_n", "_own", "_bits").alias("_of")), "near-core")
+    _ones = F.aggregate("_bits", F.lit(0), lambda n, x: n + F.bit_count(x)).alias("_ones")
+    core = stored(_linkable(sets, similarity).select("_node", F.struct("_n", "_own", _ones, "_bits").alias("_of")), "near-core")
     members = members.join(core, "_node")
     central = F.min(F.struct((F.col("_of._own") / F.col("_of._n")).alias("r"), "_node", "_of")).alias("_lead")
     leads = stored(members.groupBy("_key").agg(F.count(F.lit(1)).alias("_many"), central).filter("_many > 1"), "near-leaders")
@@ -191,11 +190,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     while True:
         open_ = members.join(named, "_node", "left").withColumn("_class", F.coalesce("_class", "_node"))
         still = open_.groupBy("_key").agg(F.min("_class").alias("_low"), F.max("_class").alias("_high")).filter("_low <> _high").select("_key")
-        open_ = stored(open_.join(still, "_key", "left_semi").select("_key", "_node", "_of", "_class", "_many"), "near-open")
         # About ``most`` leaders a bucket, drawn by hash; all members of smaller ones.
         drawn = F.pmod(F.xxhash64("_node", "_key", F.lit(most)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("_many") < most
-        leaders = open_.filter(drawn).select("_key", F.col("_node").alias("_l"), F.col("_of").alias("_to"), F.col("_class").alias("_lc"))
-        met = open_.join(leaders, "_key").filter((F.col("_class") != F.col("_lc")) & _may_link("_of", "_to", similarity))
+        open_ = stored(open_.join(still, "_key", "left_semi").select("_key", "_node", "_of", "_class", "_many", drawn.alias("_leads")), "near-open")
+        leaders = open_.filter("_leads").select("_key", F.col("_node").alias("_l"), F.col("_of").alias("_to"), F.col("_class").alias("_lc"))
+        once = ~F.col("_leads") | (F.col("_node") < F.col("_l"))  # two leaders meet once
+        met = open_.join(leaders, "_key").filter((F.col("_class") != F.col("_lc")) & once & _may_link("_of", "_to", similarity))
         pairs = met.select(F.least("_node", "_l").alias("a"), F.greatest("_node", "_l").alias("b")).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         largest = open_.agg(F.max("_many")).first()[0] or 0
@@ -207,7 +207,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
                 named = components(links)
         if largest <= most:  # every pair of different classes that may link has met
             break
-        most *= 8
+        most *= 256
     found = signed.select("_id", "_sha").join(nodes.select("_sha", "_node"), "_sha").join(named, "_node", "left")
     class_id = F.coalesce("_class", "_node")
     return found.select(F.col("_id").alias(id_col), class_id.alias("class_id"), (F.col("_id").isNull() | (F.col("_id") == class_id)).alias("kept"))
