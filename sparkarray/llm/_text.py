@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -63,6 +65,17 @@ def shingles(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return found, owner
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 1024, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and about ``size`` bytes of text (one row at least)."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        end = min(max(int(np.searchsorted(upto, before + size, "right")), at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def distinct(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (owner, value) pairs in order, and how often each occurs."""
     order = np.lexsort((values, owner))

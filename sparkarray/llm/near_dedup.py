@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import drop_stored, stored, table
-from ._text import GOLDEN, distinct, mix64, shingles
+from ._text import GOLDEN, distinct, mix64, shingles, slices
 
 WORDS, SIMILARITY, BANDS, ROWS, LEADERS = 5, 0.8, 20, 5, 16
 #: 64-bit words of a set's bitmap.
@@ -79,25 +79,25 @@ def _lists(values: np.ndarray, lens: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for k in range(0, whole.num_rows, 1024):
-            b = whole.slice(k, 1024)
+        for b in slices(whole, 1):
             values, owner, often = distinct(*shingles(b.column(1), WORDS))
             keys = band_keys(prob_minhash(values, 1 + np.log(often), owner, b.num_rows, BANDS * ROWS), BANDS, ROWS)
             size = np.bincount(owner, minlength=b.num_rows)
             keys = keys[size > 0]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size, pa.int32()), _lists(keys.ravel().view(np.int64), np.where(size > 0, BANDS, 0), pa.int64())], ["_id", "_sha", "_n", "_keys"])
+    pa.default_memory_pool().release_unused()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for k in range(0, whole.num_rows, 1024):
-            b = whole.slice(k, 1024)
+        for b in slices(whole, 1):
             values, owner, _ = distinct(*shingles(b.column(1), WORDS))
             bits = np.zeros(b.num_rows * BITMAP, np.uint64)
             place = values % np.uint64(64 * BITMAP)
             np.bitwise_or.at(bits, owner * BITMAP + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
             sets = _lists(values.view(np.int64), np.bincount(owner, minlength=b.num_rows), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), sets, _lists(bits.view(np.int64), np.full(b.num_rows, BITMAP), pa.int64())], ["_node", "_set", "_bits"])
+    pa.default_memory_pool().release_unused()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
