@@ -7,11 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkarray.llm import chat_format, exact_dedup, fingerprints, lm_scoring, mixing, near_dedup, packing, sharding, toxicity, url_filter
+from sparkarray.llm import _text, chat_format, exact_dedup, fingerprints, lm_scoring, mixing, near_dedup, packing, sharding, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, _id string"
 RNG = random.Random(5)
@@ -206,3 +207,37 @@ def test_pipeline_stages(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf).cache()
         assert docs.columns == columns and docs.count() > 0, name
+
+
+def test_near_classes_of_variants_without_their_base(spark):
+    """Many texts a few words off one unseen base: links between some pairs only, against brute force."""
+    rng, base = random.Random(3), [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for k in rng.sample(range(0, 120, 8), 1 + i % 3):
+            words[k] = f"x{rng.randrange(6)}"
+        rows.append((i, " ".join(words)))
+    runs = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    low = {i: i for i in runs}
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for a in runs:
+        for b in range(a):
+            if len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b]):
+                x, y = sorted((root(a), root(b)))
+                low[y] = x
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: root(i) for i in runs}
+
+
+def test_slices_hold_all_rows_in_order():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 5, None, "", "y" * 50, "z" * 3, "w" * 10, None])], ["t"])
+    for part in (batch, batch.slice(2), batch.slice(0, 0)):
+        found = list(_text.slices(part, 0, 3, 10))
+        assert [v for b in found for v in b.column(0).to_pylist()] == part.column(0).to_pylist()
+        assert all(b.num_rows == 1 or b.num_rows <= 3 and sum(len(v or "") for v in b.column(0).to_pylist()) <= 10 for b in found)
