@@ -4,10 +4,11 @@ The model is a bigram model over words with a word model below it:
 
     p(w | v) = (c(v, w) + MU p0(w)) / (c(v) + MU)
 
-p0 gives the ``HEADS`` most frequent words their own probability.  The rest is
-shared by the others: half evenly (all unknown words being one word, as in the
-base score), half by spelling a word byte by byte from the two bytes before
-(counted over all training words, each as often as it occurs).  p0 is quantised to 1/8 of a decimal digit.
+p0 gives every training word its share of the training words, times one minus the
+share of words seen once.  What that leaves goes to all words: half evenly (all
+unknown words being one word, as in the base score), half by spelling a word byte
+by byte from the two bytes before (counted over all training words, each as often
+as it occurs).  What a batch knows of p0 is quantised to 1/8 of a decimal digit.
 
 Text and counts never meet in one place.  Each document batch sends its bigrams
 to shards by context (a head's by context and word, so that no frequent context
@@ -21,7 +22,10 @@ search within the context's range, and answers with sums per document.
 
 Every document's first word follows the end token; each word, and the end, is
 the context of exactly one bigram, so a shard also knows the exact count of
-each of its words, from which the base score is summed.
+each of its words, from which the base score is summed.  Only the counts of the
+``HEADS`` most frequent words go to all executors.  Any other word's count comes
+from its own shard: where such a word follows, a shard answers with the bigram's
+count, and the logarithm is taken where a batch's answers meet.
 
 Cases: a null text is empty: one end token; repeated rows are scored alike and
 counted each; without training documents p0 is spread evenly over bytes; an
@@ -34,6 +38,7 @@ import os
 import shutil
 import tempfile
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +48,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import crc_text, stored, table
-from ._text import GOLDEN, hash_strings, mix64, split_words
+from ._text import GOLDEN, hash_strings, mix64, slices, split_words
 
-HEADS, MU, STEP, BATCH, WORDS_PER_SHARD = 65_536, 24.0, 0.125, 4096, 2_000_000
+HEADS, MU, STEP, BATCH, BATCH_BYTES, WORDS_PER_SHARD = 65_536, 24.0, 0.125, 4096, 6 << 20, 2_000_000
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
+RARE = 128  # set in the quantised p0 of a word that is no head: its count is still to be added
 
 
 # --- Elias-Fano
@@ -136,17 +142,15 @@ class Trie:
 
 
 class WordModel:
-    """p0 of words: heads by their share, others spelled from byte pairs; at most 2^24 spelling counts and ``HEADS`` heads."""
+    """p0 of words, but for the counts of those that are no heads; at most 2^24 spelling counts and ``HEADS`` heads."""
 
     def __init__(self, heads: dict[int, int], spelled: tuple[np.ndarray, np.ndarray], total: int, once: int, words: int) -> None:
         self.hash = np.array(sorted(heads), np.uint64)
         self.count = np.array([heads[int(h)] for h in self.hash], np.float64)
-        self.total = max(1, total)
-        known = self.count.sum() / self.total
-        # Other words get what heads leave, but at least the share of words seen once.
-        self.rest = min(0.999, max(1e-3, 1.0 - known, once / self.total))
-        self.others = max(0, words - len(self.hash)) + 1  # one place stands for all unknown words, as in the base
-        self.scale = (1.0 - self.rest) / max(known, 1e-9)
+        # What counts leave to all words: the share of words seen once; everything without training.
+        self.rest = min(0.999, max(1e-3, once / total if total else 1.0))
+        self.places = words + 1  # one place stands for all unknown words, as in the base
+        self.a_count = (1.0 - self.rest) / max(1, total)
         key, n = spelled
         order = np.argsort(key)
         self.key, self.n = key[order], n[order].astype(np.float64)
@@ -170,18 +174,18 @@ class WordModel:
         two = np.where(place < 2, 32, two).astype(np.uint64)
         return two << np.uint64(16) | one.astype(np.uint64) << np.uint64(8) | text, starts
 
-    def log10(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+    def log10(self, words: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """p0 of words, and whether one is no head, so that ``a_count`` times its count is missing."""
         key, starts = self.trigrams(words)
         seen = _look(self.key, self.n, key)
         pair = _look(self.pair, self.pair_n, key >> np.uint64(8))
         logs = np.log10((seen + 0.5) / (pair + 128.0))
         spelled = 10.0 ** np.maximum(np.add.reduceat(logs, starts[:-1]), -300.0) if len(words) else np.empty(0)
-        out = np.log10(self.rest * (0.5 * spelled + 0.5 / self.others))
         head = _look(self.hash, self.count, hashes)
-        return np.where(head > 0, np.log10(np.maximum(head, 1) * self.scale / self.total), out)
+        return np.log10(self.a_count * head + self.rest * (0.5 * spelled + 0.5 / self.places)), head == 0
 
     def end(self) -> float:
-        return float(np.log10(max(0.5, _look(self.hash, self.count, np.array([END], np.uint64))[0]) * self.scale / self.total))
+        return float(np.log10(self.a_count * _look(self.hash, self.count, np.array([END], np.uint64))[0] + self.rest * 0.5 / self.places))
 
 
 def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -200,6 +204,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, _ = split_words(whole.column(0).slice(k, BATCH))
             found = words.value_counts()
             yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1).cast(pa.int64())], ["w", "n"])
+            del words, found
+    pa.default_memory_pool().release_unused()
 
 
 def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,37 +225,50 @@ def _blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def _quantised(p0: np.ndarray, no_head: np.ndarray) -> np.ndarray:
+    return np.clip(np.round(-p0 / STEP), 0, RARE - 1).astype(np.uint8) | np.where(no_head, RARE, 0).astype(np.uint8)
+
+
 def _send(shared, shards: int):
     """Batches (row number, training, text) to messages by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: WordModel = shared.value
+        end = _quantised(np.array([model.end()]), np.array([False]))[0], _look(model.hash, model.count, np.array([END], np.uint64))[0] > 0
         tag = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for k in range(0, whole.num_rows, BATCH):
-                b = whole.slice(k, BATCH)
+            for b in slices(whole, 2, BATCH, BATCH_BYTES):
                 tag += 1
                 words, offsets = split_words(b.column(2))
                 coded = words.dictionary_encode()
+                del words
                 hashes = hash_strings(coded.dictionary)
-                p0 = model.log10(coded.dictionary, hashes)
+                p0, no_head = model.log10(coded.dictionary, hashes)
+                p0 = _quantised(p0, no_head)
                 at, lens = coded.indices.to_numpy(), np.diff(offsets)
-                n, docs = len(at) + b.num_rows, np.arange(b.num_rows)
+                del coded
+                n, docs = len(at) + b.num_rows, np.arange(b.num_rows, dtype=np.uint16)
                 # Each text: end, words; each followed by the next word or the end.
-                place = np.arange(len(at)) + np.repeat(docs, lens)
-                ends = offsets[1:] + docs
-                word, quant = np.full(n, END, np.uint64), np.full(n, model.end())
-                word[place], quant[place] = hashes[at], p0[at]
+                ends = offsets[1:] + np.arange(b.num_rows)
+                inner = np.ones(n, bool)
+                inner[ends] = False
+                word, quant, head = np.full(n, END, np.uint64), np.full(n, end[0], np.uint8), np.full(n, end[1])
+                word[inner], quant[inner], head[inner] = hashes[at], p0[at], ~no_head[at]
+                del at, inner
                 context = np.empty(n, np.uint64)
-                context[1:] = word[:-1]
-                context[ends - lens] = END
+                context[1:], head[1:] = word[:-1], head[:-1].copy()
+                context[ends - lens], head[ends - lens] = END, end[1]
                 owner = np.repeat(docs, lens + 1)
-                quant = np.clip(np.round(-quant / STEP), 0, 255).astype(np.uint8)
+                shard = np.empty(n, np.int32)
+                for a in range(0, n, 1 << 18):
+                    c, w = context[a : a + (1 << 18)], word[a : a + (1 << 18)]
+                    shard[a : a + (1 << 18)] = mix64(np.where(head[a : a + (1 << 18)], c + mix64(w), c) * GOLDEN) % np.uint64(shards)
                 short = (word >> np.uint64(32)).astype(np.uint32)
-                head = _look(model.hash, model.count, context) > 0
-                shard = (mix64(np.where(head, context + mix64(word), context) * GOLDEN) % np.uint64(shards)).astype(np.int32)
+                del word, head
                 order = np.lexsort((owner, short, context, shard))
-                shard, context, short, quant, owner = (x[order] for x in (shard, context, short, quant, owner))
+                shard, context = shard[order], context[order]
+                short, quant, owner = short[order], quant[order], owner[order]
+                del order
                 new = np.append(True, (context[1:] != context[:-1]) | (short[1:] != short[:-1]) | (owner[1:] != owner[:-1]) | (shard[1:] != shard[:-1]))
                 first = np.flatnonzero(new)
                 often = np.diff(np.append(first, n)).astype(np.uint16 if n < 65536 else np.uint32)
@@ -267,17 +286,37 @@ def _send(shared, shards: int):
                 train = _blob(b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8))
                 sent = len(rows[0])
                 yield pa.RecordBatch.from_arrays([pa.array([tag] * sent, pa.int64()), pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in (*rows[1:7], [ids, *[b""] * (sent - 1)], [train] * sent))], MESSAGE)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Records as bytes, field after field."""
+    return b"".join(_blob(x[name]) for name in x.dtype.names)
+
+
+def _unpacked(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
+    out, at = np.empty(sum(map(len, blobs)) // kind.itemsize, kind), 0
+    for blob in blobs:
+        n, start = len(blob) // kind.itemsize, 0
+        for name in kind.names:
+            out[name][at : at + n] = np.frombuffer(blob, kind[name], n, start)
+            start += n * kind[name].itemsize
+        at += n
+    return out
+
+
 NO_ID = -(1 << 63)
 MESSAGE = ["batch", "shard", "contexts", "lens", "words", "p0", "docs", "counts", "ids", "train"]
-ANSWER = ["batch", "docs", "s", "b", "k", "n", "ids"]
+ANSWER = ["batch", "docs", "s", "b", "k", "n", "later", "own", "ids"]
+#: Bigrams whose word is no head (its count is another shard's), and the counts of such words in the documents that have them.
+LATER = np.dtype([("doc", "<u2"), ("word", "<u4"), ("seen", "<f4"), ("often", "<u4"), ("p0", "u1")])
+OWN = np.dtype([("doc", "<u2"), ("word", "<u4"), ("n", "<u4")])
 
 
 def _answer(shared):
-    """A shard's messages to answers: sums for the documents of each message."""
+    """A shard's messages to answers: sums for the documents of each message, and what only other shards can complete."""
 
     def run(messages: pa.Table) -> pa.Table:
         model: WordModel = shared.value
@@ -291,7 +330,8 @@ def _answer(shared):
                 to.append(x)
             used.append(docs)
             n_docs += len(docs)
-        del raw
+        batch, ids = messages.column("batch"), messages.column("ids")
+        del raw, messages
         context, word, p0, doc, often, train = (np.concatenate(x) for x in parts)
         parts.clear()
         order = np.lexsort((word, context))
@@ -302,9 +342,10 @@ def _answer(shared):
         together = np.add.reduceat(learnt, first)
         at_context = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
         in_context = np.add.reduceat(learnt, at_context)
-        c_context = np.repeat(in_context, np.diff(np.append(at_context, len(context)))).astype(np.float64)
-        head = _look(model.hash, model.count, context)
-        c_context = np.where(head > 0, head, c_context)  # a head's occurrences are dealt to many shards
+        heads = _look(model.hash, model.count, context[at_context])
+        c_context = np.where(heads > 0, heads, in_context)  # a head's occurrences are dealt to many shards
+        head, c_context = (np.repeat(x, np.diff(np.append(at_context, len(context)))) for x in (heads > 0, c_context))
+        del learnt, order, new
         folder = tempfile.mkdtemp()
         try:
             keep = together > 0
@@ -313,22 +354,46 @@ def _answer(shared):
             del trie
         finally:
             shutil.rmtree(folder, ignore_errors=True)
-        p = (distinct + MU * 10.0 ** (-STEP * p0.astype(np.float64))) / (np.maximum(c_context, distinct) + MU)
+        rare, share = p0 >= RARE, 10.0 ** (-STEP * (p0 % RARE).astype(np.float64))
+        p = np.where(rare, 1.0, distinct + MU * share) / (np.maximum(c_context, distinct) + MU)
         sums = [np.bincount(doc, w, n_docs) for w in (often * np.log10(p), often * np.log10(c_context + 1), np.where(c_context > 0, often, 0), often)]
-        cuts = np.concatenate([[0], np.cumsum([len(u) for u in used])])
+        cuts, owner = np.concatenate([[0], np.cumsum([len(u) for u in used])]), np.concatenate(used)
+        at = np.flatnonzero(rare)
+        at = at[np.argsort(doc[at], kind="stable")]
+        later, later_doc = np.empty(len(at), LATER), doc[at]
+        for name, x in (("doc", owner[later_doc]), ("word", word[at]), ("seen", distinct[at]), ("often", often[at]), ("p0", p0[at] % RARE)):
+            later[name] = x
+        at = np.flatnonzero(~head & (c_context > 0) & (context != END))
+        key, found = np.unique(doc[at].astype(np.uint64) << np.uint64(32) | context[at] >> np.uint64(32), return_index=True)
+        own, own_doc = np.empty(len(key), OWN), doc[at][found]
+        for name, x in (("doc", owner[own_doc]), ("word", (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)), ("n", c_context[at][found])):
+            own[name] = x
         cut = lambda x, kind: pa.array([_blob(x[a:b].astype(kind)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-        return pa.Table.from_arrays([messages.column("batch"), pa.array([_blob(u) for u in used], pa.binary()), cut(sums[0], np.float64), cut(sums[1], np.float64), cut(sums[2], np.uint32), cut(sums[3], np.uint32), messages.column("ids")], ANSWER)
+        pack = lambda x, d: pa.array([_packed(x[a:b]) for a, b in pairwise(np.searchsorted(d, cuts))], pa.binary())
+        columns = [batch, pa.array([_blob(u) for u in used], pa.binary()), cut(sums[0], np.float64), cut(sums[1], np.float64), cut(sums[2], np.uint32), cut(sums[3], np.uint32)]
+        columns += [pack(later, later_doc), pack(own, own_doc), ids]
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_arrays(columns, ANSWER)
 
     return run
 
 
-def _gather(answers: pa.Table) -> pa.Table:
-    """A batch's answers to one row per document."""
-    ids = np.frombuffer(b"".join(answers.column("ids").to_pylist()), np.int64)
-    whole = lambda c, kind: np.frombuffer(b"".join(answers.column(c).to_pylist()), kind)
-    docs = whole("docs", np.uint16)
-    s, b, k, n = (np.bincount(docs, whole(c, kind), len(ids)) for c, kind in (("s", np.float64), ("b", np.float64), ("k", np.uint32), ("n", np.uint32)))
-    return pa.table({"_row": pa.array(ids, mask=ids == NO_ID), "_s": s, "_b": b, "_k": k.astype(np.int64), "_n": n.astype(np.int64)})
+def _gather(a_count: float):
+    """A batch's answers to one row per document; ``a_count``: what a training occurrence adds to p0."""
+
+    def run(answers: pa.Table) -> pa.Table:
+        ids = np.frombuffer(b"".join(answers.column("ids").to_pylist()), np.int64)
+        whole = lambda c, kind: np.frombuffer(b"".join(answers.column(c).to_pylist()), kind)
+        docs = whole("docs", np.uint16)
+        s, b, k, n = (np.bincount(docs, whole(c, kind), len(ids)) for c, kind in (("s", np.float64), ("b", np.float64), ("k", np.uint32), ("n", np.uint32)))
+        later, own = (_unpacked(answers.column(c).to_pylist(), kind) for c, kind in (("later", LATER), ("own", OWN)))
+        wanted, keys = (x["doc"].astype(np.uint64) << np.uint64(32) | x["word"] for x in (later, own))
+        order = np.argsort(keys)
+        p0 = a_count * _look(keys[order], own["n"][order].astype(np.float64), wanted) + 10.0 ** (-STEP * later["p0"].astype(np.float64))
+        s = s + np.bincount(later["doc"], later["often"] * np.log10(later["seen"] + MU * p0), len(ids))
+        return pa.table({"_row": pa.array(ids, mask=ids == NO_ID), "_s": s, "_b": b, "_k": k.astype(np.int64), "_n": n.astype(np.int64)})
+
+    return run
 
 
 def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,12 +408,13 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     top = counts.orderBy(F.desc("n"), "w").limit(HEADS).mapInArrow(_with_hash, "h long, n long").collect()
     heads = {r["h"] % (1 << 64): r["n"] for r in top} | ({int(END): ends} if ends else {})
     pairs = counts.mapInArrow(_spell, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # at most 2^24 rows, in practice thousands
-    shared = spark.sparkContext.broadcast(WordModel(heads, (pairs.k.to_numpy(np.uint64), pairs.n.to_numpy(np.int64)), total, once, vocabulary))
+    model = WordModel(heads, (pairs.k.to_numpy(np.uint64), pairs.n.to_numpy(np.int64)), total, once, vocabulary)
+    shared = spark.sparkContext.broadcast(model)
     shards = int(max(1, total // WORDS_PER_SHARD) + 1)
     binary = lambda cs: ", ".join(f"{c} binary" for c in cs)
     sent = rows.select(F.col("_id").cast("long").alias("_id"), "_train", "_text").mapInArrow(_send(shared, shards), f"batch long, shard int, {binary(MESSAGE[2:])}")
     answers = sent.groupBy("shard").applyInArrow(_answer(shared), f"batch long, {binary(ANSWER[1:])}")
-    found = answers.groupBy("batch").applyInArrow(_gather, "_row long, _s double, _b double, _k long, _n long")
+    found = answers.groupBy("batch").applyInArrow(_gather(model.a_count), "_row long, _s double, _b double, _k long, _n long")
     each = F.lit(float(np.log10(total + vocabulary + 1)))
     return found.select(F.col("_row").alias(id_col), F.col("_n").alias("n_tokens"), F.col("_k").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("_b") - F.col("_n") * each).alias("base_score"), F.col("_s").alias("score"))
 

@@ -241,3 +241,34 @@ def test_slices_hold_all_rows_in_order():
         found = list(_text.slices(part, 0, 3, 10))
         assert [v for b in found for v in b.column(0).to_pylist()] == part.column(0).to_pylist()
         assert all(b.num_rows == 1 or b.num_rows <= 3 and sum(len(v or "") for v in b.column(0).to_pylist()) <= 10 for b in found)
+
+
+@pytest.mark.parametrize("heads", [8, 65_536])
+def test_lm_scores_against_brute_force(spark, monkeypatch, heads):
+    """Every training word has its own count in p0, whether or not it is a head."""
+    monkeypatch.setattr(lm_scoring, "HEADS", heads)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(300)], k=80)) + (" new" if i % 5 == 0 else "")) for i in range(60)]
+    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") % 5 != 0).collect()}
+    tokens = {i: [*t.split(), None] for i, t in rows}
+    train = [ws for i, ws in tokens.items() if i % 5]
+    seen, pairs = Counter(w for ws in train for w in ws), Counter(p for ws in train for p in zip([None, *ws[:-1]], ws, strict=True))
+    total, once = sum(seen.values()), sum(n == 1 for w, n in seen.items() if w)
+    spelled = lambda w: [(f"  {w} "[k : k + 2], f"  {w} "[k + 2]) for k in range(len(w) + 1)]
+    bytes_ = Counter()
+    for w, n in seen.items():
+        for key in spelled(w) if w else []:
+            bytes_[key] += n
+    before = Counter()
+    for (two, _), n in bytes_.items():
+        before[two] += n
+    rest = min(0.999, max(1e-3, once / total))
+
+    def p0(w):
+        by_bytes = np.prod([(bytes_[key] + 0.5) / (before[key[0]] + 128) for key in spelled(w)]) if w else 0.0
+        return (1 - rest) * seen[w] / total + rest * (0.5 * by_bytes + 0.5 / (len(seen) + 1))
+
+    for i, ws in tokens.items():
+        want = sum(np.log10((pairs[v, w] + 24 * p0(w)) / (seen[v] + 24)) for v, w in zip([None, *ws[:-1]], ws, strict=True))
+        assert got[i] == pytest.approx(want, abs=0.03 * len(ws)), i
