@@ -1,11 +1,12 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
-A text is the weighted set of its five-word shingles (weight 1 + ln of how often
-one occurs).  Every shingle is a Poisson process whose rate is its weight; each
-arrival draws a register, and a register keeps the shingle that arrives first.
-Arrivals come in time order per shingle, so one ends as soon as it is later than
-all registers.  Two signatures agree in a register with the probability Jaccard
-of the sets.  Bands of registers give candidate buckets.
+A text is the set of its five-word shingles.  Every shingle is a Poisson process
+whose rate is its weight; each arrival draws a register, and a register keeps the
+shingle that arrives first.  Arrivals come in time order per shingle, so one ends
+as soon as it is later than all registers.  Two signatures agree in a register
+with the probability Jaccard of the sets.  All weights are 1, however often a
+shingle occurs: then that is the Jaccard of the plain sets, by which links are
+verified.  Bands of registers give candidate buckets.
 
 Candidates are verified exactly (Jaccard of the sets of shingles >= 0.8), and
 classes are the connected components of verified links.  A bucket never emits
@@ -80,8 +81,8 @@ def _lists(values: np.ndarray, lens: np.ndarray, kind: pa.DataType) -> pa.Array:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in slices(whole, 1):
-            values, owner, often = distinct(*shingles(b.column(1), WORDS))
-            keys = band_keys(prob_minhash(values, 1 + np.log(often), owner, b.num_rows, BANDS * ROWS), BANDS, ROWS)
+            values, owner, _ = distinct(*shingles(b.column(1), WORDS))
+            keys = band_keys(prob_minhash(values, np.ones(len(values)), owner, b.num_rows, BANDS * ROWS), BANDS, ROWS)
             size = np.bincount(owner, minlength=b.num_rows)
             keys = keys[size > 0]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size, pa.int32()), _lists(keys.ravel().view(np.int64), np.where(size > 0, BANDS, 0), pa.int64())], ["_id", "_sha", "_n", "_keys"])

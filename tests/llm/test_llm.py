@@ -243,6 +243,19 @@ def test_slices_hold_all_rows_in_order():
         assert all(b.num_rows == 1 or b.num_rows <= 3 and sum(len(v or "") for v in b.column(0).to_pylist()) <= 10 for b in found)
 
 
+def test_near_classes_of_texts_that_differ_in_repeats():
+    """Sets of shingles nearly equal, but one text repeats its last line often: some band agrees."""
+    rows = []
+    for i in range(16):
+        intro, line = " ".join(f"i{i}x{k}" for k in range(40)), " ".join(f"l{i}x{k}" for k in range(15))
+        rows += [(f"{intro} {line}"), (" ".join([intro, *[line] * 200]))]
+    runs = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in rows)]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(runs[::2], runs[1::2], strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(32)), pa.array(rows), pa.array([""] * 32)], ["_id", "_text", "_sha"])
+    keys = [set(k) for b in near_dedup._signed(iter([batch])) for k in b.column(3).to_pylist()]
+    assert all(a & b for a, b in zip(keys[::2], keys[1::2], strict=True))
+
+
 @pytest.mark.parametrize("heads", [8, 65_536])
 def test_lm_scores_against_brute_force(spark, monkeypatch, heads):
     """Every training word has its own count in p0, whether or not it is a head."""
