@@ -47,6 +47,13 @@ def uniform_u32(df: DataFrame, seed: int, idx: str = "idx", name: str = "u") ->
     return out.select(*df.columns, picked.alias(name))
 
 
+def uniform_u64(df: DataFrame, seed: int, idx: str = "idx", name: str = "u") -> DataFrame:
+    """64 random bits for each index: two a block; a long whose bits are those of the unsigned number."""
+    out, lane = _lanes(df, seed, 2, idx)
+    high, low = (F.when(lane == 0, F.col(a)).otherwise(F.col(b)) for a, b in (("r1", "r3"), ("r0", "r2")))
+    return out.select(*df.columns, F.shiftleft(high, 32).bitwiseOR(low).alias(name))
+
+
 def uniform_f32(df: DataFrame, seed: int, idx: str = "idx", name: str = "u") -> DataFrame:
     """Uniform on [0, 1) with 23 bits."""
     out = uniform_u32(df, seed, idx, "_u")

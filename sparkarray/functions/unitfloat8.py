@@ -1,11 +1,13 @@
-"""Signed 8-bit fixed-point numbers in (-1, 1): raw r stands for r / 128; arithmetic saturates."""
+"""Signed 8-bit fixed-point numbers in (-1, 1): raw r stands for r / 128; arithmetic saturates.
+
+Raw values compare as the numbers do (``<``, ``=`` and so on of the columns)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MOST = 127
+MOST, NAN = 127, -128
 
 
 def _clamp(x: Column) -> Column:
@@ -28,6 +30,19 @@ def subtract(a: Column, b: Column) -> Column:
     return _clamp(a - b)
 
 
+def negate(a: Column) -> Column:
+    return _clamp(-a.cast("int"))
+
+
+def absolute(a: Column) -> Column:
+    return _clamp(F.abs(a.cast("int")))
+
+
+def sign(a: Column) -> Column:
+    """The largest value, the least one or 0."""
+    return (F.signum(a) * F.lit(MOST)).cast("int")
+
+
 def multiply(a: Column, b: Column) -> Column:
     return _clamp(F.shiftright((a * b).cast("int"), 7))
 

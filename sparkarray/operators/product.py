@@ -24,6 +24,9 @@ def matvec_rows(rows: DataFrame, values: Column, x: Sequence | None, f: Callable
     if x is not None and len(x) > MOST:
         raise ValueError("a longer vector needs the coordinate form")
     fold = op if callable(op) else FOLDS[op]
+    if x is not None:
+        other = F.raise_error(F.concat(F.lit(f"a vector of {len(x)} values against a row of "), F.size(values)))
+        values = F.when(values.isNull() | (F.size(values) == len(x)), values).otherwise(other)
     mapped = F.transform(values, f) if x is None else F.zip_with(values, F.lit(list(x)), f)
     first = F.aggregate(F.slice(mapped, 2, 1 << 30), mapped[0], fold)
     return rows.select(*keep, g(first).alias(name))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkarray.functions import philox, unitfloat8
-from sparkarray.operators import order, reduce, scan, search
+from sparkarray.operators import order, product, reduce, scan, search
 from sparkarray.sources import tables
 
 
@@ -103,3 +103,25 @@ def test_views(spark):
     assert sorted(map(tuple, tables.view(df, 2, 17, 5).collect())) == [(0, 2), (1, 7), (2, 12), (3, 17)]
     new = tables.write_into(df, spark.createDataFrame([(0, 99)], "idx long, v long"), 4)
     assert new.filter("idx = 4").first()["v"] == 99 and new.filter("idx = 5").first()["v"] == 5
+
+
+def test_u64_holds_two_lanes(spark):
+    df = vec(spark, range(6))
+    blocks = {r.idx: r for r in philox.with_philox(df, 7, F.col("idx")).collect()}
+    got = [r.u % (1 << 64) for r in philox.uniform_u64(df, 7).orderBy("idx").collect()]
+    assert got == [(blocks[k // 2][f"r{2 * (k % 2) + 1}"] << 32) | blocks[k // 2][f"r{2 * (k % 2)}"] for k in range(6)]
+
+
+def test_unitfloat8_signs(spark):
+    a = F.col("v").cast("byte")
+    got = vec(spark, [-128, -127, -1, 0, 5, 127]).orderBy("idx").select(unitfloat8.negate(a), unitfloat8.absolute(a), unitfloat8.sign(a)).collect()
+    assert [tuple(r) for r in got] == [(127, 127, -127), (127, 127, -127), (1, 1, -127), (0, 0, 0), (-5, 5, 127), (-127, 127, 127)]
+    assert unitfloat8.NAN == -128
+
+
+def test_matvec_checks_the_length(spark):
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, None)], "i long, row array<double>")
+    assert {r.i: r.value for r in product.matvec_rows(rows, F.col("row"), [3.0, 4.0]).collect()} == {0: 11.0, 1: None}
+    for x in ([1.0], [1.0, 2.0, 3.0]):
+        with pytest.raises(Exception, match="against a row of"):
+            product.matvec_rows(rows, F.col("row"), x).collect()
