@@ -39,7 +39,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mix_sources", mix_sources), ("best_fit_packing", pack_sequences)]
 
-#: No stage but the second has SQL; the tests compare the pipeline with a brute-force version.
+#: No stage but the second has SQL; the tests compare stages with brute force one by one, not the pipeline as a whole.
 ORACLE_SQL = None
 
 

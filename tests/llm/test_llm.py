@@ -285,3 +285,25 @@ def test_lm_scores_against_brute_force(spark, monkeypatch, heads):
     for i, ws in tokens.items():
         want = sum(np.log10((pairs[v, w] + 24 * p0(w)) / (seen[v] + 24)) for v, w in zip([None, *ws[:-1]], ws, strict=True))
         assert got[i] == pytest.approx(want, abs=0.03 * len(ws)), i
+
+
+def test_near_classes_of_the_smallest_table(spark):
+    """op6 on sf0.001 against all pairs."""
+    sf, low = "/root/testdata/sf0.001", {}
+    runs = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate({c: c + 32 for c in range(65, 91)}))
+        runs[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {r.text or ""}
+        low[r.doc_id] = r.doc_id
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for a in runs:
+        for b in runs:
+            if b < a and len(both := runs[a] & runs[b]) >= 0.8 * (len(runs[a]) + len(runs[b]) - len(both)):
+                x, y = sorted((root(a), root(b)))
+                low[y] = x
+    assert {r.doc_id: r.class_id for r in near_dedup.op6_near_dedup(spark, sf).collect()} == {i: root(i) for i in runs}
