@@ -10,31 +10,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DEFAULT = "/tmp/checkpoints"
+#: While a frame is stored, batches that go to Python hold so many bytes at most, whatever the length of texts.
+BATCH_BYTES = 8 << 20
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, one machine) a folder under /tmp serves.
+    Only on one machine (tests), and only where that is unset, a folder under /tmp serves.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (found or f"file://{_LOCAL_DEFAULT}").rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what lies there is deleted at exit, or by :class:`Scope`."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder as Parquet and read it back.
 
     This cuts the lineage: an executor lost later costs a re-read, not a
     recomputation, and no row depends on which attempt produced it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append((spark, path))
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    path, before = new_path(spark, name), spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scope:
+    """Drops what was stored since it began; ``keep`` names frames that live on."""
+
+    def __enter__(self) -> "Scope":
+        self._from, self._kept = len(_made), set()
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self._kept.update(os.path.dirname(p).rpartition("/")[2] for p in df.inputFiles())
+        return df
+
+    def __exit__(self, *_) -> None:
+        for spark, path in _made[self._from :]:
+            if path.rpartition("/")[2] not in self._kept:
+                _delete(spark, path)
+        _made[self._from :] = [m for m in _made[self._from :] if m[1].rpartition("/")[2] in self._kept]
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`stored`."""
     spark = df.sparkSession
@@ -53,8 +85,14 @@ def _clear() -> None:
         try:
             if spark._jsc is not None and spark._jsc.sc().isStopped() is False:
                 _delete(spark, path)
-        except Exception:  # noqa: BLE001 - the JVM may be gone at exit
-            return
+        except Exception:  # noqa: BLE001 - the JVM may be gone at exit; the other folders still get their turn
+            continue
+
+
+def row_hash(df: DataFrame) -> "F.Column":
+    """A hash of a row's columns, for ties between rows that agree in all that counts."""
+    plain = [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.lit(0).cast("long")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

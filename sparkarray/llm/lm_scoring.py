@@ -1,428 +1,357 @@
 """LM scoring with Elias-Fano n-gram tries.
 
-The model is a bigram model over words with a word model below it:
-
-    p(w | v) = (c(v, w) + MU p0(w)) / (c(v) + MU)
-
-p0 gives every training word its share of the training words, times one minus the
-share of words seen once.  What that leaves goes to all words: half evenly (all
-unknown words being one word, as in the base score), half by spelling a word byte
-by byte from the two bytes before (counted over all training words, each as often
-as it occurs).  What a batch knows of p0 is quantised to 1/8 of a decimal digit.
-
-Text and counts never meet in one place.  Each document batch sends its bigrams
-to shards by context (a head's by context and word, so that no frequent context
-is one shard's); the message holds, for each context, its successors' hashes,
-the quantised p0, the document and the count.  A shard thus sees all occurrences
-of its contexts.  It builds a trie of two levels from the training documents:
-contexts (hashes, monotone, Elias-Fano) with monotone pointers to their
-successors (context rank and word hash, monotone, Elias-Fano) and quantised
-probabilities, in memory-mapped files; it looks every bigram up by successor
-search within the context's range, and answers with sums per document.
-
-Every document's first word follows the end token; each word, and the end, is
-the context of exactly one bigram, so a shard also knows the exact count of
-each of its words, from which the base score is summed.  Only the counts of the
-``HEADS`` most frequent words go to all executors.  Any other word's count comes
-from its own shard: where such a word follows, a shard answers with the bigram's
-count, and the logarithm is taken where a batch's answers meet.
-
-Cases: a null text is empty: one end token; repeated rows are scored alike and
-counted each; without training documents p0 is spread evenly over bytes; an
-empty table gives an empty result.
+The model is a bigram model over words, the end of a text being a word too, with
+a word model below it (Witten and Bell's smoothing at both joints):
+
+    p(w | v) = (c(v, w) + t(v) p0(w)) / (c(v) + t(v))
+
+c counts in the training texts, t(v) is the number of different words behind v.
+p0 takes from each training word's count what words seen once have on average,
+and gives it to one event, "a word that training has not": the same events as in
+the base score, which also has one place for all unknown words.
+
+Training (:func:`train`).  Batches of texts send their bigrams and counts to
+shards, by ranges of (context hash, word hash) with borders drawn from a sample,
+so a frequent context is cut into several ranges and no shard is large.  Each
+shard becomes one :class:`~.elias_fano.Trie` in the shared folder: monotone
+contexts, pointers, running counts and successors, and one byte a bigram for its
+smoothed probability.  The model is that folder and the borders.
+
+Scoring (:func:`score`).  Any texts, of the training or not, send their distinct
+(context, word) pairs to the shards, where the trie is mapped and asked by
+successor search within the context's range.  Answers (a context's count and
+number of successors, a bigram's code) go back to the batch, where texts are
+summed up.  A context that borders cut is asked for in all its ranges, so its
+counts are whole.  No shard is sent to other machines and nothing is pruned: the
+model grows with the training texts, tasks do not.
+
+Words are told apart by 64-bit hashes as contexts and by 32 bits of these behind
+a context.
+
+Cases: a null text is empty: one end token; very long texts are batches of their
+own; repeated rows and rows that share an id are scored alike and counted each;
+a null id stays null; without training texts p0 is 1 and all scores are 0; an
+empty table gives an empty result; other columns of the input, whatever their
+names, are left out.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 from collections.abc import Iterator
-from itertools import pairwise
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc_text, stored, table
-from ._text import GOLDEN, hash_strings, mix64, slices, split_words
+from ._common import Scope, crc_text, new_path, stored, table
+from ._text import give_back, hash_strings, mix64, slices, split_words
+from .elias_fano import Trie, map_shared, write_shared
 
-HEADS, MU, STEP, BATCH, BATCH_BYTES, WORDS_PER_SHARD = 65_536, 24.0, 0.125, 4096, 6 << 20, 2_000_000
+#: Rows and bytes of text in a batch; bytes of training text a shard; sampled pairs a shard.
+BATCH, BATCH_BYTES, SHARD_BYTES, PER_SHARD = 8192, 5 << 20, 12 << 20, 32
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
-RARE = 128  # set in the quantised p0 of a word that is no head: its count is still to be added
-
-
-# --- Elias-Fano
-
-
-class EliasFano:
-    """A monotone sequence: low bits packed, high parts as gaps in a bit vector; both can be memory-mapped."""
-
-    def __init__(self, values: np.ndarray, folder: str, name: str) -> None:
-        self.n = len(values)
-        universe = int(values[-1]) + 1 if self.n else 1
-        self.low_bits = max(0, (universe // max(1, self.n)).bit_length() - 1)
-        self.low = self._mapped(self._pack(values & np.uint64((1 << self.low_bits) - 1)), folder, f"{name}.low")
-        high = (values >> np.uint64(self.low_bits)).astype(np.int64) + np.arange(self.n)
-        bits = np.zeros(int(high[-1]) + 1 if self.n else 1, np.uint8)
-        bits[high] = 1
-        self.high = self._mapped(np.packbits(bits, bitorder="little"), folder, f"{name}.high")
-        # Where every 512th element's bit stands: the start of a select.
-        self.marks = high[::512].copy()
-
-    @staticmethod
-    def _mapped(data: np.ndarray, folder: str, name: str) -> np.ndarray:
-        path = os.path.join(folder, name)
-        data.tofile(path)
-        return np.memmap(path, data.dtype, "r") if len(data) else data
-
-    def _pack(self, low: np.ndarray) -> np.ndarray:
-        if not self.low_bits:
-            return np.empty(0, np.uint8)
-        width = -(-self.low_bits // 8)  # whole bytes an element
-        return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).ravel()
-
-    def decode(self, first: int, last: int) -> np.ndarray:
-        """Elements first..last-1."""
-        if first >= last:
-            return np.empty(0, np.uint64)
-        start = first // 512
-        bit = int(self.marks[start])
-        end_mark = -(-last // 512)
-        stop = int(self.marks[end_mark]) if end_mark < len(self.marks) else len(self.high) * 8
-        byte = bit // 8
-        ones = np.flatnonzero(np.unpackbits(np.asarray(self.high[byte : stop // 8 + 1]), bitorder="little")) + byte * 8
-        ones = ones[ones >= bit][first - start * 512 : last - start * 512]
-        high = (ones - np.arange(first, last)).astype(np.uint64) << np.uint64(self.low_bits)
-        if not self.low_bits:
-            return high
-        width = -(-self.low_bits // 8)
-        raw = np.zeros((last - first, 8), np.uint8)
-        raw[:, :width] = np.asarray(self.low[first * width : last * width]).reshape(-1, width)
-        return high | raw.view("<u8").ravel().astype(np.uint64)
-
-
-class Trie:
-    """Two levels: contexts, and their successors with quantised probabilities."""
-
-    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, folder: str) -> None:
-        """Sorted distinct (context, word) with training counts."""
-        first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.empty(0, np.int64)
-        self.contexts = EliasFano(context[first], folder, "contexts")
-        self.pointers = EliasFano(np.append(first, len(context)).astype(np.uint64), folder, "pointers")
-        rank = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.append(first, len(context))))
-        self.successors = EliasFano(rank << np.uint64(32) | word.astype(np.uint64), folder, "successors")
-        # The count part of a probability, quantised in steps of 1/64 of a natural logarithm.
-        self.levels = EliasFano._mapped(np.round(np.log(np.maximum(count, 1)) * 64).astype(np.uint16), folder, "levels")
-
-    def find(self, context: np.ndarray, word: np.ndarray, at_once: int = 1 << 18) -> np.ndarray:
-        """Training counts (as quantised) of sorted queries; 0 where there is none."""
-        out = np.zeros(len(context))
-        known = self.contexts.decode(0, self.contexts.n)
-        if not len(known):
-            return out
-        rank = np.minimum(np.searchsorted(known, context), len(known) - 1)
-        there = np.flatnonzero(known[rank] == context)
-        for k in range(0, len(there), at_once):
-            some = there[k : k + at_once]
-            low, high = int(rank[some[0]]), int(rank[some[-1]])
-            ends = self.pointers.decode(low, high + 2)
-            first, last = int(ends[0]), int(ends[-1])
-            keys = self.successors.decode(first, last)
-            want = rank[some].astype(np.uint64) << np.uint64(32) | word[some].astype(np.uint64)
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            out[some] = np.where(keys[at] == want, np.exp(np.asarray(self.levels[first:last])[at] / 64.0), 0.0)
-        return out
-
-
-# --- the word model p0
-
-
-class WordModel:
-    """p0 of words, but for the counts of those that are no heads; at most 2^24 spelling counts and ``HEADS`` heads."""
-
-    def __init__(self, heads: dict[int, int], spelled: tuple[np.ndarray, np.ndarray], total: int, once: int, words: int) -> None:
-        self.hash = np.array(sorted(heads), np.uint64)
-        self.count = np.array([heads[int(h)] for h in self.hash], np.float64)
-        # What counts leave to all words: the share of words seen once; everything without training.
-        self.rest = min(0.999, max(1e-3, once / total if total else 1.0))
-        self.places = words + 1  # one place stands for all unknown words, as in the base
-        self.a_count = (1.0 - self.rest) / max(1, total)
-        key, n = spelled
-        order = np.argsort(key)
-        self.key, self.n = key[order], n[order].astype(np.float64)
-        pair, at = np.unique(self.key >> np.uint64(8), return_index=True)
-        self.pair, self.pair_n = pair, np.add.reduceat(self.n, at) if len(at) else np.empty(0)
-
-    @staticmethod
-    def trigrams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(two bytes before, byte) of each byte and end of each word; and where each word starts."""
-        words = words.cast(pa.large_string())
-        if not len(words):
-            return np.empty(0, np.uint64), np.zeros(1, np.int64)
-        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-        data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+NO_ID = -(1 << 63)
+COLUMNS = ["shard", "batch", "contexts", "lens", "words", "counts", "texts"]
+MESSAGE = "shard int, batch long, " + ", ".join(f"{c} binary" for c in COLUMNS[2:])
+ANSWER = "batch long, shard int, counts binary, successors binary, codes binary, step double, texts binary"
+
+
+@dataclass
+class Borders:
+    """Where shards 1, 2, ... begin: sorted (context hash, word hash)."""
+
+    context: np.ndarray
+    word: np.ndarray
+
+    @property
+    def shards(self) -> int:
+        return len(self.context) + 1
+
+    def of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The shard of each pair."""
+        low, high = np.searchsorted(self.context, context, "left"), np.searchsorted(self.context, context, "right")
+        for c in np.unique(context[high > low]):
+            at = context == c
+            a, b = np.searchsorted(self.context, c, "left"), np.searchsorted(self.context, c, "right")
+            low[at] = a + np.searchsorted(self.word[a:b], word[at], "right")
+        return low
+
+
+@dataclass
+class Model:
+    """A trained model: the tries' folder, the shards that have one, and the totals of the word model."""
+
+    path: str
+    borders: Borders
+    present: np.ndarray
+    total: int
+    words: int
+    once: int
+
+    def p0(self, count: np.ndarray) -> np.ndarray:
+        """The word model, by a word's training count."""
+        taken = (self.once + 0.5) / (self.words + 1)
+        total = max(1, self.total)
+        return np.where(count > 0, (count - taken) / total, taken * self.words / total if self.total else 1.0)
+
+
+class Texts:
+    """A batch's tokens: numbers of words in the batch's sorted vocabulary of hashes, text after text, each with its end."""
+
+    def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> None:
+        self.vocabulary, self.tokens, self.starts, self.ids = vocabulary, tokens, starts, ids
+
+    @classmethod
+    def read(cls, texts: pa.Array, ids: np.ndarray) -> Texts:
+        words, offsets = split_words(texts)
+        coded = words.dictionary_encode()
+        del words
+        vocabulary, to = np.unique(np.append(hash_strings(coded.dictionary), END), return_inverse=True)
         lens = np.diff(offsets)
-        starts = np.concatenate([[0], np.cumsum(lens + 1)])
-        text = np.full(int(starts[-1]), 32, np.uint64)  # a blank ends a word
-        text[np.arange(len(data)) + np.repeat(np.arange(len(lens)), lens)] = data
-        one, two = np.concatenate([[32], text[:-1]]), np.concatenate([[32, 32], text[:-2]])[: len(text)]
-        place = np.arange(len(text)) - np.repeat(starts[:-1], lens + 1)
-        two = np.where(place < 2, 32, two).astype(np.uint64)
-        return two << np.uint64(16) | one.astype(np.uint64) << np.uint64(8) | text, starts
-
-    def log10(self, words: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """p0 of words, and whether one is no head, so that ``a_count`` times its count is missing."""
-        key, starts = self.trigrams(words)
-        seen = _look(self.key, self.n, key)
-        pair = _look(self.pair, self.pair_n, key >> np.uint64(8))
-        logs = np.log10((seen + 0.5) / (pair + 128.0))
-        spelled = 10.0 ** np.maximum(np.add.reduceat(logs, starts[:-1]), -300.0) if len(words) else np.empty(0)
-        head = _look(self.hash, self.count, hashes)
-        return np.log10(self.a_count * head + self.rest * (0.5 * spelled + 0.5 / self.places)), head == 0
-
-    def end(self) -> float:
-        return float(np.log10(self.a_count * _look(self.hash, self.count, np.array([END], np.uint64))[0] + self.rest * 0.5 / self.places))
-
-
-def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(wanted))
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0.0)
-
-
-# --- passes
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for k in range(0, whole.num_rows, BATCH):
-            words, _ = split_words(whole.column(0).slice(k, BATCH))
-            found = words.value_counts()
-            yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1).cast(pa.int64())], ["w", "n"])
-            del words, found
-    pa.default_memory_pool().release_unused()
-
-
-def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        key, starts = WordModel.trigrams(b.column(0))
-        times = np.repeat(b.column(1).to_numpy(), np.diff(starts))
-        some, at = np.unique(key, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(np.bincount(at, times, len(some)).astype(np.int64))], ["k", "n"])
-
-
-def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(hash_strings(b.column(0)).view(np.int64)), b.column(1)], ["h", "n"])
-
-
-def _blob(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).tobytes()
+        ends = offsets[1:] + np.arange(len(lens))
+        tokens = np.full(int(offsets[-1]) + len(lens), to[-1], np.int32)
+        inner = np.ones(len(tokens), bool)
+        inner[ends] = False
+        tokens[inner] = to[coded.indices.to_numpy()]
+        return cls(vocabulary, tokens, ends - lens, ids)
+
+    def blob(self) -> bytes:
+        parts = [x.tobytes() for x in (self.vocabulary, self.tokens, self.starts.astype(np.int32), self.ids)]
+        head = np.array([len(self.vocabulary), len(self.tokens), len(self.ids)], np.int64).tobytes()
+        return head + parts[0] + parts[2] + parts[3] + pa.compress(parts[1], codec="zstd", asbytes=True)
+
+    @classmethod
+    def from_blob(cls, blob: bytes) -> Texts:
+        v, t, n = np.frombuffer(blob, np.int64, 3).tolist()
+        at, out = 24, []
+        for kind, k in ((np.uint64, v), (np.int32, n), (np.int64, n)):
+            out.append(np.frombuffer(blob, kind, k, at))
+            at += out[-1].nbytes
+        tokens = np.frombuffer(pa.decompress(blob[at:], 4 * t, codec="zstd", asbytes=True), np.int32)
+        return cls(out[0], tokens, out[1].astype(np.int64), out[2])
+
+
+class Pairs:
+    """A batch's distinct (context, word) pairs in order, by shard; and where each token's pair stands among them.
+
+    Where a border cuts a context, pairs are added so that every shard with a part of that context is asked.
+    """
+
+    def __init__(self, texts: Texts, borders: Borders) -> None:
+        v, size = texts.vocabulary, len(texts.vocabulary)
+        before = np.empty(len(texts.tokens), np.int64)
+        before[1:] = texts.tokens[:-1]
+        before[texts.starts] = np.searchsorted(v, END)
+        keys, self.of_token, self.often = np.unique(before * size + texts.tokens, return_inverse=True, return_counts=True)
+        del before
+        self.first, self.second = keys // size, keys % size
+        context, word = v[self.first], (v[self.second] >> np.uint64(32)).astype(np.uint32)
+        cut = np.flatnonzero(np.isin(borders.context, v))
+        self.place = np.arange(len(keys))
+        if len(cut):
+            c = np.concatenate([context, borders.context[cut], borders.context[cut]])
+            w = np.concatenate([word, borders.word[cut], np.zeros(len(cut), np.uint32)])
+            order = np.lexsort((w, c))
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            self.place, context, word = back[: len(keys)], c[order], w[order]
+            self.often = np.concatenate([self.often, np.zeros(2 * len(cut), np.int64)])[order]
+        self.word, shard = word, borders.of(context, word)
+        self.starts = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (shard[1:] != shard[:-1]))[: len(context)])
+        self.lens = np.diff(np.append(self.starts, len(context)))
+        self.context = context[self.starts]
+        self.shard = np.unique(shard)
+        self.word_cuts = np.append(np.searchsorted(shard, self.shard), len(shard))
+        self.context_cuts = np.append(np.searchsorted(shard[self.starts], self.shard), len(self.starts))
+
+    def cut(self, values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        """One binary value a shard."""
+        return pa.Array.from_buffers(pa.binary(), len(self.shard), [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _message(pairs: Pairs, batch: int, counts: bool, texts: bytes | None) -> pa.RecordBatch:
+    n = len(pairs.shard)
+    columns = [pa.array(pairs.shard.astype(np.int32)), pa.array(np.full(n, batch)), pairs.cut(pairs.context, pairs.context_cuts), pairs.cut(pairs.lens.astype(np.uint32), pairs.context_cuts)]
+    columns += [pairs.cut(pairs.word, pairs.word_cuts), pairs.cut(pairs.often.astype(np.uint32), pairs.word_cuts) if counts else pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()) if texts is None else pa.array([texts, *[None] * (n - 1)], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, COLUMNS)
+
+
+def _sent(borders, training: bool):
+    """Batches (id, text) to messages by shard; with counts for training, else with the batch's tokens, which one shard hands on."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tag = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for b in slices(whole, 1, BATCH, BATCH_BYTES):
+                tag += 1
+                texts = Texts.read(b.column(1), b.column(0).fill_null(NO_ID).to_numpy().astype(np.int64))
+                pairs = Pairs(texts, borders.value)
+                blob = None if training else texts.blob()
+                del texts
+                yield _message(pairs, tag, training, blob)
+                del pairs
+        give_back()
 
-def _quantised(p0: np.ndarray, no_head: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(-p0 / STEP), 0, RARE - 1).astype(np.uint8) | np.where(no_head, RARE, 0).astype(np.uint8)
+    return run
 
 
-def _send(shared, shards: int):
-    """Batches (row number, training, text) to messages by shard."""
+def _sampled(rate: float):
+    """Some distinct pairs of each batch, drawn by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: WordModel = shared.value
-        end = _quantised(np.array([model.end()]), np.array([False]))[0], _look(model.hash, model.count, np.array([END], np.uint64))[0] > 0
-        tag = TaskContext.get().partitionId() << 32
+        nowhere = Borders(np.empty(0, np.uint64), np.empty(0, np.uint32))
         for whole in batches:
-            for b in slices(whole, 2, BATCH, BATCH_BYTES):
-                tag += 1
-                words, offsets = split_words(b.column(2))
-                coded = words.dictionary_encode()
-                del words
-                hashes = hash_strings(coded.dictionary)
-                p0, no_head = model.log10(coded.dictionary, hashes)
-                p0 = _quantised(p0, no_head)
-                at, lens = coded.indices.to_numpy(), np.diff(offsets)
-                del coded
-                n, docs = len(at) + b.num_rows, np.arange(b.num_rows, dtype=np.uint16)
-                # Each text: end, words; each followed by the next word or the end.
-                ends = offsets[1:] + np.arange(b.num_rows)
-                inner = np.ones(n, bool)
-                inner[ends] = False
-                word, quant, head = np.full(n, END, np.uint64), np.full(n, end[0], np.uint8), np.full(n, end[1])
-                word[inner], quant[inner], head[inner] = hashes[at], p0[at], ~no_head[at]
-                del at, inner
-                context = np.empty(n, np.uint64)
-                context[1:], head[1:] = word[:-1], head[:-1].copy()
-                context[ends - lens], head[ends - lens] = END, end[1]
-                owner = np.repeat(docs, lens + 1)
-                shard = np.empty(n, np.int32)
-                for a in range(0, n, 1 << 18):
-                    c, w = context[a : a + (1 << 18)], word[a : a + (1 << 18)]
-                    shard[a : a + (1 << 18)] = mix64(np.where(head[a : a + (1 << 18)], c + mix64(w), c) * GOLDEN) % np.uint64(shards)
-                short = (word >> np.uint64(32)).astype(np.uint32)
-                del word, head
-                order = np.lexsort((owner, short, context, shard))
-                shard, context = shard[order], context[order]
-                short, quant, owner = short[order], quant[order], owner[order]
-                del order
-                new = np.append(True, (context[1:] != context[:-1]) | (short[1:] != short[:-1]) | (owner[1:] != owner[:-1]) | (shard[1:] != shard[:-1]))
-                first = np.flatnonzero(new)
-                often = np.diff(np.append(first, n)).astype(np.uint16 if n < 65536 else np.uint32)
-                shard, context, short, quant, owner = (x[first] for x in (shard, context, short, quant, owner))
-                rows: list[list] = [[] for _ in range(7)]
-                cuts = np.searchsorted(shard, np.arange(shards + 1))
-                for s in np.flatnonzero(np.diff(cuts)):
-                    here = slice(cuts[s], cuts[s + 1])
-                    c = context[here]
-                    starts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-                    for to, x in zip(rows, (int(s), _blob(c[starts]), _blob(np.diff(np.append(starts, len(c))).astype(np.uint32)), _blob(short[here]), _blob(quant[here]), _blob(owner[here].astype(np.uint16)), _blob(often[here].astype(np.uint32))), strict=True):
-                        to.append(x)
-                # The ids go along once a batch; every message says which documents train.
-                ids = _blob(b.column(0).fill_null(NO_ID).to_numpy().astype(np.int64))
-                train = _blob(b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8))
-                sent = len(rows[0])
-                yield pa.RecordBatch.from_arrays([pa.array([tag] * sent, pa.int64()), pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in (*rows[1:7], [ids, *[b""] * (sent - 1)], [train] * sent))], MESSAGE)
-        pa.default_memory_pool().release_unused()
+            for b in slices(whole, 0, 256, 1 << 20):
+                pairs = Pairs(Texts.read(b.column(0), np.zeros(b.num_rows, np.int64)), nowhere)
+                context = np.repeat(pairs.context, pairs.lens)
+                drawn = np.flatnonzero(mix64(context ^ mix64(pairs.word.astype(np.uint64) + np.uint64(b.num_rows))) < np.uint64(min(rate, 1.0) * (2**64 - 2048)))
+                yield pa.RecordBatch.from_arrays([pa.array(context[drawn].view(np.int64)), pa.array(pairs.word[drawn].astype(np.int64))], ["c", "w"])
+        give_back()
 
     return run
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Records as bytes, field after field."""
-    return b"".join(_blob(x[name]) for name in x.dtype.names)
+def _borders(rows: DataFrame, size: int, shards: int) -> Borders:
+    """Quantiles of sampled pairs: about ``PER_SHARD`` a shard, whatever the size of the table."""
+    if shards < 2:
+        return Borders(np.empty(0, np.uint64), np.empty(0, np.uint32))
+    wanted = PER_SHARD * shards
+    # Whole texts first, drawn with their size in mind, then pairs of these; eight bytes of text have about one pair.
+    part = min(1.0, 64 * 8 * wanted / max(1, size))
+    texts = rows.filter(F.pmod(F.xxhash64("_text", "_id"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))).select("_text")
+    found = texts.mapInArrow(_sampled(8 * wanted / max(1.0, part * size)), "c long, w long").toPandas()  # about ``wanted`` rows
+    context, word = found.c.to_numpy(np.int64).view(np.uint64), found.w.to_numpy(np.uint32)
+    order = np.lexsort((word, context))[np.arange(1, shards) * len(found) // shards] if len(found) >= shards else np.empty(0, np.int64)
+    new = [k for j, k in enumerate(order) if not j or (context[k], word[k]) != (context[order[j - 1]], word[order[j - 1]])]
+    return Borders(context[new], word[new])
 
 
-def _unpacked(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
-    out, at = np.empty(sum(map(len, blobs)) // kind.itemsize, kind), 0
-    for blob in blobs:
-        n, start = len(blob) // kind.itemsize, 0
-        for name in kind.names:
-            out[name][at : at + n] = np.frombuffer(blob, kind[name], n, start)
-            start += n * kind[name].itemsize
-        at += n
-    return out
+def _built(path: str, borders):
+    """A shard's messages to its trie; returns what the totals need."""
 
+    def run(messages: pa.Table) -> pa.Table:
+        shard = messages.column("shard")[0].as_py()
+        whole = lambda c, kind: np.frombuffer(b"".join(messages.column(c).to_pylist()), kind)
+        context, word, count = np.repeat(whole("contexts", np.uint64), whole("lens", np.uint32)), whole("words", np.uint32), whole("counts", np.uint32)
+        del messages
+        asked = count > 0
+        context, word, count = context[asked], word[asked], count[asked]
+        order = np.lexsort((word, context))
+        context, word, count = context[order], word[order], count[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))[: len(context)])
+        context, word, count = context[first], word[first], np.add.reduceat(count, first) if len(first) else count
+        if len(first):
+            write_shared(f"{path}/{shard}.trie", Trie.build(context, word, count))
+        starts = np.flatnonzero(np.append(True, context[1:] != context[:-1])[: len(context)])
+        sums = np.add.reduceat(count, starts) if len(starts) else np.empty(0, np.int64)
+        # Contexts that a border cuts are counted by the driver, from their parts: two a shard at most.
+        parted = np.isin(context[starts], borders.value.context)
+        edges = [{"c": int(c), "n": int(n)} for c, n in zip(context[starts][parted].view(np.int64), sums[parted], strict=True)]
+        out = pa.table({"shard": pa.array([shard], pa.int32()), "total": [int(sums.sum())], "words": [int((~parted).sum())], "once": [int((sums[~parted] == 1).sum())], "edges": pa.array([edges], pa.list_(pa.struct({"c": pa.int64(), "n": pa.int64()})))})
+        give_back()
+        return out
 
-NO_ID = -(1 << 63)
-MESSAGE = ["batch", "shard", "contexts", "lens", "words", "p0", "docs", "counts", "ids", "train"]
-ANSWER = ["batch", "docs", "s", "b", "k", "n", "later", "own", "ids"]
-#: Bigrams whose word is no head (its count is another shard's), and the counts of such words in the documents that have them.
-LATER = np.dtype([("doc", "<u2"), ("word", "<u4"), ("seen", "<f4"), ("often", "<u4"), ("p0", "u1")])
-OWN = np.dtype([("doc", "<u2"), ("word", "<u4"), ("n", "<u4")])
+    return run
 
 
-def _answer(shared):
-    """A shard's messages to answers: sums for the documents of each message, and what only other shards can complete."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Model:
+    """A model of all these texts, stored in the shared folder."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    size = rows.agg(F.sum(F.octet_length("_text") + 1)).first()[0] or 0
+    borders = _borders(rows, size, size // shard_bytes + 1)
+    shared, path = spark.sparkContext.broadcast(borders), new_path(spark, "lm-trie")
+    sent = rows.mapInArrow(_sent(shared, True), MESSAGE)
+    # A row a shard.
+    built = sent.groupBy("shard").applyInArrow(_built(path, shared), "shard int, total long, words long, once long, edges array<struct<c:long,n:long>>").collect()
+    present, cut = np.zeros(borders.shards, bool), {}
+    for r in built:
+        present[r["shard"]] = r["total"] > 0
+        for e in r["edges"]:
+            cut[e["c"]] = cut.get(e["c"], 0) + e["n"]
+    sums = [sum(r[k] for r in built) for k in ("total", "words", "once")]
+    return Model(path, borders, present, sums[0], sums[1] + len(cut), sums[2] + sum(n == 1 for n in cut.values()))
+
+
+def _answered(shared):
+    """A shard's messages to answers from its trie, many messages at once; tokens are handed on."""
 
     def run(messages: pa.Table) -> pa.Table:
-        model: WordModel = shared.value
-        parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        used, n_docs = [], 0
-        raw = [messages.column(c).to_pylist() for c in MESSAGE[2:8]]
-        for *blobs, train in zip(*raw, messages.column("train").to_pylist(), strict=True):
-            context, lens, word, p0, owner, often = (np.frombuffer(x, k) for x, k in zip(blobs, (np.uint64, np.uint32, np.uint32, np.uint8, np.uint16, np.uint32), strict=True))
-            docs, at = np.unique(owner, return_inverse=True)
-            for to, x in zip(parts, (np.repeat(context, lens), word, p0, (at + n_docs).astype(np.int32), often, np.frombuffer(train, np.uint8)[docs]), strict=True):
-                to.append(x)
-            used.append(docs)
-            n_docs += len(docs)
-        batch, ids = messages.column("batch"), messages.column("ids")
-        del raw, messages
-        context, word, p0, doc, often, train = (np.concatenate(x) for x in parts)
-        parts.clear()
-        order = np.lexsort((word, context))
-        context, word, p0, doc, often = (x[order] for x in (context, word, p0, doc, often))
-        learnt = np.where(train[doc] == 1, often, 0).astype(np.int64)
-        new = np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))
-        first = np.flatnonzero(new)
-        together = np.add.reduceat(learnt, first)
-        at_context = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-        in_context = np.add.reduceat(learnt, at_context)
-        heads = _look(model.hash, model.count, context[at_context])
-        c_context = np.where(heads > 0, heads, in_context)  # a head's occurrences are dealt to many shards
-        head, c_context = (np.repeat(x, np.diff(np.append(at_context, len(context)))) for x in (heads > 0, c_context))
-        del learnt, order, new
-        folder = tempfile.mkdtemp()
-        try:
-            keep = together > 0
-            trie = Trie(context[first][keep], word[first][keep], together[keep], folder)
-            distinct = np.repeat(trie.find(context[first], word[first]), np.diff(np.append(first, len(context))))
-            del trie
-        finally:
-            shutil.rmtree(folder, ignore_errors=True)
-        rare, share = p0 >= RARE, 10.0 ** (-STEP * (p0 % RARE).astype(np.float64))
-        p = np.where(rare, 1.0, distinct + MU * share) / (np.maximum(c_context, distinct) + MU)
-        sums = [np.bincount(doc, w, n_docs) for w in (often * np.log10(p), often * np.log10(c_context + 1), np.where(c_context > 0, often, 0), often)]
-        cuts, owner = np.concatenate([[0], np.cumsum([len(u) for u in used])]), np.concatenate(used)
-        at = np.flatnonzero(rare)
-        at = at[np.argsort(doc[at], kind="stable")]
-        later, later_doc = np.empty(len(at), LATER), doc[at]
-        for name, x in (("doc", owner[later_doc]), ("word", word[at]), ("seen", distinct[at]), ("often", often[at]), ("p0", p0[at] % RARE)):
-            later[name] = x
-        at = np.flatnonzero(~head & (c_context > 0) & (context != END))
-        key, found = np.unique(doc[at].astype(np.uint64) << np.uint64(32) | context[at] >> np.uint64(32), return_index=True)
-        own, own_doc = np.empty(len(key), OWN), doc[at][found]
-        for name, x in (("doc", owner[own_doc]), ("word", (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)), ("n", c_context[at][found])):
-            own[name] = x
-        cut = lambda x, kind: pa.array([_blob(x[a:b].astype(kind)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-        pack = lambda x, d: pa.array([_packed(x[a:b]) for a, b in pairwise(np.searchsorted(d, cuts))], pa.binary())
-        columns = [batch, pa.array([_blob(u) for u in used], pa.binary()), cut(sums[0], np.float64), cut(sums[1], np.float64), cut(sums[2], np.uint32), cut(sums[3], np.uint32)]
-        columns += [pack(later, later_doc), pack(own, own_doc), ids]
-        pa.default_memory_pool().release_unused()
-        return pa.Table.from_arrays(columns, ANSWER)
+        model: Model = shared.value
+        shard = messages.column("shard")[0].as_py()
+        trie = Trie(map_shared(f"{model.path}/{shard}.trie")) if model.present[shard] else None
+        columns: list[list] = [[], [], []]
+        for at in range(0, messages.num_rows, 64):
+            some = messages.slice(at, 64)
+            context, lens, word = ([np.frombuffer(x, kind) for x in some.column(c).to_pylist()] for c, kind in (("contexts", np.uint64), ("lens", np.uint32), ("words", np.uint32)))
+            contexts, words = (np.concatenate([[0], np.cumsum([len(x) for x in xs])]) for xs in (context, word))
+            context, lens, word = np.concatenate(context), np.concatenate(lens), np.concatenate(word)
+            zeros = np.zeros(len(context), np.int64)
+            count, successors, codes = trie.look(context, lens, word) if trie else (zeros, zeros, np.zeros(len(word), np.uint8))
+            for to, values, cuts in zip(columns, (count, successors.astype(np.uint32), codes), (contexts, contexts, words), strict=True):
+                to += [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        n = messages.num_rows
+        out = [messages.column("batch"), messages.column("shard"), *(pa.array(c, pa.binary()) for c in columns), pa.array(np.full(n, trie.step if trie else 0.0)), messages.column("texts")]
+        del trie
+        give_back()
+        return pa.Table.from_arrays(out, ["batch", "shard", "counts", "successors", "codes", "step", "texts"])
 
     return run
 
 
-def _gather(a_count: float):
-    """A batch's answers to one row per document; ``a_count``: what a training occurrence adds to p0."""
+def _summed(shared):
+    """A batch's answers and tokens to one row a text."""
 
     def run(answers: pa.Table) -> pa.Table:
-        ids = np.frombuffer(b"".join(answers.column("ids").to_pylist()), np.int64)
+        model: Model = shared.value
+        answers = answers.sort_by("shard")
+        texts = Texts.from_blob(next(x for x in answers.column("texts").to_pylist() if x is not None))
+        pairs = Pairs(texts, model.borders)
         whole = lambda c, kind: np.frombuffer(b"".join(answers.column(c).to_pylist()), kind)
-        docs = whole("docs", np.uint16)
-        s, b, k, n = (np.bincount(docs, whole(c, kind), len(ids)) for c, kind in (("s", np.float64), ("b", np.float64), ("k", np.uint32), ("n", np.uint32)))
-        later, own = (_unpacked(answers.column(c).to_pylist(), kind) for c, kind in (("later", LATER), ("own", OWN)))
-        wanted, keys = (x["doc"].astype(np.uint64) << np.uint64(32) | x["word"] for x in (later, own))
-        order = np.argsort(keys)
-        p0 = a_count * _look(keys[order], own["n"][order].astype(np.float64), wanted) + 10.0 ** (-STEP * later["p0"].astype(np.float64))
-        s = s + np.bincount(later["doc"], later["often"] * np.log10(later["seen"] + MU * p0), len(ids))
-        return pa.table({"_row": pa.array(ids, mask=ids == NO_ID), "_s": s, "_b": b, "_k": k.astype(np.int64), "_n": n.astype(np.int64)})
+        part, follow, codes = whole("counts", np.int64), whole("successors", np.uint32), whole("codes", np.uint8)
+        if answers.column("shard").to_pylist() != pairs.shard.tolist() or len(part) != len(pairs.context) or len(codes) != len(pairs.word):
+            raise RuntimeError("a batch's answers are not whole")
+        step = np.repeat(answers.column("step").to_numpy(), np.diff(pairs.word_cuts))
+        mass = np.where(codes > 0, 2.0 ** (-(codes.astype(np.float64) - 1) * step) * np.repeat(part + follow.astype(np.int64), pairs.lens), 0.0)
+        of, size = np.searchsorted(texts.vocabulary, pairs.context), len(texts.vocabulary)
+        c, t = (np.bincount(of, x, size) for x in (part, follow))
+        p0 = model.p0(c)[pairs.second]
+        c_v, t_v = c[pairs.first], t[pairs.first]
+        p = np.where(c_v > 0, (mass[pairs.place] + t_v * p0) / np.maximum(c_v + t_v, 1), p0)
+        over = lambda x: np.add.reduceat(x, texts.starts)
+        tokens, n = c[texts.tokens], np.diff(np.append(texts.starts, len(texts.tokens)))
+        ids = texts.ids
+        out = pa.table({"_id": pa.array(ids, mask=ids == NO_ID), "_n": n, "_k": over((tokens > 0).astype(np.int64)), "_b": over(np.log10(tokens + 1)), "_s": over(np.log10(p)[pairs.of_token])})
+        give_back()
+        return out
 
     return run
 
 
-def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``training``: a condition."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(training, F.lit(False)).alias("_train"), text.alias("_text"))
-    counts = stored(rows.filter("_train").select("_text").mapInArrow(_count_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "lm-words")
-    vocabulary, words, once = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
-    ends = rows.filter("_train").count()
-    total, vocabulary = words + ends, vocabulary + (ends > 0)
-    top = counts.orderBy(F.desc("n"), "w").limit(HEADS).mapInArrow(_with_hash, "h long, n long").collect()
-    heads = {r["h"] % (1 << 64): r["n"] for r in top} | ({int(END): ends} if ends else {})
-    pairs = counts.mapInArrow(_spell, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # at most 2^24 rows, in practice thousands
-    model = WordModel(heads, (pairs.k.to_numpy(np.uint64), pairs.n.to_numpy(np.int64)), total, once, vocabulary)
-    shared = spark.sparkContext.broadcast(model)
-    shards = int(max(1, total // WORDS_PER_SHARD) + 1)
-    binary = lambda cs: ", ".join(f"{c} binary" for c in cs)
-    sent = rows.select(F.col("_id").cast("long").alias("_id"), "_train", "_text").mapInArrow(_send(shared, shards), f"batch long, shard int, {binary(MESSAGE[2:])}")
-    answers = sent.groupBy("shard").applyInArrow(_answer(shared), f"batch long, {binary(ANSWER[1:])}")
-    found = answers.groupBy("batch").applyInArrow(_gather(model.a_count), "_row long, _s double, _b double, _k long, _n long")
-    each = F.lit(float(np.log10(total + vocabulary + 1)))
-    return found.select(F.col("_row").alias(id_col), F.col("_n").alias("n_tokens"), F.col("_k").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("_b") - F.col("_n") * each).alias("base_score"), F.col("_s").alias("score"))
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_tokens, n_known, train_tokens, base_score, score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    sent = rows.mapInArrow(_sent(docs.sparkSession.sparkContext.broadcast(model.borders), False), MESSAGE)
+    found = sent.groupBy("shard").applyInArrow(_answered(shared), ANSWER).groupBy("batch").applyInArrow(_summed(shared), "_id long, _n long, _k long, _b double, _s double")
+    each = F.lit(float(np.log10(model.total + model.words + 1)))
+    return found.select(F.col("_id").alias(id_col), F.col("_n").alias("n_tokens"), F.col("_k").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("_b") - F.col("_n") * each).alias("base_score"), F.col("_s").alias("score"))
+
+
+def train_and_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Scores of all texts by a model of those that ``training`` holds for; the model goes when they are stored."""
+    with Scope() as scope:
+        model = train(docs.filter(F.coalesce(training, F.lit(False))), id_col, text_col, shard_bytes)
+        return scope.keep(stored(score(docs, model, id_col, text_col), "lm-scores"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those whose hash of the id leaves another remainder than 2."""
     remainder = crc_text(F.col("doc_id")) % 7
-    found = score(table(spark, sf_dir, "documents"), remainder != 2)
+    found = train_and_score(table(spark, sf_dir, "documents"), remainder != 2)
     return found.select("doc_id", (remainder == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -44,7 +44,7 @@ def nothing(spark):
 
 def test_empty_tables(spark, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for found in (mixing.mix(nothing), sharding.shard(nothing, 4), fingerprints.fingerprint(nothing), toxicity.keep_clean(nothing, labels), packing.pack(nothing, packing.tokenizer_path()), near_dedup.classes(nothing), exact_dedup.groups(nothing), lm_scoring.score(nothing, F.lit(True))):
+    for found in (mixing.mix(nothing), sharding.shard(nothing, 4), fingerprints.fingerprint(nothing), toxicity.keep_clean(nothing, labels), packing.pack(nothing, packing.tokenizer_path()), near_dedup.classes(nothing), exact_dedup.groups(nothing), lm_scoring.train_and_score(nothing, F.lit(True))):
         assert found.count() == 0
 
 
@@ -182,24 +182,6 @@ def test_toxicity_grammar():
     assert scorer.features("zorkling").any() and not scorer.features("azork").any() and not scorer.features("we will see you").any()
 
 
-def test_lm_counts(spark, docs):
-    rows = [(r[0], r[1]) for r in awkward() if r[0] is not None]
-    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 3 != 0).collect()
-    tokens = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})), None]) for i, t in rows]
-    seen = Counter(w for i, ws in tokens if i % 3 for w in ws)
-    n, v = sum(seen.values()), len(seen)
-    want = sorted((i, len(ws), sum(seen[w] > 0 for w in ws), n, round(sum(np.log10((seen[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens)
-    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
-
-
-def test_elias_fano(tmp_path):
-    values = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 5000, dtype=np.uint64))
-    coded = lm_scoring.EliasFano(values, str(tmp_path), "x")
-    for a, b in ((0, len(values)), (0, 1), (511, 513), (1000, 4000), (7, 7)):
-        assert (coded.decode(a, b) == values[a:b]).all()
-
-
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -256,37 +238,6 @@ def test_near_classes_of_texts_that_differ_in_repeats():
     assert all(a & b for a, b in zip(keys[::2], keys[1::2], strict=True))
 
 
-@pytest.mark.parametrize("heads", [8, 65_536])
-def test_lm_scores_against_brute_force(spark, monkeypatch, heads):
-    """Every training word has its own count in p0, whether or not it is a head."""
-    monkeypatch.setattr(lm_scoring, "HEADS", heads)
-    rng = random.Random(8)
-    words = [f"w{k}" for k in range(300)]
-    rows = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(300)], k=80)) + (" new" if i % 5 == 0 else "")) for i in range(60)]
-    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") % 5 != 0).collect()}
-    tokens = {i: [*t.split(), None] for i, t in rows}
-    train = [ws for i, ws in tokens.items() if i % 5]
-    seen, pairs = Counter(w for ws in train for w in ws), Counter(p for ws in train for p in zip([None, *ws[:-1]], ws, strict=True))
-    total, once = sum(seen.values()), sum(n == 1 for w, n in seen.items() if w)
-    spelled = lambda w: [(f"  {w} "[k : k + 2], f"  {w} "[k + 2]) for k in range(len(w) + 1)]
-    bytes_ = Counter()
-    for w, n in seen.items():
-        for key in spelled(w) if w else []:
-            bytes_[key] += n
-    before = Counter()
-    for (two, _), n in bytes_.items():
-        before[two] += n
-    rest = min(0.999, max(1e-3, once / total))
-
-    def p0(w):
-        by_bytes = np.prod([(bytes_[key] + 0.5) / (before[key[0]] + 128) for key in spelled(w)]) if w else 0.0
-        return (1 - rest) * seen[w] / total + rest * (0.5 * by_bytes + 0.5 / (len(seen) + 1))
-
-    for i, ws in tokens.items():
-        want = sum(np.log10((pairs[v, w] + 24 * p0(w)) / (seen[v] + 24)) for v, w in zip([None, *ws[:-1]], ws, strict=True))
-        assert got[i] == pytest.approx(want, abs=0.03 * len(ws)), i
-
-
 def test_near_classes_of_the_smallest_table(spark):
     """op6 on sf0.001 against all pairs."""
     sf, low = "/root/testdata/sf0.001", {}
