@@ -37,8 +37,10 @@ names, are left out.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -98,14 +100,40 @@ class Model:
         return np.where(count > 0, (count - taken) / total, taken * self.words / total if self.total else 1.0)
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    """Whole numbers as bytes: all first bytes, all second ones and so on, compressed."""
+    return np.int64(len(x)).tobytes() + pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueeze(blob: bytes, kind: type) -> np.ndarray:
+    n, size = int(np.frombuffer(blob, np.int64, 1)[0]), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(blob[8:], n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+def _steps(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Differences within runs; a run's first value stays."""
+    out = x.copy()
+    out[1:] -= x[:-1]
+    out[starts] = x[starts]
+    return out
+
+
+def _sums(x: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The inverse of :func:`_steps`, from the runs' lengths (some may be empty)."""
+    starts = np.cumsum(lens, dtype=np.int64) - lens
+    upto = np.concatenate([[0], np.cumsum(x, dtype=np.uint64)]).astype(np.uint64)
+    return (upto[1:] - np.repeat(upto[starts], lens)).astype(x.dtype)
+
+
 class Texts:
     """A batch's tokens: numbers of words in the batch's sorted vocabulary of hashes, text after text, each with its end."""
 
-    def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> None:
-        self.vocabulary, self.tokens, self.starts, self.ids = vocabulary, tokens, starts, ids
+    def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, starts: np.ndarray, end: int) -> None:
+        self.vocabulary, self.tokens, self.starts, self.end = vocabulary, tokens, starts, end
 
     @classmethod
-    def read(cls, texts: pa.Array, ids: np.ndarray) -> Texts:
+    def read(cls, texts: pa.Array) -> Texts:
         words, offsets = split_words(texts)
         coded = words.dictionary_encode()
         del words
@@ -116,83 +144,83 @@ class Texts:
         inner = np.ones(len(tokens), bool)
         inner[ends] = False
         tokens[inner] = to[coded.indices.to_numpy()]
-        return cls(vocabulary, tokens, ends - lens, ids)
+        return cls(vocabulary, tokens, ends - lens, int(to[-1]))
 
-    def blob(self) -> bytes:
-        parts = [x.tobytes() for x in (self.vocabulary, self.tokens, self.starts.astype(np.int32), self.ids)]
-        head = np.array([len(self.vocabulary), len(self.tokens), len(self.ids)], np.int64).tobytes()
-        return head + parts[0] + parts[2] + parts[3] + pa.compress(parts[1], codec="zstd", asbytes=True)
 
-    @classmethod
-    def from_blob(cls, blob: bytes) -> Texts:
-        v, t, n = np.frombuffer(blob, np.int64, 3).tolist()
-        at, out = 24, []
-        for kind, k in ((np.uint64, v), (np.int32, n), (np.int64, n)):
-            out.append(np.frombuffer(blob, kind, k, at))
-            at += out[-1].nbytes
-        tokens = np.frombuffer(pa.decompress(blob[at:], 4 * t, codec="zstd", asbytes=True), np.int32)
-        return cls(out[0], tokens, out[1].astype(np.int64), out[2])
+class Bigrams:
+    """The distinct (context, word) pairs of tokens, in order, and where each token's pair stands among them."""
+
+    def __init__(self, tokens: np.ndarray, starts: np.ndarray, end: int, size: int) -> None:
+        before = np.empty(len(tokens), np.int64)
+        before[1:] = tokens[:-1]
+        before[starts] = end
+        keys, self.of_token, self.often = np.unique(before * size + tokens, return_inverse=True, return_counts=True)
+        self.first, self.second = keys // size, keys % size
 
 
-class Pairs:
-    """A batch's distinct (context, word) pairs in order, by shard; and where each token's pair stands among them.
+class Asked:
+    """What a batch asks the shards: its bigrams, and what makes a cut context whole.
 
-    Where a border cuts a context, pairs are added so that every shard with a part of that context is asked.
+    Where a border cuts a context, pairs are added so that each shard with a part
+    of that context is asked.  ``added`` has their places and contexts, ``again``
+    where a context begins once more, in another shard.
     """
 
-    def __init__(self, texts: Texts, borders: Borders) -> None:
-        v, size = texts.vocabulary, len(texts.vocabulary)
-        before = np.empty(len(texts.tokens), np.int64)
-        before[1:] = texts.tokens[:-1]
-        before[texts.starts] = np.searchsorted(v, END)
-        keys, self.of_token, self.often = np.unique(before * size + texts.tokens, return_inverse=True, return_counts=True)
-        del before
-        self.first, self.second = keys // size, keys % size
-        context, word = v[self.first], (v[self.second] >> np.uint64(32)).astype(np.uint32)
+    def __init__(self, texts: Texts, bigrams: Bigrams, borders: Borders) -> None:
+        v, first = texts.vocabulary, bigrams.first
+        context, word, self.often = v[first], (v[bigrams.second] >> np.uint64(32)).astype(np.uint32), bigrams.often
+        self.added = np.empty((2, 0), np.int64)
         cut = np.flatnonzero(np.isin(borders.context, v))
-        self.place = np.arange(len(keys))
         if len(cut):
             c = np.concatenate([context, borders.context[cut], borders.context[cut]])
             w = np.concatenate([word, borders.word[cut], np.zeros(len(cut), np.uint32)])
             order = np.lexsort((w, c))
-            back = np.empty(len(order), np.int64)
-            back[order] = np.arange(len(order))
-            self.place, context, word = back[: len(keys)], c[order], w[order]
-            self.often = np.concatenate([self.often, np.zeros(2 * len(cut), np.int64)])[order]
-        self.word, shard = word, borders.of(context, word)
-        self.starts = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (shard[1:] != shard[:-1]))[: len(context)])
-        self.lens = np.diff(np.append(self.starts, len(context)))
-        self.context = context[self.starts]
-        self.shard = np.unique(shard)
-        self.word_cuts = np.append(np.searchsorted(shard, self.shard), len(shard))
-        self.context_cuts = np.append(np.searchsorted(shard[self.starts], self.shard), len(self.starts))
-
-    def cut(self, values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-        """One binary value a shard."""
-        return pa.Array.from_buffers(pa.binary(), len(self.shard), [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
-
-
-def _message(pairs: Pairs, batch: int, counts: bool, texts: bytes | None) -> pa.RecordBatch:
-    n = len(pairs.shard)
-    columns = [pa.array(pairs.shard.astype(np.int32)), pa.array(np.full(n, batch)), pairs.cut(pairs.context, pairs.context_cuts), pairs.cut(pairs.lens.astype(np.uint32), pairs.context_cuts)]
-    columns += [pairs.cut(pairs.word, pairs.word_cuts), pairs.cut(pairs.often.astype(np.uint32), pairs.word_cuts) if counts else pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()) if texts is None else pa.array([texts, *[None] * (n - 1)], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, COLUMNS)
+            places = np.flatnonzero(order >= len(context))
+            context, word, self.often = c[order], w[order], np.append(self.often, np.zeros(2 * len(cut), np.int64))[order]
+            self.added = np.stack([places, np.searchsorted(v, context[places])])
+        shard = borders.of(context, word)
+        new = np.append(True, context[1:] != context[:-1])[: len(context)]
+        other = np.append(True, shard[1:] != shard[:-1])[: len(context)]
+        self.again = np.flatnonzero(other & ~new)
+        self.starts = np.flatnonzero(new | other)
+        self.word, self.context, self.lens = word, context[self.starts], np.diff(np.append(self.starts, len(context)))
+        self.shard, self.word_cuts = shard[other], np.append(np.flatnonzero(other), len(shard))
+        self.context_cuts = np.searchsorted(self.starts, self.word_cuts)
+
+    def message(self, batch: int, counts: bool, texts: bytes | None) -> pa.RecordBatch:
+        """A row a shard; the first one carries ``texts``."""
+        n = len(self.shard)
+        cut = lambda x, cuts: pa.array([_squeeze(x[a:b]) for a, b in pairwise(cuts)], pa.binary())
+        steps = _steps(self.context, self.context_cuts[:-1])
+        columns = [pa.array(self.shard.astype(np.int32)), pa.array(np.full(n, batch)), cut(steps, self.context_cuts), cut(self.lens.astype(np.uint32), self.context_cuts)]
+        columns += [cut(_steps(self.word, self.starts), self.word_cuts), cut(self.often.astype(np.uint32), self.word_cuts) if counts else pa.nulls(n, pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.binary()) if texts is None else pa.array([texts, *[None] * (n - 1)], pa.binary())], COLUMNS)
+
+
+def _read_message(contexts: bytes, lens: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = _unsqueeze(lens, np.uint32)
+    return np.cumsum(_unsqueeze(contexts, np.uint64), dtype=np.uint64), n, _sums(_unsqueeze(words, np.uint32), n)
 
 
 def _sent(borders, training: bool):
-    """Batches (id, text) to messages by shard; with counts for training, else with the batch's tokens, which one shard hands on."""
+    """Batches (id, text) to messages by shard; with counts for training, else with the batch's tokens, which a shard hands on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag = TaskContext.get().partitionId() << 32
         for whole in batches:
             for b in slices(whole, 1, BATCH, BATCH_BYTES):
                 tag += 1
-                texts = Texts.read(b.column(1), b.column(0).fill_null(NO_ID).to_numpy().astype(np.int64))
-                pairs = Pairs(texts, borders.value)
-                blob = None if training else texts.blob()
+                texts = Texts.read(b.column(1))
+                bigrams = Bigrams(texts.tokens, texts.starts, texts.end, len(texts.vocabulary))
+                asked, blob = Asked(texts, bigrams, borders.value), None
+                del bigrams
+                if not training:
+                    ids = b.column(0).fill_null(NO_ID).to_numpy().astype(np.int64)
+                    head = np.array([len(texts.vocabulary), texts.end], np.int64)
+                    blob = pickle.dumps([_squeeze(x) for x in (head, texts.tokens, texts.starts.astype(np.int32), ids, asked.added[0], asked.added[1], asked.again)])
                 del texts
-                yield _message(pairs, tag, training, blob)
-                del pairs
+                yield asked.message(tag, training, blob)
+                del asked
         give_back()
 
     return run
@@ -205,10 +233,11 @@ def _sampled(rate: float):
         nowhere = Borders(np.empty(0, np.uint64), np.empty(0, np.uint32))
         for whole in batches:
             for b in slices(whole, 0, 256, 1 << 20):
-                pairs = Pairs(Texts.read(b.column(0), np.zeros(b.num_rows, np.int64)), nowhere)
-                context = np.repeat(pairs.context, pairs.lens)
-                drawn = np.flatnonzero(mix64(context ^ mix64(pairs.word.astype(np.uint64) + np.uint64(b.num_rows))) < np.uint64(min(rate, 1.0) * (2**64 - 2048)))
-                yield pa.RecordBatch.from_arrays([pa.array(context[drawn].view(np.int64)), pa.array(pairs.word[drawn].astype(np.int64))], ["c", "w"])
+                texts = Texts.read(b.column(0))
+                asked = Asked(texts, Bigrams(texts.tokens, texts.starts, texts.end, len(texts.vocabulary)), nowhere)
+                context = np.repeat(asked.context, asked.lens)
+                drawn = np.flatnonzero(mix64(context ^ mix64(asked.word.astype(np.uint64) + np.uint64(b.num_rows))) < np.uint64(min(rate, 1.0) * (2**64 - 2048)))
+                yield pa.RecordBatch.from_arrays([pa.array(context[drawn].view(np.int64)), pa.array(asked.word[drawn].astype(np.int64))], ["c", "w"])
         give_back()
 
     return run
@@ -234,9 +263,14 @@ def _built(path: str, borders):
 
     def run(messages: pa.Table) -> pa.Table:
         shard = messages.column("shard")[0].as_py()
-        whole = lambda c, kind: np.frombuffer(b"".join(messages.column(c).to_pylist()), kind)
-        context, word, count = np.repeat(whole("contexts", np.uint64), whole("lens", np.uint32)), whole("words", np.uint32), whole("counts", np.uint32)
+        parts: list[list[np.ndarray]] = [[], [], []]
+        for *three, counts in zip(*(messages.column(c).to_pylist() for c in COLUMNS[2:6]), strict=True):
+            context, lens, word = _read_message(*three)
+            for to, x in zip(parts, (np.repeat(context, lens), word, _unsqueeze(counts, np.uint32)), strict=True):
+                to.append(x)
         del messages
+        context, word, count = (np.concatenate(x) for x in parts)
+        del parts
         asked = count > 0
         context, word, count = context[asked], word[asked], count[asked]
         order = np.lexsort((word, context))
@@ -286,13 +320,13 @@ def _answered(shared):
         columns: list[list] = [[], [], []]
         for at in range(0, messages.num_rows, 64):
             some = messages.slice(at, 64)
-            context, lens, word = ([np.frombuffer(x, kind) for x in some.column(c).to_pylist()] for c, kind in (("contexts", np.uint64), ("lens", np.uint32), ("words", np.uint32)))
+            context, lens, word = zip(*map(_read_message, *(some.column(c).to_pylist() for c in COLUMNS[2:5])), strict=True)
             contexts, words = (np.concatenate([[0], np.cumsum([len(x) for x in xs])]) for xs in (context, word))
             context, lens, word = np.concatenate(context), np.concatenate(lens), np.concatenate(word)
             zeros = np.zeros(len(context), np.int64)
             count, successors, codes = trie.look(context, lens, word) if trie else (zeros, zeros, np.zeros(len(word), np.uint8))
             for to, values, cuts in zip(columns, (count, successors.astype(np.uint32), codes), (contexts, contexts, words), strict=True):
-                to += [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                to += [_squeeze(values[a:b]) for a, b in pairwise(cuts)]
         n = messages.num_rows
         out = [messages.column("batch"), messages.column("shard"), *(pa.array(c, pa.binary()) for c in columns), pa.array(np.full(n, trie.step if trie else 0.0)), messages.column("texts")]
         del trie
@@ -308,23 +342,27 @@ def _summed(shared):
     def run(answers: pa.Table) -> pa.Table:
         model: Model = shared.value
         answers = answers.sort_by("shard")
-        texts = Texts.from_blob(next(x for x in answers.column("texts").to_pylist() if x is not None))
-        pairs = Pairs(texts, model.borders)
-        whole = lambda c, kind: np.frombuffer(b"".join(answers.column(c).to_pylist()), kind)
-        part, follow, codes = whole("counts", np.int64), whole("successors", np.uint32), whole("codes", np.uint8)
-        if answers.column("shard").to_pylist() != pairs.shard.tolist() or len(part) != len(pairs.context) or len(codes) != len(pairs.word):
+        (size, end), tokens, starts, ids, places, contexts, again = map(_unsqueeze, pickle.loads(next(x for x in answers.column("texts").to_pylist() if x is not None)), (np.int64, np.int32, np.int32, np.int64, np.int64, np.int64, np.int64))
+        bigrams = Bigrams(tokens, starts, end, size)
+        whole = lambda c, kind: np.concatenate([_unsqueeze(x, kind) for x in answers.column(c).to_pylist()])
+        part, follow, codes = whole("counts", np.int64), whole("successors", np.uint32).astype(np.int64), whole("codes", np.uint8)
+        # The asked pairs' contexts; each begins an entry, and does so again in each further shard.
+        asked = np.ones(len(bigrams.first) + len(places), bool)
+        asked[places] = False
+        context = np.empty(len(asked), np.int64)
+        context[asked], context[places] = bigrams.first, contexts
+        entry = np.append(True, context[1:] != context[:-1])
+        entry[again] = True
+        if len(codes) != len(asked) or len(part) != entry.sum():
             raise RuntimeError("a batch's answers are not whole")
-        step = np.repeat(answers.column("step").to_numpy(), np.diff(pairs.word_cuts))
-        mass = np.where(codes > 0, 2.0 ** (-(codes.astype(np.float64) - 1) * step) * np.repeat(part + follow.astype(np.int64), pairs.lens), 0.0)
-        of, size = np.searchsorted(texts.vocabulary, pairs.context), len(texts.vocabulary)
-        c, t = (np.bincount(of, x, size) for x in (part, follow))
-        p0 = model.p0(c)[pairs.second]
-        c_v, t_v = c[pairs.first], t[pairs.first]
-        p = np.where(c_v > 0, (mass[pairs.place] + t_v * p0) / np.maximum(c_v + t_v, 1), p0)
-        over = lambda x: np.add.reduceat(x, texts.starts)
-        tokens, n = c[texts.tokens], np.diff(np.append(texts.starts, len(texts.tokens)))
-        ids = texts.ids
-        out = pa.table({"_id": pa.array(ids, mask=ids == NO_ID), "_n": n, "_k": over((tokens > 0).astype(np.int64)), "_b": over(np.log10(tokens + 1)), "_s": over(np.log10(p)[pairs.of_token])})
+        step = np.repeat(answers.column("step").to_numpy(), [int(np.frombuffer(x, np.int64, 1)[0]) for x in answers.column("codes").to_pylist()])
+        mass = np.where(codes > 0, 2.0 ** (-(codes.astype(np.float64) - 1) * step) * (part + follow)[np.cumsum(entry) - 1], 0.0)[asked]
+        c, t = (np.bincount(context[entry], x, size) for x in (part, follow))
+        p0, c_v, t_v = model.p0(c)[bigrams.second], c[bigrams.first], t[bigrams.first]
+        p = np.where(c_v > 0, (mass + t_v * p0) / np.maximum(c_v + t_v, 1), p0)
+        over = lambda x: np.add.reduceat(x, starts)
+        seen, n = c[tokens], np.diff(np.append(starts, len(tokens))).astype(np.int64)
+        out = pa.table({"_id": pa.array(ids, mask=ids == NO_ID), "_n": n, "_k": over((seen > 0).astype(np.int64)), "_b": over(np.log10(seen + 1)), "_s": over(np.log10(p)[bigrams.of_token])})
         give_back()
         return out
 
