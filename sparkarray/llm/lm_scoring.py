@@ -53,7 +53,7 @@ from ._text import give_back, hash_strings, mix64, slices, split_words
 from .elias_fano import Trie, map_shared, write_shared
 
 #: Rows and bytes of text in a batch; bytes of training text a shard; sampled pairs a shard.
-BATCH, BATCH_BYTES, SHARD_BYTES, PER_SHARD = 8192, 5 << 20, 12 << 20, 32
+BATCH, BATCH_BYTES, SHARD_BYTES, PER_SHARD = 8192, 7 << 20, 12 << 20, 32
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 NO_ID = -(1 << 63)
 COLUMNS = ["shard", "batch", "contexts", "lens", "words", "counts", "texts"]
@@ -188,13 +188,13 @@ class Asked:
         self.context_cuts = np.searchsorted(self.starts, self.word_cuts)
 
     def message(self, batch: int, counts: bool, texts: bytes | None) -> pa.RecordBatch:
-        """A row a shard; the first one carries ``texts``."""
-        n = len(self.shard)
+        """A row a shard; one of them, drawn by the batch's number, carries ``texts``."""
+        n, at = len(self.shard), int(mix64(np.array([batch], np.uint64))[0] % np.uint64(len(self.shard)))
         cut = lambda x, cuts: pa.array([_squeeze(x[a:b]) for a, b in pairwise(cuts)], pa.binary())
         steps = _steps(self.context, self.context_cuts[:-1])
         columns = [pa.array(self.shard.astype(np.int32)), pa.array(np.full(n, batch)), cut(steps, self.context_cuts), cut(self.lens.astype(np.uint32), self.context_cuts)]
         columns += [cut(_steps(self.word, self.starts), self.word_cuts), cut(self.often.astype(np.uint32), self.word_cuts) if counts else pa.nulls(n, pa.binary())]
-        return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.binary()) if texts is None else pa.array([texts, *[None] * (n - 1)], pa.binary())], COLUMNS)
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.binary()) if texts is None else pa.array([texts if k == at else None for k in range(n)], pa.binary())], COLUMNS)
 
 
 def _read_message(contexts: bytes, lens: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
