@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +45,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
 
 
 class Scope:
@@ -57,21 +58,19 @@ class Scope:
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
-        self._kept.update(os.path.dirname(p).rpartition("/")[2] for p in df.inputFiles())
+        self._kept.add(df._stored_at)
         return df
 
     def __exit__(self, *_) -> None:
         for spark, path in _made[self._from :]:
-            if path.rpartition("/")[2] not in self._kept:
+            if path not in self._kept:
                 _delete(spark, path)
-        _made[self._from :] = [m for m in _made[self._from :] if m[1].rpartition("/")[2] in self._kept]
+        _made[self._from :] = [m for m in _made[self._from :] if m[1] in self._kept]
 
 
 def drop_stored(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`stored`."""
-    spark = df.sparkSession
-    for path in {os.path.dirname(p) for p in df.inputFiles()}:
-        _delete(spark, path)
+    _delete(df.sparkSession, df._stored_at)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -95,6 +94,21 @@ def row_hash(df: DataFrame) -> "F.Column":
     return F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.lit(0).cast("long")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def one_each(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row for each combination of ``keys``, that with the least hash; rows of a hot one are combined where they are read."""
+    best = fresh(df, "_best")
+    rows = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return df.groupBy(*keys).agg(F.min_by(rows, row_hash(df.select(*[F.col(f"`{c}`") for c in columns]))).alias(best)).select(f"{best}.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

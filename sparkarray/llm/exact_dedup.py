@@ -6,20 +6,27 @@ equal passages give equal chunks wherever they stand.  A chunk is named by a 64-
 it is verified: the chunk table gathers, for each key, the smallest and largest
 SHA-256 of the chunks that bear it, and a key borne by different chunks is
 replaced by names made from the SHA-256.  A text's recipe is the ordered list of
-its chunks' names, and texts are equal when their recipes are.  Only keys and
+its chunks' names, and texts are equal when their recipes are: groups are formed
+by recipe alone, and the digest of the whole text only goes along.  Only keys and
 digests move; the long texts stay where they are read.
 
-Cases: a null text equals the empty text (an empty recipe); of rows with equal
-text the one with the largest id stays (null ids last); of repeated rows with
-the same id exactly one stays; an empty table gives an empty result.
+Cases: a null text equals the empty text (an empty recipe); a very long text has
+a long recipe, of a name for some thousand characters at most and a dozen at
+least; of rows with equal text the one with the largest id stays (null ids
+last); of repeated rows with the same id exactly one stays, that with the least
+hash of all its columns; different texts under one id are different documents;
+other columns, whatever their names, stay as they are (:func:`keep`) or are left
+out (:func:`groups`); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ._common import Scope, fresh, one_each, stored, table
 
 #: A chunk ends behind one of these letters, at most a full stop, and a line end; without one, at this length.
 CUT, MOST = "a-m", 8192
@@ -30,36 +37,37 @@ def chunks(text: Column, cut: str = CUT, most: int = MOST) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{0,{most - 3}}}?[{cut}]\.?\n|.{{1,{most}}}"), F.lit(0))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256."""
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256; ``key`` gives a chunk's 64-bit name."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = F.transform(chunks(text), lambda c: F.struct(F.xxhash64(c).alias("key"), F.unhex(F.sha2(c, 256)).alias("proof")))
-    rows = stored(docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), named.alias("_chunks"), F.sha2(text, 256).alias("_sha")), "dedup-recipes")
-    table_ = rows.select(F.explode("_chunks").alias("c")).groupBy("c.key").agg(F.min("c.proof").alias("low"), F.max("c.proof").alias("high"))
-    shared = stored(table_.filter("low <> high").select("key"), "dedup-unsafe")
-    plain = F.transform("_chunks", lambda c: F.unhex(F.lpad(F.hex(c["key"]), 16, "0")))
-    if shared.isEmpty():
-        recipes = rows.withColumn("_recipe", plain)
-    else:
-        unsafe = rows.select("_row", F.explode("_chunks.key").alias("key")).join(shared, "key", "left_semi").select("_row").distinct()
-        proofs = F.transform("_chunks", lambda c: c["proof"])
-        recipes = rows.join(unsafe.withColumn("_unsafe", F.lit(True)), "_row", "left").withColumn("_recipe", F.when(F.col("_unsafe"), proofs).otherwise(plain))
-    best = F.max(F.struct(F.col("_id").isNotNull().alias("a"), F.col("_id").alias("id"), F.col("_row").alias("row")))
-    # Stored, so that the join below has two plain inputs and a hot group can be split.
-    kept = stored(recipes.groupBy("_recipe", "_sha").agg(best.alias("_best"), F.count(F.lit(1)).alias("_size")), "dedup-groups")
-    a, b = recipes.alias("a"), kept.alias("b")
-    return a.join(b, (F.col("a._recipe") == F.col("b._recipe")) & (F.col("a._sha") == F.col("b._sha"))).select(
-        F.col("a._id").alias(id_col), F.col("b._best.id").alias("keep_id"), F.col("b._size").alias("group_size"), (F.col("a._row") == F.col("b._best.row")).alias("kept"), F.col("a._sha").alias("text_sha256")
-    )
+    named = F.transform(chunks(text), lambda c: F.struct(key(c).alias("key"), F.unhex(F.sha2(c, 256)).alias("proof")))
+    with Scope() as scope:
+        rows = stored(docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), named.alias("_chunks"), F.sha2(text, 256).alias("_sha")), "dedup-recipes")
+        table_ = rows.select(F.explode("_chunks").alias("c")).groupBy("c.key").agg(F.min("c.proof").alias("low"), F.max("c.proof").alias("high"))
+        shared = stored(table_.filter("low <> high").select("key"), "dedup-unsafe")
+        plain = F.transform("_chunks", lambda c: F.unhex(F.lpad(F.hex(c["key"]), 16, "0")))
+        if shared.isEmpty():
+            recipes = rows.withColumn("_recipe", plain)
+        else:
+            unsafe = rows.select("_row", F.explode("_chunks.key").alias("key")).join(shared, "key", "left_semi").select("_row").distinct()
+            proofs = F.transform("_chunks", lambda c: c["proof"])
+            recipes = rows.join(unsafe.withColumn("_unsafe", F.lit(True)), "_row", "left").withColumn("_recipe", F.when(F.col("_unsafe"), proofs).otherwise(plain))
+        best = F.max(F.struct(F.col("_id").isNotNull().alias("a"), F.col("_id").alias("id"), F.col("_row").alias("row")))
+        # Stored, so that the join below has two plain inputs and a hot group can be split.
+        kept = stored(recipes.groupBy("_recipe").agg(best.alias("_best"), F.count(F.lit(1)).alias("_size")), "dedup-groups")
+        found = recipes.join(kept, "_recipe").select(
+            F.col("_id").alias(id_col), F.col("_best.id").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_row") == F.col("_best.row")).alias("kept"), F.col("_sha").alias("text_sha256")
+        )
+        return scope.keep(stored(found, "dedup-found"))
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with their own columns; texts move once."""
     ids = groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_dedup_id"), F.col("text_sha256").alias("_dedup_sha"))
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    found = docs.withColumn("_dedup_own", sha).join(ids, F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (F.col("_dedup_own") == F.col("_dedup_sha")), "left_semi")
-    one = Window.partitionBy(id_col, "_dedup_own").orderBy(F.lit(1))
-    return found.withColumn("_dedup_nth", F.row_number().over(one)).filter("_dedup_nth = 1").select(*docs.columns)
+    own = fresh(docs, "_dedup_own")
+    found = docs.withColumn(own, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    found = found.join(ids.toDF(fresh(docs, "_dedup_id"), fresh(docs, "_dedup_sha")), F.col(id_col).eqNullSafe(F.col(fresh(docs, "_dedup_id"))) & (F.col(own) == F.col(fresh(docs, "_dedup_sha"))), "left_semi")
+    return one_each(found, [id_col, own], docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

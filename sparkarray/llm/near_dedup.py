@@ -17,10 +17,17 @@ classes go on with more leaders a round, members of one class and pairs that
 their own shingles or their bitmaps keep apart never being compared, until each member has met
 every other one that it may link to.  Equal texts share one node, so copies are never compared.
 
+A node is a distinct text, numbered when texts are stored; ids only name rows.
+
 Cases: a null text is empty; texts without words are only equal to each other;
-texts under five words are one shingle; texts that only rows without an id have
-are grouped by equality alone; rows that share an id are one document; repeated
-rows are in one class; an empty table gives an empty result.
+texts under five words are one shingle; very long texts are read whole, in
+slices of their own; rows without an id are compared like all others; different
+texts under one id are different documents, each in its own class; of a class
+the row with the least id stays (null ids last; ties by the text's digest, then
+by a hash of all columns), so of repeated rows exactly one; a class is named by
+its least id, one without ids, or whose name an earlier class has, by a negative
+number; other columns, whatever their names, stay as they are (:func:`keep`) or
+are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import drop_stored, stored, table
-from ._text import GOLDEN, distinct, mix64, shingles, slices
+from ._common import Scope, drop_stored, fresh, one_each, stored, table
+from ._text import GOLDEN, distinct, give_back, mix64, shingles, slices
 
 WORDS, SIMILARITY, BANDS, ROWS, LEADERS = 5, 0.8, 20, 5, 16
 #: 64-bit words of a set's bitmap.
@@ -86,7 +93,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.bincount(owner, minlength=b.num_rows)
             keys = keys[size > 0]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size, pa.int32()), _lists(keys.ravel().view(np.int64), np.where(size > 0, BANDS, 0), pa.int64())], ["_id", "_sha", "_n", "_keys"])
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +105,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.bitwise_or.at(bits, owner * BITMAP + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
             sets = _lists(values.view(np.int64), np.bincount(owner, minlength=b.num_rows), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), sets, _lists(bits.view(np.int64), np.full(b.num_rows, BITMAP), pa.int64())], ["_node", "_set", "_bits"])
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -164,19 +171,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: id, class_id (the class's least id), kept (the class's document that stays)."""
+    """One row per document: id, class_id, text_sha256, kept (the class's row that stays)."""
+    with Scope() as scope:
+        return scope.keep(stored(_classes(docs, id_col, text_col, similarity), "near-found"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), F.sha2(text, 256).alias("_sha"))
-    signed = stored(rows.mapInArrow(_signed, "_id long, _sha string, _n int, _keys array<long>"), "near-signatures")
-    # One node for each distinct text: its least id (without an id: a number below all ids, and no comparisons).
+    signed = stored(rows.mapInArrow(_signed, "_id long, _sha string, _n int, _keys array<long>").withColumn("_row", F.monotonically_increasing_id()), "near-signatures")
+    # One node for each distinct text; its text is that of the row with the least id.
     nodes = signed.groupBy("_sha").agg(F.min("_id").alias("_id"), F.first("_n").alias("_n"), F.first("_keys").alias("_keys"))
-    hidden = -(F.pmod(F.xxhash64("_sha"), F.lit(1 << 62)) + F.lit(1 << 62))
-    nodes = stored(nodes.select("_sha", F.coalesce("_id", hidden).alias("_node"), "_n", F.when(F.col("_id").isNotNull(), F.col("_keys")).alias("_keys")), "near-nodes")
+    nodes = stored(nodes.withColumn("_node", F.monotonically_increasing_id()), "near-nodes")
     postings = nodes.select("_node", F.explode("_keys").alias("_key"))
     buckets = postings.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1").select("_key")
     members = stored(postings.join(stored(buckets, "near-buckets"), "_key"), "near-members")
-    needed = members.select("_node").distinct()
-    sets = stored(rows.select(F.col("_id").alias("_node"), "_text").join(needed, "_node", "left_semi").dropDuplicates(["_node"]).mapInArrow(_sets, "_node long, _set array<long>, _bits array<long>"), "near-sets")
+    needed = stored(members.select("_node").distinct().join(nodes.select("_node", F.col("_sha").alias("_its"), F.col("_id").alias("_of")), "_node"), "near-needed")
+    texts = rows.join(needed, (F.col("_sha") == F.col("_its")) & F.col("_id").eqNullSafe(F.col("_of"))).select("_node", "_text").dropDuplicates(["_node"])
+    sets = stored(texts.mapInArrow(_sets, "_node long, _set array<long>, _bits array<long>"), "near-sets")
     _ones = F.aggregate("_bits", F.lit(0), lambda n, x: n + F.bit_count(x)).alias("_ones")
     core = stored(_linkable(sets, similarity).select("_node", F.struct("_n", "_own", _ones, "_bits").alias("_of")), "near-core")
     members = members.join(core, "_node")
@@ -190,7 +202,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     most = LEADERS
     while True:
         open_ = members.join(named, "_node", "left").withColumn("_class", F.coalesce("_class", "_node"))
-        still = open_.groupBy("_key").agg(F.min("_class").alias("_low"), F.max("_class").alias("_high")).filter("_low <> _high").select("_key")
+        # Stored, so that the join has two plain inputs and a hot bucket can be split.
+        still = stored(open_.groupBy("_key").agg(F.min("_class").alias("_low"), F.max("_class").alias("_high")).filter("_low <> _high").select("_key"), "near-still")
         # About ``most`` leaders a bucket, drawn by hash; all members of smaller ones.
         drawn = F.pmod(F.xxhash64("_node", "_key", F.lit(most)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("_many") < most
         open_ = stored(open_.join(still, "_key", "left_semi").select("_key", "_node", "_of", "_class", "_many", drawn.alias("_leads")), "near-open")
@@ -209,17 +222,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         if largest <= most:  # every pair of different classes that may link has met
             break
         most *= 256
-    found = signed.select("_id", "_sha").join(nodes.select("_sha", "_node"), "_sha").join(named, "_node", "left")
-    class_id = F.coalesce("_class", "_node")
-    return found.select(F.col("_id").alias(id_col), class_id.alias("class_id"), (F.col("_id").isNull() | (F.col("_id") == class_id)).alias("kept"))
+    found = signed.select("_id", "_row", "_sha").join(nodes.select("_sha", "_node"), "_sha").join(named, "_node", "left")
+    found = stored(found.select("_id", "_row", "_sha", F.coalesce("_class", "_node").alias("_class")), "near-rows")
+    best = F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_sha").alias("sha"), F.col("_row").alias("row")))
+    kept = found.groupBy("_class").agg(best.alias("_best")).select("_class", F.col("_best.id").alias("_least"), F.col("_best.row").alias("_kept"))
+    nth = F.row_number().over(Window.partitionBy(F.col("_least").isNull(), F.coalesce("_least", "_class")).orderBy("_class"))
+    kept = stored(kept.withColumn("_name", F.when(F.col("_least").isNotNull() & (nth == 1), F.col("_least")).otherwise(-1 - F.col("_class"))), "near-kept")
+    return found.join(kept, "_class").select(F.col("_id").alias(id_col), F.col("_name").alias("class_id"), F.col("_sha").alias("text_sha256"), (F.col("_row") == F.col("_kept")).alias("kept"))
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, with its own columns; documents without an id stay."""
-    ids = classes(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_near_id"))
-    found = docs.join(ids, F.col(id_col).eqNullSafe(F.col("_near_id")), "left_semi")
-    one = Window.partitionBy(id_col).orderBy(F.lit(1))
-    return found.withColumn("_near_nth", F.row_number().over(one)).filter(F.col(id_col).isNull() | (F.col("_near_nth") == 1)).select(*docs.columns)
+    """One document of each class, with its own columns; texts move once."""
+    own, its, of = fresh(docs, "_near_own"), fresh(docs, "_near_its"), fresh(docs, "_near_of")
+    ids = classes(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(of), F.col("text_sha256").alias(its))
+    found = docs.withColumn(own, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    found = found.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col(of)) & (F.col(own) == F.col(its)), "left_semi")
+    return one_each(found, [id_col, own], docs.columns)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
