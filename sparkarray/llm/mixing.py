@@ -8,13 +8,16 @@ integer the running sum crosses.
 
 The running sum never gathers a source in one task: a source is cut into blocks
 (size class x hash of the id), blocks are summed first, and each document only
-needs its place within its block plus its block's start.
-
-Cases: a null text has size 0; a null source is a source of its own, last in
-order; sources of size 0 have target 0 and take nothing; equal rows are
-interchangeable; an empty table gives an empty result; other columns of the
-input pass through untouched unless they clash with a result column, in which
-case the result's column replaces them.
+needs its place within its block plus its block's start.  Sources, too, may be
+many: they are numbered by a distributed sort, and the common level of the
+targets is found by a few aggregates over them.
+
+Cases: a null text has size 0, a very long one its whole size; a null source is a
+source of its own, last in order; sources of size 0 have target 0 and take
+nothing; null ids are sampled like others; rows that share an id, and repeated
+rows, are sampled each on its own (equal rows are interchangeable); an empty
+table gives an empty result; :func:`mix` leaves out other columns, :func:`emit`
+keeps the input's columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ..operators import order
+from ._common import Scope, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,70 +39,68 @@ def word_count(text: Column) -> Column:
 def source_targets(sources: DataFrame, weights: list[int], share: float, most: float) -> DataFrame:
     """Targets by water filling: ``sources`` has _src, _size, one row per source.
 
-    A source is full when the common level times its weight reaches ``most``
-    times its size.  Taking sources in the order in which they fill, the level
-    while k of them are full is (total - their caps) / weights of the others;
-    the level that holds is the first that the next source can bear.
+    All sources but the full ones get a common level times their weight; one is
+    full at ``most`` times its size.  What full sources leave raises the level of
+    the others, which may fill more of them, until no more fill.
     """
-    n = len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("_rank") - 1, F.lit(n)) + 1).cast("int"))
-    by_name = Window.orderBy(F.col("_src").isNull(), F.col("_src"))
-    filling = Window.orderBy(F.col("_cap") / F.col("_weight"), "_rank")
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    after = filling.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
-        sources.withColumn("_rank", F.row_number().over(by_name))
-        .withColumn("_weight", weight)
-        .withColumn("_cap", F.lit(float(most)) * F.col("_size"))
-        .withColumn("_level", (F.lit(float(share)) * F.sum("_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_weight").over(after))
-        .withColumn("_holds", F.min(F.when(F.col("_level") * F.col("_weight") <= F.col("_cap"), F.struct(F.col("_cap") / F.col("_weight"), F.col("_rank"), F.col("_level")))).over(every))
-        .withColumn("_target", F.least(F.col("_cap"), F.coalesce(F.col("_holds")["_level"], F.lit(float("inf"))) * F.col("_weight")))
-        .select("_src", "_size", "_target", "_rank")
-    )
-
-
-def mix(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: id, size, source_size, target, copies, taken."""
-    weights = weights or [3, 1, 2]
-    narrow = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), word_count(F.col(text_col)).alias("_n"))
-    narrow = stored(narrow.withColumn("_class", F.floor(F.log2(F.col("_n") + 1.0)).cast("int")), "mix-sizes")
-    rows = narrow.count()
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("_rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    ranked = order.sort(sources, [F.col("_src").isNull().asc()], idx="_src", pos="_rank")
+    ranked = stored(ranked.withColumn("_weight", weight).withColumn("_cap", F.lit(float(most)) * F.col("_size")), "mix-sources")
+    total = float(share) * (ranked.agg(F.sum("_size")).first()[0] or 0)
+    level, full = 0.0, -1
+    while True:
+        fills = F.col("_cap") <= F.lit(level) * F.col("_weight")
+        now, caps, free = ranked.agg(F.count_if(fills), F.sum(F.when(fills, F.col("_cap"))), F.sum(F.when(~fills, F.col("_weight")))).first()
+        if now == full or not free:  # the same ones are full as before, or all are
+            break
+        full, level = now, max(level, (total - (caps or 0.0)) / free)
+    return ranked.select("_src", "_size", F.least("_cap", F.lit(level) * F.col("_weight")).alias("_target"))
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str, source_col: str, whole: bool) -> DataFrame:
+    """Each row's number, id, source and size, stored; with the row itself if it will be asked for."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), word_count(F.col(text_col)).alias("_n"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole")] if whole else []))
+    return stored(rows.withColumn("_nr", F.monotonically_increasing_id()), "mix-rows")
+
+
+def _mixed(rows: DataFrame, weights: list[int], share: float, most: float, seed: int) -> DataFrame:
+    """_nr, _id, _n, _size, _target and copies of each row."""
     # Blocks grow with the square root of the table: neither the blocks of one
     # source nor the documents of one block are ever many.
-    salts = int(rows**0.5 / 4) + 1
-    narrow = narrow.withColumn("_salt", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(salts)).cast("int"))
-    keys = ["_src", "_class", "_salt"]
-    blocks = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs"), F.sum("_n").alias("_words"))
-    sources = blocks.groupBy("_src").agg(F.sum("_words").alias("_size"))
-    targets = source_targets(sources, weights, share, most)
-    earlier = Window.partitionBy("_src").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.withColumn("_start", F.coalesce(F.sum("_docs").over(earlier), F.lit(0)))
-    starts = starts.join(targets, starts["_src"].eqNullSafe(targets["_src"])).select(*[starts[k].alias(f"{k}_b") for k in keys], "_start", "_size", "_target")
-    here = Window.partitionBy(*keys).orderBy("_n", "_id")
-    placed = narrow.withColumn("_place", F.row_number().over(here))
-    same = [placed[k].eqNullSafe(starts[f"{k}_b"]) for k in keys]
+    salts = int(rows.count() ** 0.5 / 4) + 1
+    keys = ["_no", "_name", "_class", "_salt"]
+    rows = rows.select(
+        "_nr", "_id", "_n", "_src", F.col("_src").isNull().alias("_no"), F.coalesce("_src", F.lit("")).alias("_name"),
+        F.floor(F.log2(F.col("_n") + 1.0)).cast("int").alias("_class"), F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(salts)).cast("int").alias("_salt"),
+    )
+    blocks = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs"), F.sum("_n").alias("_words")), "mix-blocks")
+    sources = blocks.groupBy("_no", "_name").agg(F.sum("_words").alias("_size")).select(F.when(~F.col("_no"), F.col("_name")).alias("_src"), "_size")
+    targets = source_targets(sources, weights, share, most).select(F.col("_src").isNull().alias("_no"), F.coalesce("_src", F.lit("")).alias("_name"), "_size", "_target")
+    earlier = Window.partitionBy("_no", "_name").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("_start", F.coalesce(F.sum("_docs").over(earlier), F.lit(0))).join(targets, ["_no", "_name"]).drop("_docs", "_words")
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("_n", "_id"))).join(starts, keys)
     rate = F.when(F.col("_size") > 0, F.least(F.lit(float(most)), F.col("_target") / F.col("_size"))).otherwise(0.0)
     offset = F.pmod(F.xxhash64("_src", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     rank = F.col("_start") + F.col("_place")
     copies = F.floor(rank * F.col("_rate") + F.col("_offset")) - F.floor((rank - 1) * F.col("_rate") + F.col("_offset"))
-    return (
-        placed.join(starts, same)
-        .withColumn("_rate", rate)
-        .withColumn("_offset", offset)
-        .withColumn("copies", F.least(copies, F.floor(F.lit(most))).cast("long"))  # a double's last bit may not add a copy
-        .select(F.col("_id").alias(id_col), F.col("_n").alias("size"), F.col("_size").alias("source_size"), F.col("_target").alias("target"), "copies", (F.col("copies") * F.col("_n")).alias("taken"))
-    )
+    # A double's last bit may not add a copy.
+    return placed.withColumn("_rate", rate).withColumn("_offset", offset).select("_nr", "_id", "_n", "_size", "_target", F.least(copies, F.floor(F.lit(most))).cast("long").alias("copies"))
 
 
-def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: every document as often as it was taken.
-
-    Rows that share an id take the largest number of copies found for it.
-    """
-    copies = mixed.filter("copies > 0").groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").cast("int").alias("_mix_copies"))
-    found = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    return found.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+def mix(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: id, size, source_size, target, copies, taken."""
+    found = _mixed(_numbered(docs, id_col, text_col, source_col, False), weights or [3, 1, 2], share, most, seed)
+    return found.select(F.col("_id").alias(id_col), F.col("_n").alias("size"), F.col("_size").alias("source_size"), F.col("_target").alias("target"), "copies", (F.col("copies") * F.col("_n")).alias("taken"))
+
+
+def emit(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every row as often as it was taken, with the input's columns."""
+    with Scope() as scope:
+        rows = _numbered(docs, id_col, text_col, source_col, True)
+        scope.keep(rows)
+        copies = scope.keep(stored(_mixed(rows, weights or [3, 1, 2], share, most, seed).filter("copies > 0").select("_nr", F.col("copies").cast("int").alias("_copies")), "mix-copies"))
+    found = rows.select("_nr", "_whole").join(copies, "_nr")
+    return found.select("_whole", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_whole.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

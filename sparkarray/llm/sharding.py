@@ -9,12 +9,16 @@ record.  A shard is an equal share of the byte line.  A group of equal texts
 smaller than ``GLUE`` of a shard stays whole on one side of a border; a larger
 one is cut by id.
 
-No task sees more than one range.  The sample has a fixed expected size (``PER``
-draws a range), so the splitters that go to the executors have a proven bound.
-
-Cases: a null text weighs ``OVERHEAD`` bytes; null ids come first in their group;
-repeated rows are separate records; with fewer records than shards some shards
-stay empty; an empty table gives an empty result.
+No task sees more than one range.  Ranges grow in number with the table, and the
+sample has a fixed expected size a range (less for very many), so the splitters
+that go to the executors have a proven bound: ``MOST_RANGES`` of 16 bytes.
+
+Cases: a null text weighs ``OVERHEAD`` bytes, a very long one its bytes (a shard
+is as much too large as half of it at most); null ids come first in their group;
+rows that share an id, and repeated rows, are separate records; with fewer
+records than shards some shards stay empty; an empty table gives an empty
+result; :func:`shard` leaves out other columns, :func:`write_shards` keeps them
+beside ``shard`` and ``slot``, which replace columns of these names.
 """
 
 from __future__ import annotations
@@ -26,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ._common import Scope, stored, table
 
 OVERHEAD, GLUE, PER = 8, 0.005, 16
-#: Ranges: one for so many rows, within these bounds.
-ROWS_PER_RANGE, LEAST_RANGES, MOST_RANGES = 2_000, 96, 16_384
+#: Ranges: one for so many rows, within these bounds (more rows make longer ranges, which sort on disk).
+ROWS_PER_RANGE, LEAST_RANGES, MOST_RANGES = 2_000, 96, 1 << 18
+#: Draws that the driver sorts; a range is subdivided while it has so many times its share of the bytes.
+MOST_DRAWS, OVERFULL = 1 << 21, 3
 
 
 def _draws(size: Column, rate: float, seed: int) -> Column:
@@ -41,8 +47,9 @@ def _draws(size: Column, rate: float, seed: int) -> Column:
 
 def _splitters(rows: DataFrame, ranges: int, total: int, seed: int) -> list[tuple[int, int]]:
     """Quantile borders of about ``ranges * PER`` size-weighted key samples."""
-    drawn = rows.withColumn("_d", _draws(F.col("_size"), ranges * PER / max(1, total), seed)).filter("_d > 0")
-    keys = drawn.select("_h", F.coalesce("_id", F.lit(-(1 << 63))).alias("_id"), F.least("_d", F.lit(ranges * PER)).alias("_d")).toPandas()
+    draws = min(ranges * PER, MOST_DRAWS)
+    drawn = rows.withColumn("_d", _draws(F.col("_size"), draws / max(1, total), seed)).filter("_d > 0")
+    keys = drawn.select("_h", F.coalesce("_id", F.lit(-(1 << 63))).alias("_id"), F.least("_d", F.lit(draws)).alias("_d")).toPandas()
     if not len(keys):
         return []
     keys = keys.sort_values(["_h", "_id"], kind="stable")
@@ -71,24 +78,34 @@ def _ranged(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 5) -> DataFrame:
-    """One row per document: id, size, text_crc32, law, shard, slot, grown_shard."""
+def _numbered(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    """Each row's number and key, stored; with the row itself if it will be asked for."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = stored(docs.select(F.col(id_col).cast("long").alias("_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("_size"), F.crc32(text).alias("_crc"), F.xxhash64(text).alias("_h")), "shard-keys")
+    keys = [F.col(id_col).cast("long").alias("_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("_size"), F.crc32(text).alias("_crc"), F.xxhash64(text).alias("_h")]
+    rows = docs.select(*keys, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole")] if whole else []))
+    return stored(rows.withColumn("_nr", F.monotonically_increasing_id()), "shard-keys")
+
+
+def _placed(rows: DataFrame, shards: int, seed: int) -> DataFrame:
+    """_nr, _id, _size, _crc, shard and slot of each row."""
+    rows = rows.select("_id", "_size", "_crc", "_h", "_nr")
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     ranges = int(min(MOST_RANGES, max(LEAST_RANGES, n // ROWS_PER_RANGE, 4 * shards)))
-    cuts = _splitters(rows, ranges, total, seed)
-    # Overfull ranges are cut again by samples of their own.
-    by_range = _ranged(rows, cuts)
-    fair = total / ranges
-    over = [r["_range"] for r in by_range.groupBy("_range").agg(F.sum("_size").alias("s")).filter(F.col("s") > 3 * fair).collect()]
-    if over:
-        inside = by_range.filter(F.col("_range").isin(over))
-        cuts = sorted(set(cuts) | set(_splitters(inside.drop("_range"), 4 * len(over) + 4, int(inside.agg(F.sum("_size")).first()[0]), seed + 1)))
-    by_range = _ranged(rows, cuts)
-    sums = by_range.groupBy("_range").agg(F.sum("_size").alias("s")).toPandas().sort_values("_range")  # a row a range
+    cuts, fair, key = _splitters(rows, ranges, total, seed), total / ranges, F.struct("_h", "_id")
+    while True:
+        by_range, seed = _ranged(rows, cuts), seed + 1
+        sums = by_range.groupBy("_range").agg(F.sum("_size").alias("s"), (F.min(key) != F.max(key)).alias("many")).toPandas().sort_values("_range")  # a row a range
+        over = sums[(sums["s"] > OVERFULL * fair) & sums["many"].astype(bool)]
+        if not len(over):
+            break
+        # Overfull ranges are cut again by samples of their own; single keys cannot be.
+        inside = by_range.filter(F.col("_range").isin(over["_range"].tolist())).drop("_range")
+        more = sorted(set(cuts) | set(_splitters(inside, int(over["s"].sum() / fair) + 4, int(over["s"].sum()), seed)))
+        if len(more) == len(cuts):
+            break
+        cuts = more
     starts = F.broadcast(rows.sparkSession.createDataFrame(list(zip(sums["_range"].tolist(), (sums["s"].cumsum() - sums["s"]).tolist(), strict=True)), "_range int, _start long"))
-    order = Window.partitionBy("_range").orderBy("_h", "_id", "_size")
+    order = Window.partitionBy("_range").orderBy("_h", "_id", "_size", "_nr")
     group = Window.partitionBy("_range", "_h")
     fill = F.lit(total / shards)
     at = (
@@ -99,19 +116,26 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
         .withColumn("_middle", F.when(F.col("_group") <= fill * GLUE, F.col("_first") + F.col("_group") / 2).otherwise(F.col("_upto") - F.col("_size") / 2))
         .withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("_middle") / fill)).cast("int"))
     )
-    at = stored(at.withColumn("_nth", F.row_number().over(Window.partitionBy("_range", "shard").orderBy("_h", "_id", "_size"))).select("_id", "_size", "_crc", "_range", "shard", "_nth"), "shard-places")
+    at = stored(at.withColumn("_nth", F.row_number().over(Window.partitionBy("_range", "shard").orderBy("_h", "_id", "_size", "_nr"))).select("_nr", "_id", "_size", "_crc", "_range", "shard", "_nth"), "shard-places")
     parts = at.groupBy("_range", "shard").agg(F.count(F.lit(1)).alias("c")).toPandas().sort_values(["shard", "_range"])  # a row a range, and one more a border
     parts["f"] = parts.groupby("shard")["c"].cumsum() - parts["c"]
     first = F.broadcast(rows.sparkSession.createDataFrame([tuple(map(int, x)) for x in parts[["_range", "shard", "f"]].to_numpy()], "_range int, shard int, _first long"))
-    return at.join(first, ["_range", "shard"]).select(
-        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("_first") + F.col("_nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    return at.join(first, ["_range", "shard"]).select("_nr", "_id", "_size", "_crc", "shard", (F.col("_first") + F.col("_nth") - 1).cast("long").alias("slot"))
+
+
+def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 5) -> DataFrame:
+    """One row per document: id, size, text_crc32, law, shard, slot, grown_shard."""
+    found = _placed(_numbered(docs, id_col, text_col, False), shards, seed)
+    return found.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """The shards as folders of Parquet files, in slot order within each file."""
-    rows = docs.join(placed.select(F.col(id_col).alias("_shard_id"), "shard", "slot"), F.col(id_col).eqNullSafe(F.col("_shard_id"))).drop("_shard_id")
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, shards: int, path: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 5) -> None:
+    """The shards as folders of Parquet files, in slot order within each file; every row once."""
+    with Scope():
+        rows = _numbered(docs, id_col, text_col, True)
+        found = rows.select("_nr", "_whole").join(_placed(rows, shards, seed).select("_nr", "shard", "slot"), "_nr")
+        own = [F.col(f"_whole.`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
+        found.select(*own, "shard", "slot").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op2_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
