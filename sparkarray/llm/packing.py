@@ -4,12 +4,15 @@ Texts become token ids; only documents longer than a sequence are cut.  Packing
 looks at the histogram of piece lengths alone, which has one entry a length and
 so at most ``capacity`` entries, whatever the size of the table:
 
-1. lengths are grouped into ``BINS`` bins, patterns of a few bins that fill a
-   sequence are enumerated, and non-negative least squares fits how often each
-   pattern is needed to use up the histogram (pieces under 1/``FILLER`` of a
-   sequence are left out: they fill what room the patterns leave);
+1. lengths are grouped: long ones into bins of a ``BINS``-th of a sequence, short
+   ones (a ``SHORT``-th of it at most) into classes that shrink by a third.  Patterns
+   are enumerated: two or three long bins that fill a sequence, or up to two long
+   bins and as many pieces of one short class as the rest takes; what then is left
+   is filled from smaller classes, by their mean lengths.  Non-negative
+   least squares fits how often each pattern is needed to use up the whole
+   histogram, in tokens;
 2. the counts are rounded down and realised with actual lengths, the largest
-   that fits first;
+   that fits first, as long as the histogram has them;
 3. the residual pieces, and the room left in patterns, are packed best fit.
 
 The plan is a list of runs: "the n-th to m-th pieces of length L stand at offset
@@ -18,8 +21,10 @@ pieces of its length; that number comes from block counts, so a length that a
 third of all pieces share is still numbered by many tasks.
 
 Cases: a null text is empty; an empty text is the end id alone; repeated rows are
-separate pieces (equal ids: numbered in any order); an empty table gives an
-empty result.
+separate pieces (equal ids: numbered in any order), as are texts that share an
+id; null ids stay null; a very long text is a batch of its own and many pieces;
+other columns of the input, whatever their names, are left out; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations_with_replacement
@@ -37,9 +43,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ._common import Scope, stored, table
+from ._text import give_back, slices
 
-CAPACITY, END_ID, BINS, MOST_IN_PATTERN, FILLER, CACHE = 4096, 1, 128, 3, 4, 800_000
+CAPACITY, END_ID, BINS, SHORT, CACHE = 4096, 1, 128, 4, 400_000
+#: Patterns take this share of what the fit gives them, and leave at most a ``WASTE``-th of a sequence empty: the rest needs short pieces, too.
+TAKEN, WASTE = 0.95, 1024
+#: Texts and bytes of text that are encoded at once.
+BATCH, BATCH_BYTES = 2048, 4 << 20
 
 
 @lru_cache(maxsize=2)
@@ -125,8 +136,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path, splits)
         for whole in batches:
-            for k in range(0, whole.num_rows, 2048):
-                b = whole.slice(k, 2048)
+            for b in slices(whole, 1, BATCH, BATCH_BYTES):
                 rows: list[list[int]] = [[], [], [], [], []]
                 for r, ids in enumerate(encode(b.column(1))):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -135,26 +145,27 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                         for to, v in zip(rows, (r, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
                             to.append(v)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:])], [id_col, "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(id_col, text.alias("_text")).mapInArrow(run, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """min |ax - b| over x >= 0 by the active-set method of Lawson and Hanson."""
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """min |ax - b| over x >= 0 by the active-set method of Lawson and Hanson, for many more columns than rows."""
     n = a.shape[1]
     x, passive = np.zeros(n), np.zeros(n, bool)
-    ata, atb = a.T @ a, a.T @ b
+    least = 1e-9 * max(1e-300, float(np.abs(a.T @ b).max(initial=0.0)))
     for _ in range(rounds):
-        w = atb - ata @ x
+        w = a.T @ (b - a[:, passive] @ x[passive])
         w[passive] = -np.inf
         j = int(np.argmax(w))
-        if w[j] <= 1e-9 * max(1.0, float(np.abs(atb).max())):
+        if w[j] <= least:
             break
         passive[j] = True
-        while True:
+        while passive.any():
             p = np.flatnonzero(passive)
-            s = np.linalg.lstsq(ata[np.ix_(p, p)], atb[p], rcond=None)[0]
+            s = np.linalg.lstsq(a[:, p], b, rcond=None)[0]
             if (s > 0).all():
                 x[:] = 0
                 x[p] = s
@@ -167,64 +178,158 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
     return x
 
 
-def bin_patterns(bins: int, most: int) -> list[tuple[int, ...]]:
-    """Multisets of 2 to ``most`` bins (1-based, upper ends) that exactly fill ``bins``."""
+def long_patterns(there: list[int], bins: int) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
+    """Of the bins that have pieces: pairs and triples that fill ``bins`` exactly, and up to two bins that leave room."""
+    have = set(there)
+    pairs = [(a, b) for a, b in combinations_with_replacement(there, 2) if a + b <= bins]
+    full = [p for p in pairs if sum(p) == bins] + [(a, b, bins - a - b) for a, b in pairs if bins - a - b >= b and bins - a - b in have]
+    return full, [(), *((a,) for a in there), *(p for p in pairs if sum(p) < bins)]
+
+
+class Lengths:
+    """What is left of the histogram, by group of lengths."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int, bins: int) -> None:
+        self.left, self.width, self.bins = dict(histogram), capacity / bins, bins
+        self.ends = [capacity / SHORT]  # of short classes, the largest first; the last one takes all shorter lengths
+        while self.ends[-1] > 2 * self.width / SHORT:
+            self.ends.append(self.ends[-1] / 1.5)
+        self.groups: dict[int, list[int]] = {}
+        self.groups[0] = sorted(histogram)  # all lengths
+        for k in self.groups[0]:
+            self.groups.setdefault(self.group(k), []).append(k)
+
+    def group(self, k: int) -> int:
+        """A long bin from 1, or a short class as -1, -2, ..."""
+        if k > self.ends[0]:
+            return int(np.ceil(k / self.width))
+        return -max(i for i, end in enumerate(self.ends, 1) if k <= end)
+
+    def largest(self, group: int, room: int, used: Counter) -> int | None:
+        """The largest length of a group (0: of all) that fits and that these sequences have not used up."""
+        known = self.groups.get(group, [])
+        at = bisect.bisect_right(known, room) - 1
+        while at >= 0 and self.left[known[at]] <= used[known[at]]:
+            at -= 1
+        return known[at] if at >= 0 else None
+
+    def nearest(self, group: int, wanted: float, room: int, used: Counter) -> int | None:
+        """The length of a group nearest to the wanted one that fits and is not used up."""
+        known = self.groups.get(group, [])
+        end = bisect.bisect_right(known, room)
+        high = min(bisect.bisect_left(known, wanted), end)
+        low = high - 1
+        while high < end and self.left[known[high]] <= used[known[high]]:
+            high += 1
+        while low >= 0 and self.left[known[low]] <= used[known[low]]:
+            low -= 1
+        if high < end and (low < 0 or known[high] - wanted < wanted - known[low]):
+            return known[high]
+        return known[low] if low >= 0 else None
+
+    def filling(self, room: int, used: Counter) -> list[int]:
+        """Two lengths that fill the room exactly, of those that are left; or the largest that fits."""
+        known = self.groups[0]
+        for at in range(bisect.bisect_right(known, room) - 1, bisect.bisect_left(known, room / 2) - 1, -1):
+            k, other = known[at], room - known[at]
+            if self.left[k] > used[k] and (not other or self.left.get(other, 0) > used[other] + (k == other)):
+                return [k, other] if other else [k]
+        k = self.largest(0, room, used)
+        return [] if k is None else [k]
+
+    def take(self, used: Counter, times: int) -> None:
+        for k, c in used.items():
+            self.left[k] -= times * c
+            if not self.left[k]:
+                for known in (self.groups[0], self.groups[self.group(k)]):
+                    known.pop(bisect.bisect_left(known, k))
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS) -> tuple[list[tuple[list[int], int]], int]:
+    """(lengths that share a sequence, how many such sequences) for the whole histogram; and how many pieces patterns placed."""
+    runs: list[tuple[list[int], int]] = [([capacity], histogram[capacity])] if histogram.get(capacity) else []
+    lengths = Lengths({k: v for k, v in histogram.items() if v and k < capacity}, capacity, bins)
+    if not lengths.left:
+        return runs, 0
+    groups = sorted(g for g in lengths.groups if g)
+    count = {g: sum(lengths.left[k] for k in lengths.groups[g]) for g in groups}
+    size = {g: sum(k * lengths.left[k] for k in lengths.groups[g]) / count[g] for g in groups}
+    short = sorted((g for g in groups if g < 0), key=lambda g: -size[g])
+    full, open_ = long_patterns([g for g in groups if g > 0], bins)
+    patterns = [(p, _fills(capacity - sum(size[g] for g in p), short, size)) for p in full]
+    for p in open_:
+        room = capacity - sum(size[g] for g in p)
+        patterns += [(p, _fills(room, [g, *short], size)) for g in short if room >= size[g]]
+    opened: list[tuple[list[int], int]] = []
+    placed = 0
+    if patterns:
+        row = {g: k for k, g in enumerate(groups)}
+        a = np.zeros((len(groups), len(patterns)))
+        for j, (p, fills) in enumerate(patterns):
+            for g, n in (*((g, 1) for g in p), *fills):
+                a[row[g], j] += n
+        tokens = np.array([size[g] / capacity for g in groups])
+        need = np.array([count[g] for g in groups], float)
+        scale = need @ tokens
+        times = np.floor(nnls(a * tokens[:, None], need * tokens / scale) * scale * TAKEN + 1e-6).astype(np.int64)
+        for j in np.argsort(-times, kind="stable"):
+            for chosen, own, m in _realised(lengths, *patterns[j], size, int(times[j]), capacity):
+                opened.append((chosen, m))
+                placed += own * m
+    return runs + _best_fit(lengths.left, opened, capacity), placed
+
+
+def _fills(room: float, classes: list[int], size: dict[int, float]) -> list[tuple[int, int]]:
+    """(class, copies): as many of each class in turn as the room takes."""
     out = []
-    for k in range(2, most + 1):
-        for some in combinations_with_replacement(range(1, bins), k - 1):
-            last = bins - sum(some)
-            if last >= some[-1]:
-                out.append((*some, last))
+    for g in classes:
+        if n := int(max(0.0, room) // size[g]):
+            out.append((g, n))
+            room -= n * size[g]
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS, most: int = MOST_IN_PATTERN) -> list[tuple[list[int], int]]:
-    """(lengths that share a sequence, how many such sequences) for the whole histogram."""
-    left = {k: v for k, v in histogram.items() if v and k < capacity}
-    runs: list[tuple[list[int], int]] = [([capacity], histogram[capacity])] if histogram.get(capacity) else []
-    width = capacity / bins
-    of = lambda k: int(np.ceil(k / width))
-    opened: list[tuple[list[int], int]] = []
-    if left:
-        need = np.zeros(bins + 1)
-        for k, v in left.items():
-            if k * FILLER > capacity:
-                need[of(k)] += v
-        there = {j for j in range(1, bins) if need[j]}
-        patterns = [p for p in bin_patterns(bins, most) if there.issuperset(p)]
-        if patterns:
-            a = np.zeros((bins + 1, len(patterns)))
-            for j, p in enumerate(patterns):
-                for x in p:
-                    a[x, j] += 1
-            scale = need.sum()
-            times = np.floor(nnls(a, need / scale) * scale + 1e-6).astype(np.int64)
-            by_bin: dict[int, list[int]] = {}
-            for k in sorted(left):
-                by_bin.setdefault(of(k), []).append(k)
-            # Short pieces, under 1/FILLER of a sequence, are kept for the room that patterns leave.
-            for j in np.argsort(-times, kind="stable"):
-                t = int(times[j])
-                while t > 0:
-                    used: dict[int, int] = {}
-                    room, chosen = capacity, []
-                    for x in sorted(patterns[j], reverse=True):
-                        k = next((k for k in reversed(by_bin.get(x, [])) if k <= room and left[k] > used.get(k, 0)), None)
-                        if k is None:  # the fit took more of this bin than there is
-                            break
-                        chosen.append(k)
-                        used[k] = used.get(k, 0) + 1
-                        room -= k
-                    if len(chosen) < len(patterns[j]):
-                        break
-                    m = min(t, *(left[k] // c for k, c in used.items()))
-                    for k, c in used.items():
-                        left[k] -= m * c
-                        if not left[k]:
-                            by_bin[of(k)].remove(k)
-                    opened.append((chosen, m))
-                    t -= m
-    return runs + _best_fit(left, opened, capacity)
+def _realised(lengths: Lengths, long: tuple[int, ...], fills: list[tuple[int, int]], size: dict[int, float], times: int, capacity: int) -> list[tuple[list[int], int, int]]:
+    """A pattern's sequences with actual lengths; fewer than ``times`` if the histogram has no more that fill them.
+
+    (lengths, how many of these are the pattern's own, sequences).  Lengths are chosen
+    so that a class takes the room that the fit gave it; what is left in the end, one
+    of them takes by being a little longer, or else the best fitting pieces.
+    """
+    out = []
+    while times > 0:
+        used: Counter = Counter()
+        room, chosen = capacity, []
+        for g, copies in (*((g, 1) for g in sorted(long, reverse=True)), *fills):
+            share = copies * size[g]
+            while copies and (k := lengths.nearest(g, share / copies, room, used)) is not None:
+                chosen.append(k)
+                used[k] += 1
+                room -= k
+                share -= k
+                copies -= 1
+            if copies and g > 0:  # the fit took more of this bin than there is
+                return out
+        own = len(chosen)
+        longer = [(k, new) for k in set(chosen) if (new := lengths.largest(0, k + room, used)) is not None]
+        k, new = max(longer, key=lambda x: (x[1] - x[0], -x[0]), default=(0, 0))
+        if new > k:
+            chosen[chosen.index(k)] = new
+            used[k] -= 1
+            used[new] += 1
+            used = +used
+            room -= new - k
+        while found := lengths.filling(room, used):
+            chosen += found
+            used.update(found)
+            room -= sum(found)
+        if room * WASTE > capacity:
+            return out
+        m = min(times, *(lengths.left[k] // c for k, c in used.items()))
+        lengths.take(used, m)
+        out.append((chosen, own, m))
+        times -= m
+    return out
 
 
 def _best_fit(left: dict[int, int], opened: list[tuple[list[int], int]], capacity: int) -> list[tuple[list[int], int]]:
@@ -288,7 +393,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> D
     """Adds sequence_id and offset to stored pieces."""
     spark = cut.sparkSession
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    runs = spark.sparkContext.broadcast(plan_runs(plan(counts, capacity)))
+    runs = spark.sparkContext.broadcast(plan_runs(plan(counts, capacity)[0]))
     blocks = int(sum(counts.values()) ** 0.5 / 4) + 1
     cut = cut.withColumn("_block", F.pmod(F.xxhash64(id_col, "piece"), F.lit(blocks)).cast("int"))
     sums = cut.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))
