@@ -124,6 +124,16 @@ class Normal(Distribution):
         return out.select(*cols, (F.lit(self.mean) + F.lit(self.sd) * F.sqrt(F.lit(-2.0) * F.log("_u")) * side).alias(name))
 
 
+def rand(df: DataFrame, seed: int, idx: str = "idx", name: str = "v", kind: str = "double") -> DataFrame:
+    """Uniform numbers in [0, 1): ``float`` (23 bits) or ``double`` (52 bits)."""
+    return (uniform_f32 if kind == "float" else uniform_f64)(df, seed, idx, name)
+
+
+def randn(df: DataFrame, seed: int, idx: str = "idx", name: str = "v") -> DataFrame:
+    """Standard normal numbers."""
+    return Normal().sample(df, seed, idx, name)
+
+
 def philox_sql(source: str, idx: str, seed: int, per: int) -> str:
     """DuckDB SQL that gives ``source``'s rows with r0..r3 (UBIGINT)."""
     sql = f"SELECT *, (({idx} // {per}) & {U32})::UBIGINT AS r0, (({idx} // {per}) >> 32)::UBIGINT AS r1, 0::UBIGINT AS r2, 0::UBIGINT AS r3 FROM {source}"

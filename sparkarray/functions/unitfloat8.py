@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MOST, NAN = 127, -128
+#: Raw values of the constants, and the step between numbers.
+ZERO, ONE, TYPEMAX, TYPEMIN, EPS = 0, MOST, MOST, -MOST, 1.0 / 128.0
 
 
 def _clamp(x: Column) -> Column:
@@ -43,6 +45,28 @@ def sign(a: Column) -> Column:
     return (F.signum(a) * F.lit(MOST)).cast("int")
 
 
+def less(a: Column, b: Column) -> Column:
+    return a < b
+
+
+def equal(a: Column, b: Column) -> Column:
+    return a == b
+
+
+def is_nan(a: Column) -> Column:
+    return a == F.lit(NAN)
+
+
+def promote(r: Column, kind: str = "double") -> Column:
+    """As a floating number of another kind (``float`` or ``double``)."""
+    return decode(r).cast(kind)
+
+
+def random(u: Column) -> Column:
+    """A raw value from a uniform number in [0, 1): each of -127 to 127 as likely."""
+    return (F.floor(u * F.lit(float(2 * MOST + 1))) - MOST).cast("int")
+
+
 def multiply(a: Column, b: Column) -> Column:
     return _clamp(F.shiftright((a * b).cast("int"), 7))
 

@@ -1,17 +1,30 @@
 """Stable sorts, sort permutations and per-column sorts; every result has a position.
 
 The order is total (keys, then index).  Positions come from a range exchange and
-two levels of counting, never from a window over everything in one task.
+two levels of counting, never from a window over everything in one task: the
+sorted ranges are stored once, numbered row by row as they are written, and each
+range gets the number of rows before it.
+
+Any strict order ``lt`` can be given instead of keys (:func:`sort_lt`): splitters
+from a sample cut the elements into buckets by ``lt`` itself, and each bucket is
+sorted by it.  Ties count by index, so equal elements do not share one bucket.
+
+Nulls come first in ascending keys unless the keys say otherwise
+(``asc_nulls_last``); an array as such has none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import store
+
 ALGORITHMS = ("auto", "radix", "sample")
+#: Elements of a bucket of a sort by ``lt``, and sampled elements a bucket.
+BUCKET, PER_BUCKET = 16_384, 16
 
 
 def order_key(value: Column) -> list[Column]:
@@ -28,19 +41,34 @@ def check_options(algorithm: str = "auto", comparator: bool = False, keys: bool
         raise ValueError("a sample sort takes no separate keys")
 
 
-def sort(df: DataFrame, keys: Sequence[Column], idx: str = "idx", pos: str = "pos", algorithm: str = "auto", partitions: int | None = None) -> DataFrame:
-    """``df`` with ``pos`` from 1 in the order of ``keys``, ties by index."""
-    check_options(algorithm)
+def sort(df: DataFrame, keys: Sequence[Column], idx: str = "idx", pos: str = "pos", algorithm: str = "auto", partitions: int | None = None, separate: bool = False) -> DataFrame:
+    """``df`` with ``pos`` from 1 in the order of ``keys``, ties by index; ``separate``: the keys are an array of their own.
+
+    ``algorithm`` is checked as named; all of them are Spark's range exchange and sort.
+    """
+    check_options(algorithm, keys=separate)
     by = [*keys, F.asc(idx)]
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The partition number is an attribute of the range exchange; counts per partition give each its start.
-    dealt = df.repartitionByRange(n, *by).withColumn("_p", F.spark_partition_id())
-    dealt = dealt.persist()
-    starts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = store(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id()), "sorted")
+    range_, nth = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dealt.groupBy(range_.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))  # a row a range
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    placed = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*by)))
-    return placed.join(F.broadcast(starts), "_p").withColumn(pos, (F.col("_s") + F.col("_r")).cast("long")).drop("_p", "_s", "_r")
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    return dealt.withColumn("_p", range_).join(F.broadcast(starts), "_p").withColumn(pos, (F.col("_s") + nth + 1).cast("long")).drop("_p", "_s", "_m")
+
+
+def sort_keyval(values: DataFrame, keys: DataFrame, by: Callable[[Column], Column] = lambda k: k.asc(), value: str = "v", key: str = "k", idx: str = "idx") -> DataFrame:
+    """Two arrays sorted together by the second: (pos, value, key); they must be of one length."""
+    lengths = [a.agg(F.count(F.lit(1)), F.max(idx)).first() for a in (values, keys)]
+    if lengths[0] != lengths[1]:
+        raise ValueError(f"{lengths[0][0]} values against {lengths[1][0]} keys")
+    both = values.select(idx, value).join(keys.select(idx, key), idx)
+    return sort(both, [by(F.col(key))], idx, separate=True).select("pos", value, key)
+
+
+def mirrored(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
+    """A sorted array from its end: descending order in which ties are mirrored, too."""
+    return df.withColumn(pos, F.lit(n + 1) - F.col(pos))
 
 
 def sortperm(df: DataFrame, keys: Sequence[Column], idx: str = "idx", **kw) -> DataFrame:
@@ -48,12 +76,54 @@ def sortperm(df: DataFrame, keys: Sequence[Column], idx: str = "idx", **kw) -> D
     return sort(df, keys, idx, **kw).select("pos", (F.col(idx) + 1).alias("perm"))
 
 
-def sort_columns(coo: DataFrame, descending: bool = False) -> DataFrame:
-    """Each column j of (i, j, v) sorted on its own: (pos, j, v), pos from 1."""
-    value = F.desc("v") if descending else F.asc("v")
-    return coo.select("j", "v", F.row_number().over(Window.partitionBy("j").orderBy(value, "i")).cast("long").alias("pos"))
-
-
-def sort_arrays(df: DataFrame, col: str, descending: bool = False) -> DataFrame:
-    """The same where each column is held as one array."""
+def sort_lt(df: DataFrame, lt: Callable[[Column, Column], Column], value: str = "v", idx: str = "idx", pos: str = "pos", algorithm: str = "auto", bucket: int = BUCKET) -> DataFrame:
+    """(pos, idx, value) by a strict order of two values, ties by index."""
+    check_options(algorithm, comparator=True)
+    before = lambda a, b: lt(a["v"], b["v"]) | (~lt(b["v"], a["v"]) & (a["i"] < b["i"]))
+    compare = lambda a, b: F.when(before(a, b), -1).when(before(b, a), 1).otherwise(0)
+    pairs = df.select(F.struct(F.col(value).alias("v"), F.col(idx).alias("i")).alias("_e"))
+    buckets = df.count() // bucket + 1
+    cuts = _splitters(pairs, compare, buckets, df.schema[value].dataType.simpleString())
+    at = F.lit(0)
+    if cuts is not None:
+        # How many of the sorted splitters come before the element, by binary search; past the last one there is nothing.
+        known = F.from_json(F.lit(cuts[0]), f"array<struct<v:{df.schema[value].dataType.simpleString()},i:bigint>>")
+        steps = F.lit([1 << k for k in reversed(range(cuts[1].bit_length()))])
+        at = F.aggregate(steps, F.lit(0), lambda p, k: F.when((p + k <= cuts[1]) & before(F.get(known, p + k - 1), F.col("_e")), p + k).otherwise(p))
+    runs = pairs.groupBy(at.alias("_b")).agg(F.array_sort(F.collect_list("_e"), compare).alias("_a"))
+    runs = store(runs, "sorted-buckets")
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select("_b", F.coalesce(F.sum(F.size("_a")).over(earlier), F.lit(0)).alias("_s"))  # a row a bucket
+    out = runs.join(F.broadcast(starts), "_b").select("_s", F.posexplode("_a").alias("_k", "_e"))
+    return out.select((F.col("_s") + F.col("_k") + 1).cast("long").alias(pos), F.col("_e.i").alias(idx), F.col("_e.v").alias(value))
+
+
+def _splitters(pairs: DataFrame, compare: Callable[[Column, Column], Column], buckets: int, kind: str) -> tuple[str, int] | None:
+    """Quantiles of about ``PER_BUCKET`` sampled elements a bucket, as JSON, and their number."""
+    if buckets == 1:
+        return None
+    wanted = PER_BUCKET * buckets
+    drawn = pairs.filter(F.pmod(F.xxhash64("_e.i"), F.lit(1 << 30)) < F.lit(int(min(1.0, wanted / (pairs.count() + 1)) * (1 << 30))))
+    ordered = drawn.agg(F.array_sort(F.collect_list("_e"), compare).alias("_a"))
+    every = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda k: F.get(F.col("_a"), F.floor(k * F.size("_a") / buckets).cast("int")))
+    found = ordered.select(F.to_json(F.filter(every, lambda e: e.isNotNull())).alias("c"), F.size(F.filter(every, lambda e: e.isNotNull())).alias("n")).first()
+    return (found["c"], found["n"]) if found["n"] else None
+
+
+def sort_columns(coo: DataFrame, descending: bool = False, key: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Each column j of (i, j, v) sorted on its own, by a key of v if one is given: (pos, j, v), pos from 1.
+
+    All columns are sorted at once, by column first, so a long column is many
+    ranges; a column's positions count from its first one.
+    """
+    value = F.col("v") if key is None else key(F.col("v"))
+    placed = sort(coo, [F.asc("j"), value.desc() if descending else value.asc()], "i")
+    starts = placed.groupBy("j").agg(F.min("pos").alias("_s"))
+    return placed.join(starts, "j").select("j", "v", (F.col("pos") - F.col("_s") + 1).alias("pos"))
+
+
+def sort_arrays(df: DataFrame, col: str, descending: bool = False, lt: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The same where each column is held as one array, also by any strict order."""
+    if lt is not None:
+        return df.withColumn(col, F.array_sort(col, lambda a, b: F.when(lt(a, b), -1).when(lt(b, a), 1).otherwise(0)))
     return df.withColumn(col, F.sort_array(col, not descending))

@@ -1,4 +1,4 @@
-"""First, last and extremal positions; ties go to the smallest index."""
+"""First, last and extremal positions; ties go to the smallest index, nulls are never extremal."""
 
 from __future__ import annotations
 
@@ -28,8 +28,8 @@ def argbest(df: DataFrame, keys: Sequence[Column], idx: str = "idx", name: str =
 
 
 def argmax(df: DataFrame, value: Column, **kw) -> DataFrame:
-    return argbest(df, [value.desc()], **kw)
+    return argbest(df, [value.desc_nulls_last()], **kw)
 
 
 def argmin(df: DataFrame, value: Column, **kw) -> DataFrame:
-    return argbest(df, [value.asc()], **kw)
+    return argbest(df, [value.asc_nulls_last()], **kw)

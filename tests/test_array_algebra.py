@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkarray.functions import philox, unitfloat8
 from sparkarray.operators import order, product, reduce, scan, search
+from sparkarray.plans import catalogue
 from sparkarray.sources import tables
 
 
@@ -125,3 +126,121 @@ def test_matvec_checks_the_length(spark):
     for x in ([1.0], [1.0, 2.0, 3.0]):
         with pytest.raises(Exception, match="against a row of"):
             product.matvec_rows(rows, F.col("row"), x).collect()
+
+
+def test_vectors_longer_than_a_literal_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(product, "MOST", 3)
+    rows = spark.createDataFrame([(0, [1, 2, 3, 4]), (1, [5, 6, 7, 8])], "i long, row array<long>")
+    for op, want in (("+", {0: 30, 1: 70}), ("max", {0: 16, 1: 32}), (lambda a, b: a * 10 + b, {0: 1 * 1000 + 4 * 100 + 9 * 10 + 16, 1: 5000 + 1200 + 210 + 32})):
+        got = product.matvec_rows(rows, F.col("row"), [1, 2, 3, 4], op=op).collect()
+        assert {r.i: r.value for r in got} == want
+
+
+def test_coordinate_products_check_shapes(spark):
+    coo = spark.createDataFrame([(i, j, i + j) for i in range(3) for j in range(4)], "i long, j long, v long")
+    short, exact, long = (spark.createDataFrame([(j, 1) for j in range(n)], "j long, x long") for n in (3, 4, 5))
+    assert {r.i: r.value for r in product.matvec(coo, exact, lambda a, b: a * b, "+").collect()} == {0: 6, 1: 10, 2: 14}
+    with pytest.raises(Exception, match="the vector has no j = 3"):
+        product.matvec(coo, short, lambda a, b: a * b, "+").collect()
+    product.check_shapes(coo, exact, "j")
+    with pytest.raises(ValueError, match="a vector up to j = 4 against a matrix up to j = 3"):
+        product.check_shapes(coo, long, "j")
+    with pytest.raises(Exception, match="the vector has no i = 2"):
+        product.vecmat(spark.createDataFrame([(0, 1), (1, 1)], "i long, x long"), coo, lambda a, b: a * b, "+").collect()
+
+
+def test_dim_and_array_errors(spark):
+    coo = spark.createDataFrame([(0, 0, 1)], "i long, j long, v long")
+    for dim in (0, 3):
+        with pytest.raises(ValueError, match="dim must be 1 or 2"):
+            reduce.mapreduce2d(coo, F.col("v"), "+", dim)
+    with pytest.raises(ValueError, match="as a whole"):
+        reduce.mapreduce_arrays(coo, lambda a, b: a * b, "+", "i", "v", dims=1)
+    with pytest.raises(ValueError, match="takes no comparator"):
+        order.sort_lt(vec(spark, [1]), lambda a, b: a < b, algorithm="radix")
+    with pytest.raises(ValueError, match="takes no separate keys"):
+        order.sort(vec(spark, [1]), [F.asc("v")], algorithm="sample", separate=True)
+    with pytest.raises(ValueError, match="3 values against 2 keys"):
+        order.sort_keyval(vec(spark, [1, 2, 3]), vec(spark, [1, 2]).withColumnRenamed("v", "k"))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 33, 1000])
+def test_sort_by_any_order(spark, n):
+    """A remainder order, with many ties; buckets small enough that there are several."""
+    values = [random.Random(n).randrange(5000) for _ in range(n)]
+    got = order.sort_lt(vec(spark, values), lambda a, b: F.pmod(a, F.lit(97)) < F.pmod(b, F.lit(97)), bucket=64).orderBy("pos").collect()
+    assert [(r.pos, r.idx, r.v) for r in got] == [(p, k, values[k]) for p, k in enumerate(sorted(range(n), key=lambda k: (values[k] % 97, k)), 1)]
+
+
+def test_equal_elements_do_not_share_a_bucket(spark):
+    got = order.sort_lt(vec(spark, [7] * 600), lambda a, b: a < b, bucket=50).orderBy("pos").collect()
+    assert [r.idx for r in got] == list(range(600))
+
+
+def test_sort_leaves_nothing_cached(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    values = [random.Random(4).randrange(1000) for _ in range(3000)]
+    got = order.sort(vec(spark, values), [F.asc("v")]).orderBy("pos").collect()
+    assert [r.idx for r in got] == sorted(range(3000), key=lambda k: (values[k], k))
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_mirrored_order_turns_ties_round(spark):
+    values = [3, 1, 3, 2, 1]
+    got = order.mirrored(order.sort(vec(spark, values), [F.asc("v")]), 5).orderBy("pos").collect()
+    assert [r.idx for r in got] == [2, 0, 3, 4, 1]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_columns_sorted_on_their_own(spark, descending):
+    rng = random.Random(2)
+    cols = [[rng.randrange(9) for _ in range(n)] for n in (1, 40, 300)]
+    coo = spark.createDataFrame([(i, j, v) for j, c in enumerate(cols) for i, v in enumerate(c)], "i long, j long, v long")
+    got = order.sort_columns(coo, descending).collect()
+    for j, c in enumerate(cols):
+        assert [r.v for r in sorted((r for r in got if r.j == j), key=lambda r: r.pos)] == sorted(c, reverse=descending)
+        assert sorted(r.pos for r in got if r.j == j) == list(range(1, len(c) + 1))
+
+
+def test_nulls_change_nothing(spark):
+    df = spark.createDataFrame([(0, None), (1, 3), (2, None), (3, 4), (4, None)], "idx long, v long")
+    for op in ("+", lambda a, b: a + b):
+        assert [r.value for r in scan.scan(df, F.col("v"), op).orderBy("idx").collect()] == [None, 3, 3, 7, 7]
+        assert reduce.mapreduce(df, F.col("v"), op).first()["value"] == 7
+    assert (search.argmin(df, F.col("v")).first()[0], search.argmax(df, F.col("v")).first()[0]) == (1, 3)
+
+
+def test_scan_crosses_blocks_of_blocks(spark):
+    values = [random.Random(5).randrange(100) for _ in range(700)]
+    got = [r.s for r in scan.scan_many(vec(spark, values), {"s": (F.col("v"), "+")}, block=8).orderBy("idx").collect()]
+    assert got == [sum(values[: k + 1]) for k in range(700)]
+
+
+def test_sums_of_squares_beyond_64_bits(spark):
+    big = 4_000_000_000
+    df = spark.createDataFrame([(k, big, 0) for k in range(8)], "idx long, a long, b long")
+    got = reduce.mapreduce_arrays(df, lambda a, b: catalogue._wide(a - b) * catalogue._wide(a - b), "+", "a", "b", g=lambda x: F.sqrt(x.cast("double"))).first()["value"]
+    assert got == pytest.approx(big * 8**0.5)
+
+
+def test_welford_by_merging_keeps_its_digits(spark):
+    """A large mean and a small spread: sums of squares would lose all digits."""
+    values = [1e9 + k % 5 for k in range(400)]
+    df = spark.createDataFrame(list(enumerate(values)), "idx long, v double")
+    last = scan.scan(df, F.struct(F.lit(1).cast("long").alias("n"), F.col("v").alias("mean"), F.lit(0.0).alias("m2")), catalogue.merge).orderBy(F.desc("idx")).first()["value"]
+    assert last.n == 400 and last.m2 / last.n == pytest.approx(2.0, rel=1e-4)
+
+
+def test_maximum_under_a_relation(spark):
+    df = vec(spark, [5, 12, 22, 32, 7])
+    assert reduce.maximum(df, F.col("v"), lambda x, y: x % 10 < y % 10).first()["value"] == 7
+    assert reduce.maximum(df, F.col("v"), lambda x, y: x % 5 > y % 5).first()["value"] == 5  # of equal ones the first
+    assert reduce.maximum(df.limit(0), F.col("v"), lambda x, y: x < y).count() == 0
+
+
+def test_public_names(spark):
+    import sparkarray as sa
+
+    assert all(hasattr(sa, name) for name in sa.__all__)
+    assert [r.value for r in sa.scan(vec(spark, [1, 2, 3]), F.col("v"), "+").orderBy("idx").collect()] == [1, 3, 6]
+    sa.release(spark)
