@@ -1,23 +1,33 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read a clause word by word: insult, threat, target,
-negation and reported speech.  Their composition (built state by state as it is
-needed) gives, at the clause's end, what kind of clause it is; its weight is the
-sum of the weights of the insults or threats it holds.  A text is scored by its
-matched clauses, never by words alone: a negated or reported insult counts
-differently from one aimed at somebody.
+A clause is read word by word by a cascade of small weighted transducers.  The
+lexicon turns a word into a class with a weight; negation, reported speech,
+target and threat each rewrite the symbols that come from the one before, and
+multiply weights: an insult behind a negation becomes a negated one, an insult
+with a target an aimed one, a threat verb with somebody it is meant for a threat.
+The last machine takes the gravest kind that it reads.  The cascade's composition
+is built state by state as it is needed.  A text is scored by its matched clauses
+(their kinds and weights), never by words alone.
 
 The lexicon of insults starts from a short list of fixed words and is learned
-from labelled texts: whole words and word beginnings that toxic texts have far
-more often than others, weighted by log odds.  Logistic regression over the
-clause kinds, with a prior that follows the grammar, turns them into a score.
-Training sees a sample of at most ``SAMPLE`` labelled rows (the smallest by a
-hash of the id); labels, language, source and id never enter a score.
+from labelled texts: whole words, and word beginnings that one, two, three or five
+different words of a text must have, which toxic texts have more often than
+others.  A feature counts if it is in ``LEAST`` toxic texts and the likelihood
+ratio says so; its weight is its log odds, less as the evidence is thin.  There is
+no limit to their number or to how rare a family of insults may be among the toxic
+texts.  Logistic regression over the clause kinds, with a prior that follows the
+grammar, turns them into a score; what it learns from is each text as a lexicon of
+the other ``FOLDS`` - 1 parts of the sample reads it, so that chance features of
+the text itself don't count.  Training sees a sample of at most ``SAMPLE``
+labelled rows (the smallest by a hash of id and text), a documented bound; labels,
+language, source and id never enter a score.
 
 Cases: a null text is empty; an empty text gets the score of a text without
-matches; null or missing labels are not learned from; without any label of
-either kind the prior alone scores; repeated rows score alike; an empty table
-gives an empty result.
+matches; a very long one is read whole, and its matches count by their share;
+null or missing labels, and rows without an id, are not learned from but scored;
+rows that share an id share its label; without any label of either kind the
+prior alone scores; repeated rows score alike; other columns, whatever their
+names, stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,12 +44,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import crc_text, stored, table
+from ._common import Scope, crc_text, fresh, stored, table
+from ._text import give_back, slices
 
 SAMPLE = 12_000
-LEXICON = 400
-LEAST_G2, LEAST_LOD = 24.0, 1.6
-PREFIXES = range(3, 9)
+#: A learned feature: in so many toxic texts, with this likelihood ratio and these log odds; evidence of twice ``LEAST_G2`` counts in full.
+LEAST, LEAST_G2, LEAST_LOD = 3, 12.0, 2.0
+PREFIXES, DIFFERENT, FOLDS = range(3, 9), (1, 2, 3, 5), 5
+#: Rows and bytes of text that Python handles at once.
+BATCH, BATCH_BYTES = 4096, 4 << 20
 
 # Seed words of the grammar's classes, in English, French, German and Spanish.
 INSULTS = "idiot moron stupid scum trash loser worthless pathetic disgusting clown imbecile cretin dumbass vermin filth imbécile crétin connard ordure abruti dummkopf vollidiot abschaum trottel versager estúpido imbécil basura escoria inútil".split()
@@ -52,56 +65,63 @@ REPORTS = "said says say told called calls wrote quoted quote alleged reported a
 INSULT, THREAT, MODAL, TARGET, NEGATION, REPORT, OTHER = "ITMYNRO"
 CLASSES = {w: c for words, c in ((TARGETS, TARGET), (MODALS, MODAL), (REPORTS, REPORT), (NEGATIONS, NEGATION)) for w in words}
 
-#: A machine: what a (state, class) leads to; missing pairs keep the state. State 0 starts.
-INSULT_FST = {(0, INSULT): 1}
-THREAT_FST = {(0, MODAL): 1, (0, THREAT): 2, (1, THREAT): 3, (2, TARGET): 3}
-TARGET_FST = {(0, TARGET): 1, (0, INSULT): 2, (1, INSULT): 3, (1, THREAT): 3, (2, TARGET): 3}
-NEGATION_FST = {(0, NEGATION): 1, (1, OTHER): 2, (2, OTHER): 3, (3, OTHER): 0, (1, TARGET): 2, (2, TARGET): 3, (3, TARGET): 0, (1, INSULT): 9, (2, INSULT): 9, (3, INSULT): 9, (1, THREAT): 9, (2, THREAT): 9, (3, THREAT): 9}
-REPORTED_FST = {(0, REPORT): 1, (1, INSULT): 9, (1, THREAT): 9}
-MACHINES = (INSULT_FST, THREAT_FST, TARGET_FST, NEGATION_FST, REPORTED_FST)
-
-KINDS = ("plain", "targeted", "negated", "reported", "threat")
+#: Symbols that machines write: negated and reported insults and threats, aimed insults, threats that are meant for somebody.
+NEG_INSULT, NEG_THREAT, REP_INSULT, REP_THREAT, AIMED, MEANT = "itqrAH"
+
+#: A transducer: (state, read) -> (state, written, weight); for what is missing the state stays and the symbol passes. State 0 starts.
+NEGATION_FST = {
+    (0, NEGATION): (1, NEGATION, 1.0),
+    **{(k, c): ((k + 1) % 4, c, 1.0) for k in (1, 2, 3) for c in (OTHER, TARGET, MODAL)},
+    **{(k, INSULT): (0, NEG_INSULT, 0.5) for k in (1, 2, 3)},
+    **{(k, THREAT): (0, NEG_THREAT, 0.5) for k in (1, 2, 3)},
+}
+REPORT_FST = {(0, REPORT): (1, REPORT, 1.0), (1, INSULT): (1, REP_INSULT, 0.7), (1, THREAT): (1, REP_THREAT, 0.7)}
+TARGET_FST = {(0, TARGET): (1, TARGET, 1.0), (0, INSULT): (2, INSULT, 1.0), (1, INSULT): (1, AIMED, 1.2), (2, TARGET): (1, AIMED, 1.0)}
+THREAT_FST = {(0, MODAL): (1, MODAL, 1.0), (0, THREAT): (2, THREAT, 0.0), (1, THREAT): (1, MEANT, 1.0), (2, TARGET): (1, MEANT, 1.0), (2, AIMED): (1, MEANT, 1.0)}
+#: The gravest kind so far; states are those of ``KINDS``, from 1.
+KIND_FST = {(k, c): (max(k, to), c, 1.0) for k in range(6) for c, to in ((INSULT, 1), (AIMED, 2), (MEANT, 3), (NEG_INSULT, 4), (NEG_THREAT, 4), (REP_INSULT, 5), (REP_THREAT, 5))}
+MACHINES = (NEGATION_FST, REPORT_FST, TARGET_FST, THREAT_FST, KIND_FST)
+
+KINDS = ("plain", "targeted", "threat", "negated", "reported")
 FEATURES = (*KINDS, "heaviest", "clauses", "density")
 #: Prior means of the coefficients; what no labelled text shows stays there.
-PRIOR = np.array([0.5, 0.7, 0.05, 0.15, 0.9, 0.3, 0.1, 0.3])
+PRIOR = np.array([0.5, 0.7, 0.9, 0.05, 0.15, 0.3, 0.1, 0.3])
 PRIOR_BIAS = -4.0
 
 
-class Composition:
-    """The product of the machines, with states made as they are met."""
+class Cascade:
+    """The composition of transducers: each reads what the one before writes; states are made as they are met."""
 
     def __init__(self, machines: tuple[dict, ...] = MACHINES) -> None:
         self.machines, self.arcs = machines, {}
 
-    def step(self, state: tuple[int, ...], symbol: str) -> tuple[int, ...]:
+    def step(self, state: tuple[int, ...], symbol: str) -> tuple[tuple[int, ...], float]:
+        """The next state, and the weight of the arcs on the way."""
         found = self.arcs.get((state, symbol))
         if found is None:
-            found = self.arcs[state, symbol] = tuple(m.get((s, symbol), s) for m, s in zip(self.machines, state, strict=True))
+            states, weight, read = [], 1.0, symbol
+            for machine, s in zip(self.machines, state, strict=True):
+                s, read, w = machine.get((s, read), (s, read, 1.0))
+                states.append(s)
+                weight *= w
+            found = self.arcs[state, symbol] = tuple(states), weight
         return found
 
-    def kind(self, symbols: list[str]) -> str | None:
-        """The kind of a clause, or None if no pattern matches."""
-        state = (0,) * len(self.machines)
-        for symbol in symbols:
-            state = self.step(state, symbol)
-        insult, threat, target, negated, reported = state
-        if not insult and threat != 3:
-            return None
-        if reported == 9:
-            return "reported"
-        if negated == 9:
-            return "negated"
-        if threat == 3:
-            return "threat"
-        return "targeted" if target == 3 else "plain"
+    def clause(self, words: list[tuple[str, float]]) -> tuple[int, float]:
+        """The kind of a clause (its place in ``KINDS``, or -1 if no pattern matches) and its weight, from classes and weights."""
+        state, total = (0,) * len(self.machines), 0.0
+        for symbol, own in words:
+            state, weight = self.step(state, symbol)
+            total += own * weight
+        return state[-1] - 1, total
 
 
 @dataclass
 class Model:
-    """Weights of insults (whole words, word beginnings) and of the clause kinds."""
+    """Weights of insults (whole words; word beginnings, with how many different words must have them) and of the clause kinds."""
 
     words: dict[str, float]
-    prefixes: dict[str, float]
+    prefixes: dict[str, tuple[float, int]]
     scale: np.ndarray = field(default_factory=lambda: np.ones(len(FEATURES)))
     coefficients: np.ndarray = field(default_factory=lambda: PRIOR.copy())
     bias: float = PRIOR_BIAS
@@ -117,38 +137,43 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         import ahocorasick
 
-        self.model, self.grammar = model, Composition()
+        self.model, self.grammar = model, Cascade()
         self.trie = ahocorasick.Automaton()
         for word in {*model.words, *model.prefixes, *THREATS}:
             self.trie.add_word(word, len(word))
         self.trie.make_automaton()
 
-    def weigh(self, word: str) -> tuple[str, float]:
-        """A word's class and weight."""
+    def weigh(self, word: str, live: dict[str, float]) -> tuple[str, float]:
+        """A word's class and weight; ``live``: the word beginnings that enough of the text's words have."""
         weight = self.model.words.get(word)
-        if weight is None:
-            for k in PREFIXES:
-                if (found := self.model.prefixes.get(word[:k])) is not None and len(word) >= k:
-                    weight = max(weight or 0.0, found)
+        for k in PREFIXES:
+            if len(word) >= k and (found := live.get(word[:k])) is not None:
+                weight = max(weight or 0.0, found)
         if weight is not None:
             return INSULT, weight
         return (THREAT, 2.0) if word in _THREATS else (CLASSES.get(word, OTHER), 0.0)
 
     def features(self, text: str) -> np.ndarray:
         out = np.zeros(len(FEATURES))
-        low, done = text.lower(), -1
+        low, done, found, having = text.lower(), -1, [], {}
         for end, size in self.trie.iter(low):
             start = end - size + 1
-            if start <= done or start and (low[start - 1].isalnum() or low[start - 1] == "_"):
+            if start and (low[start - 1].isalnum() or low[start - 1] == "_"):
+                continue
+            found.append((start, end))
+            stem = low[start : end + 1]
+            if stem in self.model.prefixes:
+                having.setdefault(stem, set()).add(_WORD.match(low, start).group())
+        live = {p: self.model.prefixes[p][0] for p, words in having.items() if len(words) >= self.model.prefixes[p][1]}
+        for start, end in found:
+            if start <= done:
                 continue
             first = max(low.rfind(c, 0, start) for c in ".!?;\n|") + 1
             last = m.start() if (m := _CLAUSE_END.search(low, end)) else len(low)
             done = last
-            read = [self.weigh(w) for w in _WORD.findall(low, first, last)]
-            kind = self.grammar.kind([c for c, _ in read])
-            if kind is not None:
-                weight = sum(w for _, w in read)
-                out[KINDS.index(kind)] += weight
+            kind, weight = self.grammar.clause([self.weigh(w, live) for w in _WORD.findall(low, first, last)])
+            if kind >= 0:
+                out[kind] += weight
                 out[5] = max(out[5], weight)
                 out[6] += 1
         if out[6]:
@@ -180,29 +205,47 @@ def g2(a: float, b: float, pos: int, neg: int) -> float:
     return 2 * total
 
 
+def parse_feature(f: str) -> tuple[str, int]:
+    """The word or word beginning of a feature, and how many different words must have the beginning (0: a whole word)."""
+    return (f[2:], int(f[1])) if f[0] == "^" else (f, 0)
+
+
 def lexicon(counts: list[tuple[str, int, int]], pos: int, neg: int) -> Model:
-    """Words and word beginnings (marked ``^``) that tell toxic texts, with the fixed ones."""
+    """Words and word beginnings (as ``^2stem``) that tell toxic texts, with the fixed ones."""
     known = {f: (a, b) for f, a, b in counts}
     rated = []
     for f, (a, b) in known.items():
         lod = log_odds(a, b, pos, neg)
-        if lod >= LEAST_LOD and (g := g2(a, b, pos, neg)) >= LEAST_G2:
-            rated.append((-round(g, 6), -len(f), f, lod))
+        if a >= LEAST and lod >= LEAST_LOD and (g := g2(a, b, pos, neg)) >= LEAST_G2:
+            stem, many = parse_feature(f)
+            rated.append((-round(g, 6), -len(stem), many, stem, lod * min(1.0, g / (2 * LEAST_G2))))
     words: dict[str, float] = {}
-    prefixes: dict[str, float] = {}
-    for _, _, f, lod in sorted(rated):
-        if len(words) + len(prefixes) >= LEXICON:
-            break
-        stem = f.lstrip("^")
-        if any(stem.startswith(p) or p.startswith(stem) for p in prefixes) or (f[0] == "^" and any(w.startswith(stem) for w in words)):
+    prefixes: dict[str, tuple[float, int]] = {}
+    longer: set[str] = set()  # all beginnings of what is chosen
+    for _, _, many, stem, weight in sorted(rated):
+        if stem in longer or any(stem[:k] in prefixes for k in PREFIXES if k <= len(stem)):
             continue
-        (prefixes if f[0] == "^" else words)[stem] = lod
+        if many:
+            prefixes[stem] = (weight, many)
+        else:
+            words[stem] = weight
+        longer.update(stem[:k] for k in range(1, len(stem) + 1))
     for w in INSULTS:
         seen = known.get(w)
         words.setdefault(w, max(0.5, log_odds(*seen, pos, neg)) if seen and seen[0] + seen[1] >= 5 else 2.0)
     return Model(words, prefixes)
 
 
+def lexicons(counts: list[tuple[str, list[int], list[int]]], pos: list[int], neg: list[int]) -> tuple[Model, list[Model]]:
+    """The lexicon of all parts of the sample, and for each part that of the others; counts and totals come by part."""
+    whole = lexicon([(f, sum(a), sum(b)) for f, a, b in counts], sum(pos), sum(neg))
+    others = []
+    for k in range(FOLDS):
+        p, n = sum(pos) - pos[k], sum(neg) - neg[k]
+        others.append(lexicon([(f, sum(a) - a[k], sum(b) - b[k]) for f, a, b in counts], p, n) if p and n else lexicon([], 1, 1))
+    return whole, others
+
+
 def fit(model: Model, x: np.ndarray, y: np.ndarray, strength: float = 2.0) -> Model:
     """Logistic regression by Newton's method, drawn towards the prior."""
     model.scale = np.maximum(x[x.any(axis=1)].std(axis=0) if x.any() else np.ones(x.shape[1]), 0.25)
@@ -220,53 +263,74 @@ def fit(model: Model, x: np.ndarray, y: np.ndarray, strength: float = 2.0) -> Mo
     return model
 
 
+def text_features(text: str) -> set[str]:
+    """A text's words, and the word beginnings that one, two, three or five of its different words have."""
+    words = set(_WORD.findall(text.lower()))
+    starts = Counter(w[:k] for w in words for k in PREFIXES if len(w) >= k)
+    return words | {f"^{m}{p}" for p, n in starts.items() for m in DIFFERENT if n >= m}
+
+
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each word and word beginning: how many toxic and how many other texts have it."""
+    """Of each feature: how many toxic and how many other texts have it, by part of the sample."""
 
-    def out(counts: Counter) -> pa.RecordBatch:
-        names = {f for f, _ in counts}
-        keys = sorted(names)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[k, 1] for k in keys], pa.int64()), pa.array([counts[k, 0] for k in keys], pa.int64())], ["feature", "toxic", "other"])
+    def out(counts: dict[str, np.ndarray]) -> pa.RecordBatch:
+        sums = np.concatenate([x[None] for x in counts.values()])
+        return pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), *(pa.array(x) for x in sums.T)], ["feature", *PARTS])
 
-    counts: Counter = Counter()
+    counts: dict[str, np.ndarray] = {}
     for b in batches:
-        for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            words = set(_WORD.findall(text.lower()))
-            found = {*words, *(f"^{w[:k]}" for w in words for k in PREFIXES if len(w) >= k)}
-            counts.update((f, y) for f in found)
-            if len(counts) > 1_000_000:
+        for text, y, part in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for f in text_features(text):
+                if f not in counts:
+                    counts[f] = np.zeros(2 * FOLDS, np.int64)
+                counts[f][part + FOLDS * (1 - y)] += 1
+            if len(counts) > 200_000:
                 yield out(counts)
-                counts = Counter()
+                counts = {}
     if counts:
         yield out(counts)
+    del counts
+    give_back()
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Lexicon and weights from at most ``sample`` labelled documents outside the held-out fifth."""
-    spark = docs.sparkSession
-    usable = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(crc_text(F.col("doc_id")) % 5 != 0)
-    usable = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("_y"))
-    ids = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # ``sample`` rows at most: a proven bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "_y")
-    rows = stored(rows.dropDuplicates(), "toxicity-sample")
-    per = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
-    pos, neg = per.get(1, 0), per.get(0, 0)
-    if not pos or not neg:
-        return lexicon([], 1, 1)
-    least = max(5, int(0.025 * pos))
-    counts = rows.mapInArrow(_count_features, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
-    telling = (F.col("a") >= least) & (F.col("a") / pos > 2 * F.col("b") / neg) | F.col("feature").isin(INSULTS)
-    best = counts.filter(telling).orderBy(F.desc(F.col("a") / pos - F.col("b") / neg), "feature").limit(50 * LEXICON)
-    model = lexicon([tuple(r) for r in best.collect()], pos, neg)
-    shared = spark.sparkContext.broadcast(model)
+#: Columns of counts: of toxic texts by part of the sample, then of others.
+PARTS = [f"{c}{k}" for c in "ab" for k in range(FOLDS)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for b in batches:
-            x = [scorer.features(t).tolist() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
-    seen = rows.mapInArrow(run, "x array<double>, y int").toPandas()
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Lexicon and weights from at most ``sample`` labelled rows outside the held-out fifth."""
+    spark = docs.sparkSession
+    usable = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(crc_text(F.col("doc_id")) % 5 != 0)
+    usable = usable.groupBy(F.col("doc_id").alias("_of")).agg((F.max("toxic") > 0).cast("int").alias("_y"))
+    # Twice a bound: so many ids are broadcast, and so many rows are learned from, however many rows share an id.
+    ids = usable.orderBy(F.xxhash64("_of"), "_of").limit(sample)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(ids), F.col("_id") == F.col("_of")).select("_text", "_y").distinct()
+    with Scope():
+        rows = rows.orderBy(F.xxhash64("_text", "_y"), "_text", "_y").limit(sample).select("_text", "_y", F.pmod(F.xxhash64("_text"), F.lit(FOLDS)).cast("int").alias("_part"))
+        rows = stored(rows, "toxicity-sample").repartition(max(2, spark.sparkContext.defaultParallelism))
+        per = {(r["_y"], r["_part"]): r["count"] for r in rows.groupBy("_y", "_part").count().collect()}
+        pos, neg = ([per.get((y, k), 0) for k in range(FOLDS)] for y in (1, 0))
+        if not sum(pos) or not sum(neg):
+            return lexicon([], 1, 1)
+        counts = rows.mapInArrow(_count_features, "feature string, " + ", ".join(f"{c} long" for c in PARTS)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in PARTS])
+        # The likelihood ratio as :func:`g2` has it, loosely: only what may pass comes to the driver, and a text has few such features.
+        a, b = (sum((F.col(c) for c in PARTS[k + 1 : k + FOLDS]), F.col(PARTS[k])) for k in (0, FOLDS))
+        p, n = sum(pos), sum(pos) + sum(neg)
+        part = lambda seen, all_, of: F.when(seen > 0, seen * F.log(seen / (all_ * F.lit(of / n)))).otherwise(0.0)
+        ratio = 2 * (part(a, a + b, p) + part(b, a + b, n - p) + part(p - a, n - a - b, p) + part(n - p - b, n - a - b, n - p))
+        telling = (a >= LEAST) & (a / p > 2 * b / (n - p)) & (ratio > LEAST_G2 * 0.8)
+        found = counts.filter(telling | F.col("feature").isin(INSULTS)).collect()
+        model, others = lexicons([(r["feature"], [r[c] for c in PARTS[:FOLDS]], [r[c] for c in PARTS[FOLDS:]]) for r in found], pos, neg)
+        shared = spark.sparkContext.broadcast(others)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorers = [Scorer(m) for m in shared.value]
+            for b in batches:
+                x = [scorers[part].features(t).tolist() for t, part in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
+            give_back()
+
+        seen = rows.mapInArrow(run, "x array<double>, y int").toPandas()  # ``sample`` rows at most
     seen = seen.assign(k=seen.x.map(tuple)).sort_values(["k", "y"])  # the same sums whatever the order of rows
     return fit(model, np.array(seen.x.tolist(), float), seen.y.to_numpy(float))
 
@@ -278,17 +342,19 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", as_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
-            scores = [scorer.score(t or "") for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, as_col])
+        for whole in batches:
+            for b in slices(whole, at, BATCH, BATCH_BYTES):
+                scores = [scorer.score(t.as_py() or "") for t in b.column(at)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, as_col])
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(as_col, T.DoubleType())]))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose score is under the threshold."""
-    found = scored(docs, train(docs, labels), as_col="_toxicity")
-    return found.filter(F.col("_toxicity") < threshold).select(*docs.columns)
+    as_col = fresh(docs, "_toxicity")
+    return scored(docs, train(docs, labels), as_col=as_col).filter(F.col(as_col) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,15 +174,6 @@ def test_urls():
     assert url_filter.split_url(None) == url_filter.split_url("no host") == ("", "")
 
 
-def test_toxicity_grammar():
-    scorer = toxicity.Scorer(toxicity.Model({"idiot": 3.0}, {"zork": 3.0}))
-    score = scorer.score
-    assert score("") < 0.5 and score("a fine day") == score("")
-    assert score("you are an idiot") > score("he said you are an idiot") > score("")
-    assert score("you are an idiot") > score("you are not an idiot")
-    assert scorer.features("zorkling").any() and not scorer.features("azork").any() and not scorer.features("we will see you").any()
-
-
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
