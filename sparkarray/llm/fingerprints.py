@@ -18,8 +18,10 @@ into blocks at quantiles, each block is one window, and the first row of a block
 is also sent, as a sentinel, to the block before.
 
 Cases: a null text is empty; null ids come last in the falling order; rows that
-share an id are ordered by text; a single document is its own next one; an empty
-table gives an empty result.
+share an id are ordered by text, so repeated rows stand together; very long texts
+are read whole, in as many segments as they need; a single document is its own
+next one; an empty table gives an empty result; other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from ._common import table
 
 PARAGRAPH = r"[^\n]{1,120}[^\n.!?]{0,240}[.!?]*\n*|\n+"
 CELLS, PER_SEGMENT, ROUNDS, LARGER = 16, 10, 24, 4
-ROWS_PER_BLOCK, MOST_BLOCKS = 500, 4096
+#: Blocks: one for so many rows, up to a number whose borders each task can hold; a longer block is sorted on disk.
+ROWS_PER_BLOCK, MOST_BLOCKS = 500, 1 << 16
 
 
 def _let(value: Column, body) -> Column:
