@@ -77,7 +77,7 @@ NEGATION_FST = {
 }
 REPORT_FST = {(0, REPORT): (1, REPORT, 1.0), (1, INSULT): (1, REP_INSULT, 0.7), (1, THREAT): (1, REP_THREAT, 0.7)}
 TARGET_FST = {(0, TARGET): (1, TARGET, 1.0), (0, INSULT): (2, INSULT, 1.0), (1, INSULT): (1, AIMED, 1.2), (2, TARGET): (1, AIMED, 1.0)}
-THREAT_FST = {(0, MODAL): (1, MODAL, 1.0), (0, THREAT): (2, THREAT, 0.0), (1, THREAT): (1, MEANT, 1.0), (2, TARGET): (1, MEANT, 1.0), (2, AIMED): (1, MEANT, 1.0)}
+THREAT_FST = {(0, MODAL): (1, MODAL, 1.0), (0, THREAT): (2, THREAT, 1.0), (1, THREAT): (1, MEANT, 1.0), (2, TARGET): (1, MEANT, 1.0), (2, AIMED): (1, MEANT, 1.0)}
 #: The gravest kind so far; states are those of ``KINDS``, from 1.
 KIND_FST = {(k, c): (max(k, to), c, 1.0) for k in range(6) for c, to in ((INSULT, 1), (AIMED, 2), (MEANT, 3), (NEG_INSULT, 4), (NEG_THREAT, 4), (REP_INSULT, 5), (REP_THREAT, 5))}
 MACHINES = (NEGATION_FST, REPORT_FST, TARGET_FST, THREAT_FST, KIND_FST)
