@@ -119,6 +119,12 @@ def crc_text(col) -> "F.Column":
     return F.crc32(col.cast("string").cast("binary"))
 
 
+def spread(col: "F.Column", digits: int) -> "F.Column":
+    """A whole number below 16^digits, even over values, from the MD5 of a value's text; SQL elsewhere has the same."""
+    text = F.coalesce(col.cast("string"), F.lit("")).cast("binary")
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions to deal shuffled rows to: the session's shuffle setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

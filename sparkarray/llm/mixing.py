@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import order
-from ._common import Scope, stored, table
+from ._common import Scope, spread, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -71,7 +71,7 @@ def _mixed(rows: DataFrame, weights: list[int], share: float, most: float, seed:
     keys = ["_no", "_name", "_class", "_salt"]
     rows = rows.select(
         "_nr", "_id", "_n", "_src", F.col("_src").isNull().alias("_no"), F.coalesce("_src", F.lit("")).alias("_name"),
-        F.floor(F.log2(F.col("_n") + 1.0)).cast("int").alias("_class"), F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(salts)).cast("int").alias("_salt"),
+        F.length(F.bin(F.col("_n") + 1)).alias("_class"), F.pmod(spread(F.concat_ws("-", F.lit(seed), F.col("_id")), 7), F.lit(salts)).cast("int").alias("_salt"),
     )
     blocks = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs"), F.sum("_n").alias("_words")), "mix-blocks")
     sources = blocks.groupBy("_no", "_name").agg(F.sum("_words").alias("_size")).select(F.when(~F.col("_no"), F.col("_name")).alias("_src"), "_size")
@@ -80,7 +80,7 @@ def _mixed(rows: DataFrame, weights: list[int], share: float, most: float, seed:
     starts = blocks.withColumn("_start", F.coalesce(F.sum("_docs").over(earlier), F.lit(0))).join(targets, ["_no", "_name"]).drop("_docs", "_words")
     placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("_n", "_id"))).join(starts, keys)
     rate = F.when(F.col("_size") > 0, F.least(F.lit(float(most)), F.col("_target") / F.col("_size"))).otherwise(0.0)
-    offset = F.pmod(F.xxhash64("_src", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    offset = spread(F.concat_ws("-", F.lit(seed), F.col("_src")), 5) / F.lit(float(1 << 20))
     rank = F.col("_start") + F.col("_place")
     copies = F.floor(rank * F.col("_rate") + F.col("_offset")) - F.floor((rank - 1) * F.col("_rate") + F.col("_offset"))
     # A double's last bit may not add a copy.
@@ -109,3 +109,18 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_mix_sources": op1_mix_sources}
+ORACLE_SQL = {
+    "op1_mix_sources": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+        -- Sources in the order in which they fill; while those before a source are full, the level is what their caps leave, by the weights of the others.
+        f AS (SELECT *, 2.0::DOUBLE * n AS cap, (1.5::DOUBLE * sum(n) OVER () - coalesce(sum(2.0::DOUBLE * n) OVER (ORDER BY n / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(weight) OVER (ORDER BY n / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+        t AS (SELECT source, n, least(cap, coalesce((SELECT level FROM f WHERE level * weight < cap ORDER BY n / weight, source LIMIT 1), 'inf'::DOUBLE) * weight) AS target FROM f),
+        r AS (SELECT d.*, t.n, t.target, CASE WHEN t.n > 0 THEN least(2.0::DOUBLE, t.target / t.n) ELSE 0 END AS rate,
+                ('0x' || substr(md5('17' || coalesce('-' || d.source, '')), 1, 5))::BIGINT / 1048576.0::DOUBLE AS shift,
+                row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size + 1)), ('0x' || substr(md5('17-' || doc_id), 1, 7))::BIGINT % (SELECT CAST(floor(sqrt(count(*)) / 4) AS BIGINT) + 1 FROM d), size, doc_id) AS nth
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        c AS (SELECT *, CAST(least(floor(nth * rate + shift) - floor((nth - 1) * rate + shift), 2) AS BIGINT) AS copies FROM r)
+        SELECT doc_id, size, n AS source_size, target, copies, copies * size AS taken FROM c"""
+}

@@ -1,13 +1,14 @@
 """Size-balanced shards by sampled splitters.  Law: ``bytes``.
 
-Records are ordered by key (hash of the text, then the id), so equal texts stand
+Records are ordered by key (MD5 of the text, then the id), so equal texts stand
 together.  Size-weighted samples of the keys give splitters, which cut the key
 space into many fine ranges of near equal bytes; a range that turns out overfull
 is subdivided by splitters drawn from itself.  The ranges' totals, prefix-summed,
 place each range on the byte line, and a running sum within a range places each
 record.  A shard is an equal share of the byte line.  A group of equal texts
-smaller than ``GLUE`` of a shard stays whole on one side of a border; a larger
-one is cut by id.
+smaller than ``GLUE`` of a shard (and than a range) stays whole on one side of a
+border; a larger one is cut by id.  Borders of ranges cut only groups that are
+several ranges large, so where records go does not depend on what was drawn.
 
 No task sees more than one range.  Ranges grow in number with the table, and the
 sample has a fixed expected size a range (less for very many), so the splitters
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Scope, stored, table
+from ._common import Scope, spread, stored, table
 
 OVERHEAD, GLUE, PER = 8, 0.005, 16
 #: Ranges: one for so many rows, within these bounds (more rows make longer ranges, which sort on disk).
@@ -55,7 +56,10 @@ def _splitters(rows: DataFrame, ranges: int, total: int, seed: int) -> list[tupl
     keys = keys.sort_values(["_h", "_id"], kind="stable")
     upto, at = keys["_d"].cumsum().to_numpy(), np.arange(1, ranges)
     picked = keys.iloc[np.unique(np.searchsorted(upto, at * upto[-1] / ranges, side="left"))]
-    return sorted(set(zip(picked["_h"].tolist(), picked["_id"].tolist(), strict=True)))
+    # Only a text that gets several borders is cut by id, at its second one and on; another's border stands before it.
+    nth, many = picked.groupby("_h").cumcount(), picked.groupby("_h")["_h"].transform("size")
+    at = picked["_id"].where((many >= 3) & (nth > 0), -(1 << 63))
+    return sorted(set(zip(picked["_h"].tolist(), at.tolist(), strict=True)))
 
 
 def _ranged(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
@@ -81,7 +85,7 @@ def _ranged(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
 def _numbered(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
     """Each row's number and key, stored; with the row itself if it will be asked for."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    keys = [F.col(id_col).cast("long").alias("_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("_size"), F.crc32(text).alias("_crc"), F.xxhash64(text).alias("_h")]
+    keys = [F.col(id_col).cast("long").alias("_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("_size"), F.crc32(text).alias("_crc"), spread(text, 15).alias("_h")]
     rows = docs.select(*keys, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole")] if whole else []))
     return stored(rows.withColumn("_nr", F.monotonically_increasing_id()), "shard-keys")
 
@@ -113,7 +117,7 @@ def _placed(rows: DataFrame, shards: int, seed: int) -> DataFrame:
         .withColumn("_upto", F.col("_start") + F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_group", F.sum("_size").over(group))
         .withColumn("_first", F.min(F.col("_upto") - F.col("_size")).over(group))
-        .withColumn("_middle", F.when(F.col("_group") <= fill * GLUE, F.col("_first") + F.col("_group") / 2).otherwise(F.col("_upto") - F.col("_size") / 2))
+        .withColumn("_middle", F.when(F.col("_group") <= F.lit(min(total / shards * GLUE, fair)), F.col("_first") + F.col("_group") / 2).otherwise(F.col("_upto") - F.col("_size") / 2))
         .withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("_middle") / fill)).cast("int"))
     )
     at = stored(at.withColumn("_nth", F.row_number().over(Window.partitionBy("_range", "shard").orderBy("_h", "_id", "_size", "_nr"))).select("_nr", "_id", "_size", "_crc", "_range", "shard", "_nth"), "shard-places")
@@ -144,3 +148,12 @@ def op2_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_shard_documents": op2_shard_documents}
+ORACLE_SQL = {
+    "op2_shard_documents": """
+        WITH steps AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc_of FROM (SELECT unnest(range(256)) AS i)),
+        b AS (SELECT doc_id, encode(coalesce(text, '')) AS bytes, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
+        r AS (SELECT doc_id, h, CAST(octet_length(bytes) + 8 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(bytes), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, crc_of[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, steps),
+        p AS (SELECT *, sum(size) OVER (ORDER BY h, doc_id, size) AS upto, sum(size) OVER (PARTITION BY h) AS whole, sum(size) OVER () / 24 AS fill, sum(size) OVER () / greatest(96, count(*) OVER () // 2000) AS fair FROM r),
+        m AS (SELECT *, least(23, floor(CASE WHEN whole <= least(fill * 0.005::DOUBLE, fair) THEN min(upto - size) OVER (PARTITION BY h) + whole / 2 ELSE upto - size / 2 END / fill))::INTEGER AS shard FROM p)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM m"""
+}
