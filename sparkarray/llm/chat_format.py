@@ -15,8 +15,11 @@ those of other common templates) gets a backslash behind its first character.
 
 Cases: a null text or role counts as empty; turns with the same number are
 ordered by role, then text; repeated rows are repeated turns; rows without a
-conversation id form a conversation of their own; an empty table gives an empty
-result but for added conversations.
+conversation id form a conversation of their own; very long texts are escaped
+whole; a conversation is one task's, which reads it turn by turn from a sort that
+spills, so its length is bound by time only; other columns of the input, whatever
+their names, are left out; an empty table gives an empty result but for added
+conversations.
 """
 
 from __future__ import annotations
@@ -392,3 +395,19 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_chat_formatting": op7_chat_formatting}
+
+
+def _escaped_length(column: str) -> str:
+    """SQL: how long an escaped text is: one more for each backslash and each control string."""
+    return " + ".join([f"length({column})", *(f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in ("\\", *CONTROLS))])
+
+
+ORACLE_SQL = {
+    "op7_chat_formatting": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+        g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+          coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+          CAST(sum({len(START + MIDDLE + END)} + {_escaped_length("role")} + {_escaped_length("text")}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+}
