@@ -306,8 +306,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     ids = usable.orderBy(F.xxhash64("_of"), "_of").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(ids), F.col("_id") == F.col("_of")).select("_text", "_y").distinct()
     with Scope():
-        rows = rows.orderBy(F.xxhash64("_text", "_y"), "_text", "_y").limit(sample).select("_text", "_y", F.pmod(F.xxhash64("_text"), F.lit(FOLDS)).cast("int").alias("_part"))
-        rows = stored(rows, "toxicity-sample").repartition(max(2, spark.sparkContext.defaultParallelism))
+        rows = stored(rows.withColumn("_h", F.xxhash64("_text", "_y")), "toxicity-sample")
+        if rows.count() > sample:  # rows share ids: those with the least hashes stay
+            rows = rows.filter(F.col("_h") <= rows.select("_h").orderBy("_h").limit(sample).agg(F.max("_h")).first()[0])
+        rows = rows.select("_text", "_y", F.pmod(F.xxhash64("_text"), F.lit(FOLDS)).cast("int").alias("_part")).repartition(max(2, spark.sparkContext.defaultParallelism))
         per = {(r["_y"], r["_part"]): r["count"] for r in rows.groupBy("_y", "_part").count().collect()}
         pos, neg = ([per.get((y, k), 0) for k in range(FOLDS)] for y in (1, 0))
         if not sum(pos) or not sum(neg):
