@@ -155,17 +155,16 @@ def components(edges: DataFrame) -> DataFrame:
     names, edges = stored(names, "near-names"), stored(edges.distinct(), "near-edges")
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        hook = both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y")).select("x", F.least("x", "y").alias("y"))
-        for _ in range(2):
-            far = hook.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            hook = hook.join(far, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
-        hook = stored(hook, "near-hooks")
+        # Stored, so that the joins have two plain inputs: most members of a class hook to one node, and that key can be split.
+        near = stored(both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y")).select("x", F.least("x", "y").alias("y")), "near-hooks")
+        far = near.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        hook = stored(near.join(far, "y", "left").select("x", F.coalesce("z", "y").alias("y")), "near-hooks")
         to = lambda c: hook.select(F.col("x").alias(c), F.col("y").alias(f"{c}_to"))
         moved = edges.join(to("a"), "a").join(to("b"), "b").filter("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct()
         old = names, edges
         names = stored(names.join(to("_class"), "_class", "left").select("_node", F.coalesce("_class_to", "_class").alias("_class")), "near-names")
         edges = stored(moved, "near-edges")
-        for frame in (*old, hook):
+        for frame in (*old, near, hook):
             drop_stored(frame)
     return names
 
