@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from ._common import Scope, stored, table
 from ._text import give_back, slices
 
-CAPACITY, END_ID, BINS, SHORT, CACHE = 4096, 1, 128, 4, 400_000
+CAPACITY, END_ID, BINS, SHORT, CACHE = 4096, 1, 128, 4, 600_000
 #: Patterns take this share of what the fit gives them, and leave at most a ``WASTE``-th of a sequence empty: the rest needs short pieces, too.
 TAKEN, WASTE = 0.95, 1024
 #: Texts and bytes of text that are encoded at once.
@@ -63,8 +63,9 @@ def _tokenizer(path: str):
 #: Words that every step of the tokenizer leaves as one lower-case word: their ids can be told apart in one encoding.
 _PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 _TAILS = (".", ",")
-#: Ids (as bytes) by word, per tokenizer; a worker keeps them from task to task.
-_known: dict[str, dict[str, bytes]] = {}
+#: Ids (as bytes) by word, per tokenizer; a worker keeps them from task to task: the words since the last turn, and those used before it.
+#: A turn comes with ``CACHE`` words; what the texts then still use moves over, the rest goes with the next turn.
+_known: dict[str, list[dict[str, bytes]]] = {}
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -80,7 +81,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, splits: bool = True) -> None:
-        self.path, self.splits, self.known = path, splits, _known.setdefault(path, {})
+        self.path, self.splits, self.kept = path, splits, _known.setdefault(path, [{}, {}])
 
     def learn(self, words: list[str]) -> None:
         tokenizer = _tokenizer(self.path)
@@ -92,20 +93,29 @@ class Encoder:
             ids, place = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
             cuts = np.searchsorted(place, np.arange(len(some) + 1))
             data = ids.tobytes()
-            self.known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        rest = [w for w in words if w not in self.known]
+            self.kept[0].update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        rest = [w for w in words if w not in self.kept[0]]
         for w, e in zip(rest, tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.known[w] = _bytes(e.ids)
+            self.kept[0][w] = _bytes(e.ids)
 
     def coded(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as bytes."""
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
+        if len(self.kept[0]) > CACHE:
+            self.kept[:] = {}, self.kept[0]
+        known, before = self.kept
         own = [known.get(w) for w in words]
-        missing = [k for k, found in enumerate(own) if found is None]
+        missing = []
+        for k, found in enumerate(own):
+            if found is None:
+                if (found := before.get(words[k])) is None:
+                    missing.append(k)
+                else:
+                    own[k] = known[words[k]] = found
         parts = [(w[:-1], w[-1]) if w[-1:] in _TAILS and w[-2:-1].isalpha() else (w, "") for w in (words[k] for k in missing)]
-        self.learn([*(p for p, _ in parts if p not in known), *_TAILS])
+        for p in (*(p for p, _ in parts), *_TAILS):
+            if p in before and p not in known:
+                known[p] = before[p]
+        self.learn([p for p in (*(p for p, _ in parts), *_TAILS) if p not in known])
         for k, (stem, tail) in zip(missing, parts, strict=True):
             own[k] = known[stem] + known[tail] if tail else known[stem]
         return own

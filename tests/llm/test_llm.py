@@ -112,6 +112,18 @@ def test_packing_round_trip(docs):
         assert at <= 4096
 
 
+def test_encoder_forgets_words_and_stays_right(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 40)
+    rng, path = random.Random(7), packing.tokenizer_path()
+    encode, tokenizer = packing.Encoder(path), Tokenizer.from_file(path)
+    for _ in range(30):
+        texts = [prose(rng.randrange(0, 60), rng) for _ in range(4)]
+        for text, ids in zip(texts, encode(pa.array(texts)), strict=True):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_plan_is_near_the_bound():
     rng = random.Random(2)
     histogram = Counter(min(4096, int(rng.lognormvariate(6.5, 1)) + 1) for _ in range(5000))
