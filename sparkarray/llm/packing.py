@@ -50,7 +50,7 @@ CAPACITY, END_ID, BINS, SHORT, CACHE = 4096, 1, 128, 4, 600_000
 #: Patterns take this share of what the fit gives them, and leave at most a ``WASTE``-th of a sequence empty: the rest needs short pieces, too.
 TAKEN, WASTE = 0.95, 1024
 #: Texts and bytes of text that are encoded at once.
-BATCH, BATCH_BYTES = 2048, 4 << 20
+BATCH, BATCH_BYTES = 4096, 8 << 20
 
 
 @lru_cache(maxsize=2)
