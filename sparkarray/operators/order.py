@@ -1,9 +1,9 @@
 """Stable sorts, sort permutations and per-column sorts; every result has a position.
 
 The order is total (keys, then index).  Positions come from a range exchange and
-two levels of counting, never from a window over everything in one task: the
-sorted ranges are stored once, numbered row by row as they are written, and each
-range gets the number of rows before it.
+two levels of counting, never from a window over everything in one task: each
+range is sorted and numbered by itself and gets the number of rows before it.
+Both read the ranges of one exchange, which is made once and not cached.
 
 Any strict order ``lt`` can be given instead of keys (:func:`sort_lt`): splitters
 from a sample cut the elements into buckets by ``lt`` itself, and each bucket is
@@ -41,6 +41,17 @@ def check_options(algorithm: str = "auto", comparator: bool = False, keys: bool
         raise ValueError("a sample sort takes no separate keys")
 
 
+def _ranges(df: DataFrame, n: int, by: Sequence[Column]) -> DataFrame:
+    """``df`` in n ranges that stay as they are, however often they are read.
+
+    A second plan of the same exchange would sample other borders; so the exchange
+    is planned here, and what follows reads its output.
+    """
+    spark, dealt = df.sparkSession, df.repartitionByRange(n, *by)
+    rows = dealt._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, dealt._jdf.schema(), False), spark)
+
+
 def sort(df: DataFrame, keys: Sequence[Column], idx: str = "idx", pos: str = "pos", algorithm: str = "auto", partitions: int | None = None, separate: bool = False) -> DataFrame:
     """``df`` with ``pos`` from 1 in the order of ``keys``, ties by index; ``separate``: the keys are an array of their own.
 
@@ -49,12 +60,13 @@ def sort(df: DataFrame, keys: Sequence[Column], idx: str = "idx", pos: str = "po
     check_options(algorithm, keys=separate)
     by = [*keys, F.asc(idx)]
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = store(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id()), "sorted")
-    range_, nth = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = dealt.groupBy(range_.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))  # a row a range
+    dealt = _ranges(df, n, by)
+    sizes = dealt.groupBy(F.spark_partition_id().alias("_p")).agg(F.count(F.lit(1)).alias("_n"))  # a row a range
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    return dealt.withColumn("_p", range_).join(F.broadcast(starts), "_p").withColumn(pos, (F.col("_s") + nth + 1).cast("long")).drop("_p", "_s", "_m")
+    numbered = dealt.sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id())
+    range_, nth = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.withColumn("_p", range_).join(F.broadcast(starts), "_p").withColumn(pos, (F.col("_s") + nth + 1).cast("long")).drop("_p", "_s", "_m")
 
 
 def sort_keyval(values: DataFrame, keys: DataFrame, by: Callable[[Column], Column] = lambda k: k.asc(), value: str = "v", key: str = "k", idx: str = "idx") -> DataFrame:
@@ -114,12 +126,17 @@ def sort_columns(coo: DataFrame, descending: bool = False, key: Callable[[Column
     """Each column j of (i, j, v) sorted on its own, by a key of v if one is given: (pos, j, v), pos from 1.
 
     All columns are sorted at once, by column first, so a long column is many
-    ranges; a column's positions count from its first one.
+    ranges.  A position counts from the column's first element of the same range,
+    behind those of the ranges before.
     """
     value = F.col("v") if key is None else key(F.col("v"))
-    placed = sort(coo, [F.asc("j"), value.desc() if descending else value.asc()], "i")
-    starts = placed.groupBy("j").agg(F.min("pos").alias("_s"))
-    return placed.join(starts, "j").select("j", "v", (F.col("pos") - F.col("_s") + 1).alias("pos"))
+    by = [F.asc("j"), value.desc() if descending else value.asc(), F.asc("i")]
+    dealt = _ranges(coo.select("i", "j", "v"), int(coo.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    parts = dealt.groupBy(F.spark_partition_id().alias("_p"), "j").agg(F.count(F.lit(1)).alias("_n"))  # a row a column and range
+    before = lambda one, then: F.coalesce(F.sum("_n").over(Window.partitionBy(one).orderBy(then).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("_p", "j", (before("j", "_p") - before("_p", "j")).alias("_s"))
+    numbered = dealt.sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33))
+    return numbered.join(starts, ["_p", "j"]).select("j", "v", (F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_s") + 1).alias("pos"))
 
 
 def sort_arrays(df: DataFrame, col: str, descending: bool = False, lt: Callable[[Column, Column], Column] | None = None) -> DataFrame:

@@ -193,8 +193,11 @@ def _prefixes(first: str, step: str, source: str) -> str:
     return f"(SELECT unnest(range(len(r))) AS idx, unnest(r) AS r FROM (SELECT list_reduce(list([{first}] ORDER BY idx), lambda f, g: list_append(f, {step})) AS r FROM {source}))"
 
 
-_add("scan_welford", lambda s, d: scan.scan(events(s, d), F.struct(F.lit(1).cast("long").alias("n"), v.alias("mean"), F.lit(0.0).alias("m2")), merge).select("idx", "value.n", F.round("value.mean", 4).alias("mean"), F.round(F.col("value.m2") / F.col("value.n"), 3).alias("var")),
+#: Squares are summed as doubles: exact up to 2^53, and beyond 64 bits only rounded.
+_add("scan_welford", lambda s, d: scan.scan_many(events(s, d), {"n": (F.lit(1), "+"), "s": (c, "+"), "q": ((c * c).cast("double"), "+")}).select("idx", "n", F.round(F.col("s") / F.col("n") / 100, 4).alias("mean"), F.round((F.col("q") - F.col("s").cast("double") * F.col("s") / F.col("n")) / F.col("n") / 1e4, 3).alias("var")),
      f"SELECT idx, n, round(s / n / 100, 4) AS mean, round(CAST(q * n - s * s AS DOUBLE) / (CAST(n AS DOUBLE) * n) / 1e4, 3) AS var FROM (SELECT idx, count(*) {_W} AS n, CAST(sum(c) {_W} AS HUGEINT) AS s, CAST(sum(c * c) {_W} AS HUGEINT) AS q FROM {EV})")
+_add("scan_welford_merge", lambda s, d: scan.scan(events(s, d), F.struct(F.lit(1).cast("long").alias("n"), v.alias("mean"), F.lit(0.0).alias("m2")), merge).select("idx", "value.n", F.round("value.mean", 4).alias("mean"), F.round(F.col("value.m2") / F.col("value.n"), 3).alias("var")),
+     ORACLE_SQL["scan_welford"])
 _add("scan_affine", lambda s, d: scan.scan(events(s, d), _affine, compose).select("idx", "value.a", "value.b"),
      f"SELECT idx, r.a AS a, r.b AS b FROM {_prefixes("{'a': (c % 97 + 97) % 97 + 1, 'b': (c % 89 + 89) % 89}", f"{{'a': (f[-1].a * g[1].a) % {_P}, 'b': (g[1].a * f[-1].b + g[1].b) % {_P}}}", EV)}")
 _add("scan_quaternion", lambda s, d: scan.scan(events(s, d), _turn(), multiply).select("idx", *[F.round(F.col(f"value.{k}"), 6).alias(k) for k in "wxyz"]),
