@@ -11,7 +11,6 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from sparkarray.llm import _text, chat_format, exact_dedup, fingerprints, lm_scoring, mixing, near_dedup, packing, sharding, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, _id string"
@@ -44,7 +43,7 @@ def nothing(spark):
 
 def test_empty_tables(spark, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for found in (mixing.mix(nothing), sharding.shard(nothing, 4), fingerprints.fingerprint(nothing), toxicity.keep_clean(nothing, labels), packing.pack(nothing, packing.tokenizer_path()), near_dedup.classes(nothing), exact_dedup.groups(nothing), lm_scoring.train_and_score(nothing, F.lit(True))):
+    for found in (mixing.mix(nothing), sharding.shard(nothing, 4), fingerprints.fingerprint(nothing), toxicity.keep_clean(nothing, labels), packing.pack(nothing, packing.tokenizer_path()), near_dedup.classes(nothing), exact_dedup.groups(nothing), lm_scoring.train_and_score(nothing, F.lit(True)), mixing.emit(nothing), near_dedup.keep(nothing), exact_dedup.keep(nothing)):
         assert found.count() == 0
 
 
@@ -60,23 +59,6 @@ def test_exact_groups(docs):
     assert exact_dedup.keep(docs).count() == len(groups)
 
 
-def test_mix_meets_targets(docs):
-    got = mixing.mix(docs).collect()
-    assert len(got) == len(awkward()) and all(r.taken <= 2 * r.size and r.taken == r.copies * r.size for r in got)
-    assert sum({(r.source_size, r.target) for r in got} and [t for _, t in {(r.source_size, r.target) for r in got}]) == pytest.approx(1.5 * sum(r.size for r in got))
-    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
-
-
-def test_shards_are_even_and_gapless(docs):
-    got = sharding.shard(docs.filter("doc_id <> 105 OR doc_id IS NULL"), 5).collect()
-    by = defaultdict(list)
-    for r in got:
-        by[r.shard].append(r)
-    assert all(sorted(x.slot for x in rows) == list(range(len(rows))) for rows in by.values())
-    sizes = [sum(x["size"] for x in rows) for rows in by.values()]
-    assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in got)
-
-
 def test_fingerprints_against_sets(spark):
     rows = [(i, t) for i, t in enumerate([r[1] for r in awkward()][:40] + ["", "one"])]
     got = {r.doc_id: r for r in fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -186,15 +168,6 @@ def test_urls():
     assert url_filter.split_url(None) == url_filter.split_url("no host") == ("", "")
 
 
-def test_pipeline_stages(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf).cache()
-        assert docs.columns == columns and docs.count() > 0, name
-
-
 def test_near_classes_of_variants_without_their_base(spark):
     """Many texts a few words off one unseen base: links between some pairs only, against brute force."""
     rng, base = random.Random(3), [f"w{k}" for k in range(120)]
@@ -240,25 +213,3 @@ def test_near_classes_of_texts_that_differ_in_repeats():
     batch = pa.RecordBatch.from_arrays([pa.array(range(32)), pa.array(rows), pa.array([""] * 32)], ["_id", "_text", "_sha"])
     keys = [set(k) for b in near_dedup._signed(iter([batch])) for k in b.column(3).to_pylist()]
     assert all(a & b for a, b in zip(keys[::2], keys[1::2], strict=True))
-
-
-def test_near_classes_of_the_smallest_table(spark):
-    """op6 on sf0.001 against all pairs."""
-    sf, low = "/root/testdata/sf0.001", {}
-    runs = {}
-    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
-        w = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate({c: c + 32 for c in range(65, 91)}))
-        runs[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {r.text or ""}
-        low[r.doc_id] = r.doc_id
-
-    def root(i):
-        while low[i] != i:
-            i = low[i]
-        return i
-
-    for a in runs:
-        for b in runs:
-            if b < a and len(both := runs[a] & runs[b]) >= 0.8 * (len(runs[a]) + len(runs[b]) - len(both)):
-                x, y = sorted((root(a), root(b)))
-                low[y] = x
-    assert {r.doc_id: r.class_id for r in near_dedup.op6_near_dedup(spark, sf).collect()} == {i: root(i) for i in runs}
