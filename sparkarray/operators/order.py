@@ -32,6 +32,15 @@ def order_key(value: Column) -> list[Column]:
     return [value.asc(), F.when((value == 0) & (value.cast("string") == "-0.0"), 0).otherwise(1).asc()]
 
 
+#: What values of a kind are ordered by, by the name of their Spark type; a type that is not here orders itself. Users may add theirs.
+ORDER_KEYS: dict[str, Callable[[Column], list[Column]]] = {"float": order_key, "double": order_key}
+
+
+def keys_of(df: DataFrame, value: str = "v") -> list[Column]:
+    """The ascending keys of a column's values, by its type."""
+    return ORDER_KEYS.get(df.schema[value].dataType.simpleString(), lambda v: [v.asc()])(F.col(value))
+
+
 def check_options(algorithm: str = "auto", comparator: bool = False, keys: bool = False) -> None:
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}")

@@ -225,6 +225,7 @@ for _name, _frame, _keys, _from, _by in (
     ("modlt", orders, lambda: [F.pmod(c, F.lit(97)).asc()], OR, "c % 97"), ("bool", events, lambda: [(c > 5000).asc()], EV, "c > 5000"), ("by_field", orders, lambda: [F.asc("pr")], OR, "pr"), ("multi_lt", orders, lambda: [F.desc("pr"), F.asc("cust"), F.desc("c")], OR, "pr DESC, cust, c DESC"),
 ):
     _add(f"sort_{_name}", lambda s, d, f=_frame, k=_keys: order.sort(f(s, d), k()).select("pos", "idx", "c"), f"SELECT row_number() OVER (ORDER BY {_by}, idx) AS pos, idx, c FROM {_from}")
+_add("sort_by_kind", lambda s, d: order.sort(x := events(s, d), order.keys_of(x, "v")).select("pos", "idx", "v"), f"SELECT row_number() OVER (ORDER BY v, idx) AS pos, idx, v FROM {EV}")
 _add("sort_float", lambda s, d: order.sort(events(s, d), order.order_key(v)).select("pos", "v"), f"SELECT row_number() OVER (ORDER BY v, idx) AS pos, v FROM {EV}")
 _add("sort_keyval", lambda s, d: order.sort_keyval(orders(s, d).select("idx", "c"), orders(s, d).select("idx", "cust"), value="c", key="cust"), f"SELECT row_number() OVER (ORDER BY cust, idx) AS pos, cust, c FROM {OR}")
 _add("sort_lt_greater", lambda s, d: order.sort_lt(events(s, d).select("idx", "c"), lambda a, b: a > b, "c", bucket=2048), f"SELECT row_number() OVER (ORDER BY c DESC, idx) AS pos, idx, c FROM {EV}")

@@ -244,3 +244,12 @@ def test_public_names(spark):
     assert all(hasattr(sa, name) for name in sa.__all__)
     assert [r.value for r in sa.scan(vec(spark, [1, 2, 3]), F.col("v"), "+").orderBy("idx").collect()] == [1, 3, 6]
     sa.release(spark)
+
+
+def test_users_own_order_keys(spark, monkeypatch):
+    """A type of the user's own, ordered by a key of theirs; floats keep -0.0 before 0.0."""
+    monkeypatch.setitem(order.ORDER_KEYS, "struct<priority:int,cost:float>", lambda v: [v["priority"].desc(), v["cost"].asc()])
+    df = spark.createDataFrame([(0, (1, 2.0)), (1, (3, 5.0)), (2, (3, 1.0)), (3, (1, 2.0))], "idx long, v struct<priority:int,cost:float>")
+    assert [r.idx for r in order.sort(df, order.keys_of(df)).orderBy("pos").collect()] == [2, 1, 0, 3]
+    floats = spark.createDataFrame([(0, 0.0), (1, -0.0)], "idx long, v double")
+    assert [r.idx for r in order.sort(floats, order.keys_of(floats)).orderBy("pos").collect()] == [1, 0]
