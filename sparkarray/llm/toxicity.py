@@ -12,8 +12,9 @@ is built state by state as it is needed.  A text is scored by its matched clause
 The lexicon of insults starts from a short list of fixed words and is learned
 from labelled texts: whole words, and word beginnings that one, two, three or five
 different words of a text must have, which toxic texts have more often than
-others.  A feature counts if it is in ``LEAST`` toxic texts and the likelihood
-ratio says so; its weight is its log odds, less as the evidence is thin.  There is
+others.  A feature counts if the likelihood ratio says so and if it is in ``LEAST``
+toxic texts that no better one explains (copies of a text share all their words);
+its weight is its log odds, less as the evidence is thin.  There is
 no limit to their number or to how rare a family of insults may be among the toxic
 texts.  Logistic regression over the clause kinds, with a prior that follows the
 grammar, turns them into a score; what it learns from is each text as a lexicon of
@@ -35,7 +36,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,8 +49,8 @@ from ._common import Scope, crc_text, fresh, stored, table
 from ._text import give_back, slices
 
 SAMPLE = 12_000
-#: A learned feature: in so many toxic texts, with this likelihood ratio and these log odds; evidence of twice ``LEAST_G2`` counts in full.
-LEAST, LEAST_G2, LEAST_LOD = 3, 12.0, 2.0
+#: A learned feature: in so many toxic texts without a better one, and such a share of all that have it; with these log odds, and with the likelihood ratio that :func:`evidence` asks for.
+LEAST, LEAST_NEW, LEAST_LOD = 3, 0.05, 2.0
 PREFIXES, DIFFERENT, FOLDS = range(3, 9), (1, 2, 3, 5), 5
 #: Rows and bytes of text that Python handles at once.
 BATCH, BATCH_BYTES = 4096, 4 << 20
@@ -205,44 +206,62 @@ def g2(a: float, b: float, pos: int, neg: int) -> float:
     return 2 * total
 
 
+def evidence(texts: int) -> float:
+    """The least likelihood ratio of a feature; more texts have more features that fit by chance. Twice as much counts in full."""
+    return 2 * math.log(max(texts, 50))
+
+
 def parse_feature(f: str) -> tuple[str, int]:
     """The word or word beginning of a feature, and how many different words must have the beginning (0: a whole word)."""
     return (f[2:], int(f[1])) if f[0] == "^" else (f, 0)
 
 
-def lexicon(counts: list[tuple[str, int, int]], pos: int, neg: int) -> Model:
-    """Words and word beginnings (as ``^2stem``) that tell toxic texts, with the fixed ones."""
+def lexicon(counts: list[tuple[str, int, int]], pos: int, neg: int, texts: Sequence[Sequence[str]] = ()) -> Model:
+    """Words and word beginnings (as ``^2stem``) that tell toxic texts, with the fixed ones; ``texts``: the counted features of each toxic text."""
+    having: dict[str, list[int]] = {}
+    for k, own in enumerate(texts):
+        for f in own:
+            having.setdefault(f, []).append(k)
+    explained = [False] * len(texts)
     known = {f: (a, b) for f, a, b in counts}
     rated = []
     for f, (a, b) in known.items():
         lod = log_odds(a, b, pos, neg)
-        if a >= LEAST and lod >= LEAST_LOD and (g := g2(a, b, pos, neg)) >= LEAST_G2:
+        if a >= LEAST and lod >= LEAST_LOD and (g := g2(a, b, pos, neg)) >= evidence(pos + neg):
             stem, many = parse_feature(f)
-            rated.append((-round(g, 6), -len(stem), many, stem, lod * min(1.0, g / (2 * LEAST_G2))))
+            rated.append((-round(g, 6), -len(stem), many, stem, f, lod * min(1.0, g / (2 * evidence(pos + neg)))))
     words: dict[str, float] = {}
     prefixes: dict[str, tuple[float, int]] = {}
     longer: set[str] = set()  # all beginnings of what is chosen
-    for _, _, many, stem, weight in sorted(rated):
+    for w in INSULTS:
+        seen = known.get(w)
+        words[w] = max(0.5, log_odds(*seen, pos, neg)) if seen and seen[0] + seen[1] >= 5 else 2.0
+        longer.update(w[:k] for k in range(1, len(w) + 1))
+        for k in having.get(w, ()):
+            explained[k] = True
+    for _, _, many, stem, f, weight in sorted(rated):
         if stem in longer or any(stem[:k] in prefixes for k in PREFIXES if k <= len(stem)):
             continue
+        held = having.get(f, ())
+        if sum(not explained[k] for k in held) < max(LEAST, LEAST_NEW * len(held)):
+            continue
+        for k in held:
+            explained[k] = True
         if many:
             prefixes[stem] = (weight, many)
         else:
             words[stem] = weight
         longer.update(stem[:k] for k in range(1, len(stem) + 1))
-    for w in INSULTS:
-        seen = known.get(w)
-        words.setdefault(w, max(0.5, log_odds(*seen, pos, neg)) if seen and seen[0] + seen[1] >= 5 else 2.0)
     return Model(words, prefixes)
 
 
-def lexicons(counts: list[tuple[str, list[int], list[int]]], pos: list[int], neg: list[int]) -> tuple[Model, list[Model]]:
-    """The lexicon of all parts of the sample, and for each part that of the others; counts and totals come by part."""
-    whole = lexicon([(f, sum(a), sum(b)) for f, a, b in counts], sum(pos), sum(neg))
+def lexicons(counts: list[tuple[str, list[int], list[int]]], pos: list[int], neg: list[int], texts: list[tuple[int, list[str]]]) -> tuple[Model, list[Model]]:
+    """The lexicon of all parts of the sample, and for each part that of the others; counts, totals and toxic texts come by part."""
+    whole = lexicon([(f, sum(a), sum(b)) for f, a, b in counts], sum(pos), sum(neg), [held for _, held in texts])
     others = []
     for k in range(FOLDS):
         p, n = sum(pos) - pos[k], sum(neg) - neg[k]
-        others.append(lexicon([(f, sum(a) - a[k], sum(b) - b[k]) for f, a, b in counts], p, n) if p and n else lexicon([], 1, 1))
+        others.append(lexicon([(f, sum(a) - a[k], sum(b) - b[k]) for f, a, b in counts], p, n, [held for part, held in texts if part != k]) if p and n else lexicon([], 1, 1))
     return whole, others
 
 
@@ -320,9 +339,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         p, n = sum(pos), sum(pos) + sum(neg)
         part = lambda seen, all_, of: F.when(seen > 0, seen * F.log(seen / (all_ * F.lit(of / n)))).otherwise(0.0)
         ratio = 2 * (part(a, a + b, p) + part(b, a + b, n - p) + part(p - a, n - a - b, p) + part(n - p - b, n - a - b, n - p))
-        telling = (a >= LEAST) & (a / p > 2 * b / (n - p)) & (ratio > LEAST_G2 * 0.8)
+        telling = (a >= LEAST) & (a / p > 2 * b / (n - p)) & (ratio > evidence(n) * 0.8)
         found = counts.filter(telling | F.col("feature").isin(INSULTS)).collect()
-        model, others = lexicons([(r["feature"], [r[c] for c in PARTS[:FOLDS]], [r[c] for c in PARTS[FOLDS:]]) for r in found], pos, neg)
+        names = spark.sparkContext.broadcast(frozenset(r["feature"] for r in found))
+
+        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = [sorted(text_features(t) & names.value) for t in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(2), pa.array(own, pa.list_(pa.string()))], ["part", "held"])
+            give_back()
+
+        # The toxic texts' own features among those found: ``sample`` rows at most, in an order of their own.
+        texts = sorted((r["part"], r["held"]) for r in rows.filter("_y = 1").mapInArrow(held, "part int, held array<string>").collect())
+        model, others = lexicons([(r["feature"], [r[c] for c in PARTS[:FOLDS]], [r[c] for c in PARTS[FOLDS:]]) for r in found], pos, neg, texts)
         shared = spark.sparkContext.broadcast(others)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
