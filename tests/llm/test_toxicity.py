@@ -86,7 +86,7 @@ def test_sample_is_a_bound(spark):
 
 def test_awkward_rows(spark):
     rows, labels = rows_of(200)
-    awkward = [(1000, None), (1001, ""), (1002, " \n"), (None, "you grumpat"), (1003, "a b " * 50_000 + " you grumpat and grumpbs!"), rows[0], rows[0], (1004, "you grumpat\x00 ퟿")]
+    awkward = [(1000, None), (1001, ""), (1002, " \n"), (None, "you grumpat and grumpbs!"), (1003, "a b " * 50_000 + " you grumpat and grumpbs!"), rows[0], rows[0], (1004, "you grumpat and grumpbs!\x00 \ud7ff")]
     docs = spark.createDataFrame([(*r, "x", 0.5) for r in rows + awkward], "doc_id long, text string, _toxicity string, score double")
     table = spark.createDataFrame([*labels, (1000, None, None), (None, 1, 1), (0, 0, 1), (5000, 1, 1)], "doc_id long, quality int, toxic int")
     kept = toxicity.keep_clean(docs, table)
