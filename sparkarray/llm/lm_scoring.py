@@ -25,8 +25,8 @@ summed up.  A context that borders cut is asked for in all its ranges, so its
 counts are whole.  No shard is sent to other machines and nothing is pruned: the
 model grows with the training texts, tasks do not.
 
-Words are told apart by 64-bit hashes as contexts and by 32 bits of these behind
-a context.
+Words are told apart by 56-bit hashes as contexts (of a billion words, seven pairs
+are expected to share one) and by 32 bits of these behind a context.
 
 Cases: a null text is empty: one end token; very long texts are batches of their
 own; repeated rows and rows that share an id are scored alike and counted each;
@@ -54,7 +54,9 @@ from .elias_fano import Trie, map_shared, write_shared
 
 #: Rows and bytes of text in a batch; bytes of training text a shard; sampled pairs a shard.
 BATCH, BATCH_BYTES, SHARD_BYTES, PER_SHARD = 8192, 7 << 20, 12 << 20, 32
-END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
+END = np.uint64(0x5851F42D4C957F)  # the end token's hash
+#: Bits of a word's hash that tell words apart, and those of them that do so behind a context.
+WORD_BITS, BEHIND_BITS = 56, 32
 NO_ID = -(1 << 63)
 COLUMNS = ["shard", "batch", "contexts", "lens", "words", "counts", "texts"]
 MESSAGE = "shard int, batch long, " + ", ".join(f"{c} binary" for c in COLUMNS[2:])
@@ -137,7 +139,7 @@ class Texts:
         words, offsets = split_words(texts)
         coded = words.dictionary_encode()
         del words
-        vocabulary, to = np.unique(np.append(hash_strings(coded.dictionary), END), return_inverse=True)
+        vocabulary, to = np.unique(np.append(hash_strings(coded.dictionary) >> np.uint64(64 - WORD_BITS), END), return_inverse=True)
         lens = np.diff(offsets)
         ends = offsets[1:] + np.arange(len(lens))
         tokens = np.full(int(offsets[-1]) + len(lens), to[-1], np.int32)
@@ -168,7 +170,7 @@ class Asked:
 
     def __init__(self, texts: Texts, bigrams: Bigrams, borders: Borders) -> None:
         v, first = texts.vocabulary, bigrams.first
-        context, word, self.often = v[first], (v[bigrams.second] >> np.uint64(32)).astype(np.uint32), bigrams.often
+        context, word, self.often = v[first], (v[bigrams.second] >> np.uint64(WORD_BITS - BEHIND_BITS)).astype(np.uint32), bigrams.often
         self.added = np.empty((2, 0), np.int64)
         cut = np.flatnonzero(np.isin(borders.context, v))
         if len(cut):
