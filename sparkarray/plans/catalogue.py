@@ -227,7 +227,8 @@ for _name, _frame, _keys, _from, _by in (
     _add(f"sort_{_name}", lambda s, d, f=_frame, k=_keys: order.sort(f(s, d), k()).select("pos", "idx", "c"), f"SELECT row_number() OVER (ORDER BY {_by}, idx) AS pos, idx, c FROM {_from}")
 _add("sort_by_kind", lambda s, d: order.sort(x := events(s, d), order.keys_of(x, "v")).select("pos", "idx", "v"), f"SELECT row_number() OVER (ORDER BY v, idx) AS pos, idx, v FROM {EV}")
 _add("sort_float", lambda s, d: order.sort(events(s, d), order.order_key(v)).select("pos", "v"), f"SELECT row_number() OVER (ORDER BY v, idx) AS pos, v FROM {EV}")
-_add("sort_keyval", lambda s, d: order.sort_keyval(orders(s, d).select("idx", "c"), orders(s, d).select("idx", "cust"), value="c", key="cust"), f"SELECT row_number() OVER (ORDER BY cust, idx) AS pos, cust, c FROM {OR}")
+_add("sort_keyval", lambda s, d: order.sort(orders(s, d), [F.asc("cust")], separate=True).select("pos", "cust", "c"), f"SELECT row_number() OVER (ORDER BY cust, idx) AS pos, cust, c FROM {OR}")
+_add("sort_keyval_two_arrays", lambda s, d: order.sort_keyval(orders(s, d).select("idx", "c"), orders(s, d).select("idx", "cust"), value="c", key="cust"), f"SELECT row_number() OVER (ORDER BY cust, idx) AS pos, cust, c FROM {OR}")
 _add("sort_lt_greater", lambda s, d: order.sort_lt(events(s, d).select("idx", "c"), lambda a, b: a > b, "c", bucket=2048), f"SELECT row_number() OVER (ORDER BY c DESC, idx) AS pos, idx, c FROM {EV}")
 _add("sort_lt_modulo", lambda s, d: order.sort_lt(orders(s, d).select("idx", "c"), lambda a, b: F.pmod(a, F.lit(97)) < F.pmod(b, F.lit(97)), "c", bucket=2048), f"SELECT row_number() OVER (ORDER BY c % 97, idx) AS pos, idx, c FROM {OR}")
 _add("sort_lt_struct", lambda s, d: order.sort_lt(orders(s, d).select("idx", F.struct("pr", "c").alias("v")), lambda a, b: (a["pr"] > b["pr"]) | ((a["pr"] == b["pr"]) & (a["c"] < b["c"])), "v", bucket=2048).select("pos", "idx", "v.pr", "v.c"), f"SELECT row_number() OVER (ORDER BY pr DESC, c, idx) AS pos, idx, pr, c FROM {OR}")
