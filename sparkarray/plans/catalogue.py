@@ -48,6 +48,11 @@ def _wide(x):
     return x.cast("decimal(18,0)")
 
 
+def _rounded(x, digits: int):
+    """Doubles rounded as the SQL does it: the double product is rounded, a half away from zero; F.round rounds the decimal digits instead."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def events(s: SparkSession, d: str) -> DataFrame:
     return t.vector(t.read(s, d, "events"), "event_id", v="value", c=_cents("value"))
 
@@ -193,8 +198,13 @@ def _prefixes(first: str, step: str, source: str) -> str:
     return f"(SELECT unnest(range(len(r))) AS idx, unnest(r) AS r FROM (SELECT list_reduce(list([{first}] ORDER BY idx), lambda f, g: list_append(f, {step})) AS r FROM {source}))"
 
 
-#: Squares are summed as doubles: exact up to 2^53, and beyond 64 bits only rounded.
-_add("scan_welford", lambda s, d: scan.scan_many(events(s, d), {"n": (F.lit(1), "+"), "s": (c, "+"), "q": ((c * c).cast("double"), "+")}).select("idx", "n", F.round(F.col("s") / F.col("n") / 100, 4).alias("mean"), F.round((F.col("q") - F.col("s").cast("double") * F.col("s") / F.col("n")) / F.col("n") / 1e4, 3).alias("var")),
+def _mean_var(n, total, squares):
+    """Mean and variance of values in cents, from whole numbers and by the SQL's own steps: a tie goes where the SQL takes it."""
+    mean, var = total.cast("double") / n / 100, (squares * n - total * total).cast("double") / (n.cast("double") * n) / 1e4
+    return _rounded(mean, 4).alias("mean"), _rounded(var, 3).alias("var")
+
+
+_add("scan_welford", lambda s, d: scan.scan_many(events(s, d), {"n": (F.lit(1), "+"), "s": (_wide(c), "+"), "q": (_wide(c) * _wide(c), "+")}).select("idx", "n", *_mean_var(F.col("n"), F.col("s"), F.col("q"))),
      f"SELECT idx, n, round(s / n / 100, 4) AS mean, round(CAST(q * n - s * s AS DOUBLE) / (CAST(n AS DOUBLE) * n) / 1e4, 3) AS var FROM (SELECT idx, count(*) {_W} AS n, CAST(sum(c) {_W} AS HUGEINT) AS s, CAST(sum(c * c) {_W} AS HUGEINT) AS q FROM {EV})")
 _add("scan_welford_merge", lambda s, d: scan.scan(events(s, d), F.struct(F.lit(1).cast("long").alias("n"), v.alias("mean"), F.lit(0.0).alias("m2")), merge).select("idx", "value.n", F.round("value.mean", 4).alias("mean"), F.round(F.col("value.m2") / F.col("value.n"), 3).alias("var")),
      ORACLE_SQL["scan_welford"])
