@@ -177,6 +177,15 @@ def merge(a, b):
     return F.struct(n.alias("n"), (a["mean"] + gap * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + gap * gap * a["n"] * b["n"] / n).alias("m2"))
 
 
+def merge_whole(a, b):
+    """``merge`` of whole numbers, exact: the mean is a whole one, ``rest`` what the sum has over n times it, m2 is about it; ``some`` tells if there is a value."""
+    n, gap = a["n"] + b["n"], b["mean"] - a["mean"]
+    rest = a["rest"] + b["rest"] + b["n"] * gap
+    step = F.floor(rest / n)
+    about = lambda x, by: x["m2"] + _wide(by) * (x["n"] * by - 2 * x["rest"])
+    return F.struct(n.alias("n"), (a["mean"] + step).alias("mean"), (rest - n * step).alias("rest"), (about(a, step) + about(b, step - gap)).alias("m2"), (a["some"] | b["some"]).alias("some"))
+
+
 def multiply(a, b):
     """The product of two quaternions: associative, not commutative."""
     w, x, y, z = (a[k] for k in "wxyz")
@@ -198,15 +207,27 @@ def _prefixes(first: str, step: str, source: str) -> str:
     return f"(SELECT unnest(range(len(r))) AS idx, unnest(r) AS r FROM (SELECT list_reduce(list([{first}] ORDER BY idx), lambda f, g: list_append(f, {step})) AS r FROM {source}))"
 
 
-def _mean_var(n, total, squares):
-    """Mean and variance of values in cents, from whole numbers and by the SQL's own steps: a tie goes where the SQL takes it."""
-    mean, var = total.cast("double") / n / 100, (squares * n - total * total).cast("double") / (n.cast("double") * n) / 1e4
+def _mean_var(n, total, m2_n):
+    """Mean and variance from whole numbers (the sum in cents, n times the squared deviations) by the SQL's own steps: a tie goes where the SQL takes it."""
+    mean, var = total.cast("double") / n / 100, m2_n.cast("double") / (n.cast("double") * n) / 1e4
     return _rounded(mean, 4).alias("mean"), _rounded(var, 3).alias("var")
 
 
-_add("scan_welford", lambda s, d: scan.scan_many(events(s, d), {"n": (F.lit(1), "+"), "s": (_wide(c), "+"), "q": (_wide(c) * _wide(c), "+")}).select("idx", "n", *_mean_var(F.col("n"), F.col("s"), F.col("q"))),
+def _one():
+    """An element for ``merge_whole``; one without a value counts and adds nothing, as in the SQL."""
+    zero = F.lit(0)
+    return F.struct(F.lit(1).cast("long").alias("n"), F.coalesce(c, zero.cast("long")).alias("mean"), zero.cast("long").alias("rest"), zero.cast("decimal(38,0)").alias("m2"), c.isNotNull().alias("some"))
+
+
+def _merged(x):
+    """Mean and variance of what ``merge_whole`` gives, null while there is no value."""
+    total, m2_n = _wide(x["mean"]) * x["n"] + x["rest"], x["m2"] * x["n"] - _wide(x["rest"]) * x["rest"]
+    return _mean_var(x["n"], *[F.when(x["some"], y) for y in (total, m2_n)])
+
+
+_add("scan_welford", lambda s, d: scan.scan_many(events(s, d), {"n": (F.lit(1), "+"), "s": (_wide(c), "+"), "q": (_wide(c) * _wide(c), "+")}).select("idx", "n", *_mean_var(F.col("n"), F.col("s"), F.col("q") * F.col("n") - F.col("s") * F.col("s"))),
      f"SELECT idx, n, round(s / n / 100, 4) AS mean, round(CAST(q * n - s * s AS DOUBLE) / (CAST(n AS DOUBLE) * n) / 1e4, 3) AS var FROM (SELECT idx, count(*) {_W} AS n, CAST(sum(c) {_W} AS HUGEINT) AS s, CAST(sum(c * c) {_W} AS HUGEINT) AS q FROM {EV})")
-_add("scan_welford_merge", lambda s, d: scan.scan(events(s, d), F.struct(F.lit(1).cast("long").alias("n"), v.alias("mean"), F.lit(0.0).alias("m2")), merge).select("idx", "value.n", F.round("value.mean", 4).alias("mean"), F.round(F.col("value.m2") / F.col("value.n"), 3).alias("var")),
+_add("scan_welford_merge", lambda s, d: scan.scan(events(s, d), _one(), merge_whole).select("idx", "value.n", *_merged(F.col("value"))),
      ORACLE_SQL["scan_welford"])
 _add("scan_affine", lambda s, d: scan.scan(events(s, d), _affine, compose).select("idx", "value.a", "value.b"),
      f"SELECT idx, r.a AS a, r.b AS b FROM {_prefixes("{'a': (c % 97 + 97) % 97 + 1, 'b': (c % 89 + 89) % 89}", f"{{'a': (f[-1].a * g[1].a) % {_P}, 'b': (g[1].a * f[-1].b + g[1].b) % {_P}}}", EV)}")

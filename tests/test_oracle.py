@@ -78,3 +78,8 @@ def awkward_events(path):
 def test_welford_by_sums_is_the_sql_to_the_last_bit(spark, tmp_path):
     assert differing(spark, "scan_welford", "/root/testdata/sf0.01") == []
     assert differing(spark, "scan_welford", awkward_events(tmp_path)) == []
+
+
+def test_welford_by_merging_is_the_sql_to_the_last_bit(spark, tmp_path):
+    assert differing(spark, "scan_welford_merge", "/root/testdata/sf0.01") == []
+    assert differing(spark, "scan_welford_merge", awkward_events(tmp_path)) == []
